@@ -1,0 +1,11 @@
+"""Registered queries of the retrieval engine and their DuckDB SQL."""
+
+from __future__ import annotations
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict:
+    return {}
