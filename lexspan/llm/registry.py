@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from lexspan.llm import decontaminate
+from lexspan.llm import decontaminate, line_dedup, mixing, tokens
 
 
 def queries() -> dict:
-    return {"op2_decontaminate": decontaminate.op2_decontaminate}
+    return {
+        "op2_decontaminate": decontaminate.op2_decontaminate,
+        "op3_line_dedup": line_dedup.op3_line_dedup,
+        "op8_token_ids": tokens.op8_token_ids,
+        "op9_mixing": mixing.op9_mixing,
+    }
 
 
 def oracle_sql() -> dict:
-    return {"op2_decontaminate": decontaminate.ORACLE_SQL}
+    return {
+        "op2_decontaminate": decontaminate.ORACLE_SQL,
+        "op3_line_dedup": line_dedup.ORACLE_SQL,
+        "op9_mixing": mixing.ORACLE_SQL,
+    }
