@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lexspan.llm import decontaminate, line_dedup, mixing, tokens
+from lexspan.llm import decontaminate, jaccard, line_dedup, mixing, tokens
 
 
 def queries() -> dict:
     return {
+        "op1_ngram_jaccard": jaccard.op1_ngram_jaccard,
         "op2_decontaminate": decontaminate.op2_decontaminate,
         "op3_line_dedup": line_dedup.op3_line_dedup,
         "op8_token_ids": tokens.op8_token_ids,
@@ -16,6 +17,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return {
+        "op1_ngram_jaccard": jaccard.BRUTE_SQL,
         "op2_decontaminate": decontaminate.ORACLE_SQL,
         "op3_line_dedup": line_dedup.ORACLE_SQL,
         "op9_mixing": mixing.ORACLE_SQL,
