@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexspan.llm import decontaminate, jaccard, line_dedup, mixing, tokens
+from lexspan.llm import decontaminate, jaccard, line_dedup, media, mixing, tokens, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,8 @@ def queries() -> dict:
         "op1_ngram_jaccard": jaccard.op1_ngram_jaccard,
         "op2_decontaminate": decontaminate.op2_decontaminate,
         "op3_line_dedup": line_dedup.op3_line_dedup,
+        "op4_media": media.op4_media,
+        "op5_toxicity": toxicity.op5_toxicity,
         "op8_token_ids": tokens.op8_token_ids,
         "op9_mixing": mixing.op9_mixing,
     }
