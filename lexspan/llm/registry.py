@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexspan.llm import decontaminate, jaccard, line_dedup, media, mixing, tokens, toxicity
+from lexspan.llm import decontaminate, html_extract, jaccard, line_dedup, media, mixing, tokens, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_line_dedup": line_dedup.op3_line_dedup,
         "op4_media": media.op4_media,
         "op5_toxicity": toxicity.op5_toxicity,
+        "op6_html_text": html_extract.op6_html_text,
         "op8_token_ids": tokens.op8_token_ids,
         "op9_mixing": mixing.op9_mixing,
     }
