@@ -24,13 +24,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspan.llm.common import materialize, scratch_path, table, text_slices
+from lexspan.llm.common import materialize, runs, scratch_path, table, utf8
 
 SEQUENCE = 2048
 #: Sequences in a record batch.
 BATCH = 64
-#: Distinct words whose ids a Python worker remembers; when there are more, it starts anew.
-REMEMBERED = 300_000
+#: Distinct words that a Python worker remembers since it last put what it knew aside; it looks there, too, until it next does.
+REMEMBERED = 400_000
+#: New words that are encoded together; bytes of texts whose words are looked up together.
+TOGETHER, CHUNK = 500, 1 << 20
 MANIFEST = "part long, path string, n_docs long, n_tokens long"
 
 
@@ -42,6 +44,8 @@ class Format:
     batch: int = BATCH
     #: The tokenizer drops white space and no token crosses it, so words can be encoded one by one and remembered.
     by_word: bool = True
+    #: The tokenizer takes A-Z for a-z.
+    lower_case: bool = True
 
 
 def filesystem(uri: str):
@@ -63,6 +67,10 @@ class Encoder:
         self.model, self.form = Tokenizer.from_file(form.tokenizer), form
         self.kind = np.dtype("<u2" if max(self.model.get_vocab_size(), form.end_id + 1) <= 1 << 16 else "<u4")
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        special = sorted((i, t.content) for i, t in self.model.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.normalized))
+        self.parting = (special[0][1], special[0][0]) if special else None
+        self.stops = dict(zip((b",", b"."), self.whole([",", "."]), strict=True))
         self.end = np.array([form.end_id], self.kind).tobytes()
 
     @classmethod
@@ -72,21 +80,60 @@ class Encoder:
             cls.made[form] = cls(form)
         return cls.made[form]
 
-    def plain(self, texts: Sequence[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.model.encode_batch(list(texts), add_special_tokens=False)]
+    def whole(self, texts: Sequence[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.model.encode_batch_fast(list(texts), add_special_tokens=False)]
+
+    def words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word. Many words go in one text, with a special token between them to cut the ids at."""
+        if self.parting is None:
+            return self.whole([w.decode() for w in words])
+        mark, number = self.parting
+        out: list[bytes] = []
+        parts = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
+        for part, e in zip(parts, self.model.encode_batch_fast([mark.join(w.decode() for w in p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.kind)
+            cut = np.flatnonzero(ids == number)
+            if len(cut) != len(part) - 1:  # a word has the special token in it
+                out += self.whole([w.decode() for w in part])
+                continue
+            raw, n = ids.tobytes(), self.kind.itemsize
+            ends = [*(cut * n).tolist(), len(raw)]
+            out += [raw[a:b] for a, b in zip([0, *(x + n for x in ends[:-1])], ends, strict=True)]
+        return out
+
+    def learn(self, words: set[bytes]) -> None:
+        """Puts the ids of new words among the known ones. A comma or full stop after an ASCII letter is a token of its own, so
+        that words are encoded without it."""
+        old, new, ended = self.older, set(), []
+        for w in words:
+            if (found := old.get(w)) is not None:
+                self.known[w] = found
+            elif w[-1] in b",." and w[-2:-1].isalpha():
+                ended.append(w)
+                if (stem := w[:-1]) not in self.known:
+                    if (found := old.get(stem)) is not None:
+                        self.known[stem] = found
+                    else:
+                        new.add(stem)
+            else:
+                new.add(w)
+        listed = sorted(new)
+        self.known.update(zip(listed, self.words(listed), strict=True))
+        for w in ended:
+            self.known[w] = self.known[w[:-1]] + self.stops[w[-1:]]
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         if not self.form.by_word:
-            yield from (x + self.end for x in self.plain([t.decode() for t in texts]))
+            yield from (x + self.end for x in self.whole([t.decode() for t in texts]))
             return
-        for t in texts:
-            words = t.split()
-            if missing := list(set(words) - self.known.keys()):
-                if len(self.known) > REMEMBERED:
-                    self.known.clear()
-                    missing = list(set(words))
-                self.known.update(zip(missing, self.plain([w.decode() for w in missing]), strict=True))
-            yield b"".join(map(self.known.__getitem__, words)) + self.end
+        split = [t.lower().split() if self.form.lower_case else t.split() for t in texts]
+        if len(self.known) > REMEMBERED:
+            self.older, self.known = self.known, {}
+        if missing := set().union(*split) - self.known.keys():
+            self.learn(missing)
+        get = self.known.__getitem__
+        for words in split:
+            yield b"".join(map(get, words)) + self.end
 
 
 def sequence_schema(kind: np.dtype, length: int) -> pa.Schema:
@@ -173,9 +220,11 @@ def write_tokens(docs: DataFrame, folder: str, form: Format, *, id_col: str = "d
                 system.create_dir(base, recursive=True)
                 sink = system.open_output_stream(f"{base}/{name}.arrow")
                 writer = SequenceWriter(sink, encoder.kind, form)
-            for got in encoder.encode(text_slices(b["text"])):
-                writer.add(got)
-                sizes.append(len(got) // encoder.kind.itemsize)
+            at, raw = utf8(b["text"])
+            for i, j in runs(at, CHUNK):
+                for got in encoder.encode([raw[x:y].tobytes() for x, y in zip(at[i:j].tolist(), at[i + 1 : j + 1].tolist(), strict=True)]):
+                    writer.add(got)
+                    sizes.append(len(got) // encoder.kind.itemsize)
             ids.append(b["doc_id"])
         if writer is None:
             return
