@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexspan.llm import decontaminate, html_extract, jaccard, line_dedup, media, mixing, tokens, toxicity
+from lexspan.llm import decontaminate, html_extract, jaccard, licenses, line_dedup, media, mixing, tokens, toxicity, warc
 
 
 def queries() -> dict:
@@ -13,8 +13,10 @@ def queries() -> dict:
         "op4_media": media.op4_media,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_html_text": html_extract.op6_html_text,
+        "op7_warc_revisits": warc.op7_warc_revisits,
         "op8_token_ids": tokens.op8_token_ids,
         "op9_mixing": mixing.op9_mixing,
+        "op10_licenses": licenses.op10_licenses,
     }
 
 
@@ -23,5 +25,6 @@ def oracle_sql() -> dict:
         "op1_ngram_jaccard": jaccard.BRUTE_SQL,
         "op2_decontaminate": decontaminate.ORACLE_SQL,
         "op3_line_dedup": line_dedup.ORACLE_SQL,
+        "op7_warc_revisits": warc.ORACLE_SQL,
         "op9_mixing": mixing.ORACLE_SQL,
     }
