@@ -1,2 +1,70 @@
-"""Placeholder until the stages exist."""
-STAGES: list = []
+"""A training corpus from `documents`: five stages, each a Spark job over all that the one before kept.
+
+Each stage takes (spark, docs, sf_dir) and returns the columns of documents, but for the last, which returns where each
+document's token ids stand in the files that it wrote. Stages carry rows along inside their scans and join texts only to
+drop near copies. A stage's result is written before the next begins, so a lost executor repeats a part of one stage.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexspan.llm import decontaminate, jaccard, mixing, tokens, toxicity
+from lexspan.llm.common import DOC_COLUMNS, materialize, scratch_path, table
+
+_REST = [c for c in DOC_COLUMNS if c != "doc_id"]
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model doesn't predict to be toxic."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs.select(*DOC_COLUMNS), model, keep=_REST).where("predicted = 0").select(*DOC_COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each component of the Jaccard join. Rows without an id are nobody's copies."""
+    docs = docs.select(*DOC_COLUMNS)
+    stays = jaccard.jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null")).select(*DOC_COLUMNS)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that aren't contaminated with benchmark items."""
+    found = decontaminate.decontaminate(docs.select(*DOC_COLUMNS), table(spark, sf_dir, "benchmark"), keep=_REST)
+    return found.where(~F.col("contaminated")).select(*DOC_COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times as the mix takes it, which may be none."""
+    found = mixing.mix(docs.select(*DOC_COLUMNS))
+    return found.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select(*DOC_COLUMNS)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of each row, read back from the token files."""
+    form = tokens.default_format()
+    return tokens.read_tokens(tokens.write_tokens(docs, scratch_path(spark, "pipeline-tokens"), form), form)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+    ("token_ids", token_ids),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+#: SQL can't express the toxicity model; tests/llm compares the stages with plain readings of their rules.
+ORACLE_SQL = None

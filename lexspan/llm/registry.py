@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from lexspan.llm import decontaminate, html_extract, jaccard, licenses, line_dedup, media, mixing, tokens, toxicity, warc
 
 
@@ -17,6 +18,7 @@ def queries() -> dict:
         "op8_token_ids": tokens.op8_token_ids,
         "op9_mixing": mixing.op9_mixing,
         "op10_licenses": licenses.op10_licenses,
+        "pipeline": corpus_pipeline.run,
     }
 
 
