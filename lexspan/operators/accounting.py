@@ -9,10 +9,11 @@ MILLION = 1_000_000
 
 
 def cost(input_tokens: Column, output_tokens: Column, input_per_million: str, output_per_million: str) -> Column:
-    """Decimal with seven places after the point; prices as decimal text."""
-    price = lambda p: F.lit(p).cast("decimal(18,7)")
-    whole = input_tokens.cast("decimal(18,0)") * price(input_per_million) + output_tokens.cast("decimal(18,0)") * price(output_per_million)
-    return (whole / F.lit(MILLION)).cast("decimal(38,7)")
+    """Exact, as decimal(34,13): token counts below 10**12, prices a million as decimal text of six places at most. Wider types
+    would make Spark round the quotient."""
+    price = lambda p: F.lit(p).cast("decimal(12,6)")
+    whole = input_tokens.cast("decimal(12,0)") * price(input_per_million) + output_tokens.cast("decimal(12,0)") * price(output_per_million)
+    return (whole / F.lit(MILLION).cast("decimal(7,0)")).cast("decimal(34,13)")
 
 
 def provider_metrics(traces: DataFrame, by: str = "provider") -> DataFrame:
@@ -35,7 +36,7 @@ def running_budget(requests: DataFrame, cap: str, *, by: str = "account", order:
     start = sums.withColumn("_start", F.coalesce(earlier, F.lit(0))).drop("_s")
     inside = F.sum("cost").over(Window.partitionBy(by, "_cut").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
     got = cell.join(start, [by, "_cut"]).withColumn("spent_before", F.coalesce(inside, F.lit(0)) + F.col("_start"))
-    return got.withColumn("can_start", F.col("max_cost") <= F.lit(cap).cast("decimal(38,7)") - F.col("spent_before")).drop("_cut", "_start")
+    return got.withColumn("can_start", F.col("max_cost") <= F.lit(cap).cast("decimal(34,13)") - F.col("spent_before")).drop("_cut", "_start")
 
 
 def crosscheck_rows(questions: DataFrame, evidence: DataFrame, *, maximum: int, answerable: int = 3, unanswerable: int = 2) -> DataFrame:
