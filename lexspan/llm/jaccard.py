@@ -46,6 +46,10 @@ PARITY = (64, 1 << 14)
 CHUNK, FLUSH = 2 << 20, 1 << 20
 #: Partners of one set in a group that is verified together.
 PARTNERS = 256
+#: Ids of sets to verify that may go to every executor.
+SENT_IDS = 200_000
+#: Sets of a list's largest component in one part; entries in a bundle of lists, about; pairs looked at together.
+PART, BUNDLE, CELLS = 4096, 20_000, 1 << 20
 
 POSTING = np.dtype([("token", "<u4"), ("doc", "<i8"), ("size", "<i4"), ("pos", "<i4")])
 
@@ -179,14 +183,15 @@ def _postings(docs: DataFrame, counts: np.ndarray, shards: int) -> DataFrame:
     return docs.mapInArrow(run, "shard int, rows binary")
 
 
-LISTS = "token long, doc_id long, size int, pos int, block int, head long, head_below long"
+LISTS = "token long, doc_id long, size int, pos int, block int, " + ", ".join(f"head{k} long" for k in range(3))
 
 
 def _lists(postings: DataFrame) -> DataFrame:
-    """Index lists of two sets or more, each entry with the head of its block and of the block below, if they can match.
+    """Index lists of two sets or more, each entry with the heads of the block below its own, its own and the one above.
 
-    A head is null where sizes or positions rule the pair out. block: the size's power of DEN / NUM, so that sets that match are
-    in one block or in neighbours.
+    block: the size's power of DEN / NUM, so that sets that match are in one block or in neighbours. A block's head is the entry
+    at the foremost position: rare first, that set has the fewest shingles that the others lack, as the original of a group of
+    edited copies does. A head is null where sizes or positions rule the pair out.
     """
 
     def index(group: pa.Table) -> pa.Table:
@@ -200,20 +205,22 @@ def _lists(postings: DataFrame) -> DataFrame:
                 at += step
             parts.append(x)
         x = np.concatenate(parts)
-        x = x[np.lexsort((x["pos"], x["doc"], x["size"], x["token"]))]
+        x = x[np.argsort(x["token"], kind="stable")]
         new = np.concatenate(([True], x["token"][1:] != x["token"][:-1]))
         length = np.diff(np.append(np.flatnonzero(new), len(x)))
         x = x[np.repeat(length > 1, length)]
+        block = np.floor(np.log(np.maximum(x["size"], 1)) / np.log(DEN / NUM)).astype(np.int64)
+        order = np.lexsort((x["doc"], x["size"], x["pos"], block, x["token"]))
+        x, block = x[order], block[order]
         token, size, pos, doc = (x[c].astype(np.int64) for c in ("token", "size", "pos", "doc"))
-        block = np.floor(np.log(np.maximum(size, 1)) / np.log(DEN / NUM)).astype(np.int64)
         key = token * 256 + block
         starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
         heads = []
-        for below in (0, 1):
-            at = np.searchsorted(key[starts], key - below)
+        for step in (-1, 0, 1):
+            at = np.searchsorted(key[starts], key + step)
             at[at == len(starts)] = 0
             h = starts[at] if len(starts) else at
-            fits = (key[h] == key - below) & (h != np.arange(len(key))) & (DEN * size[h] >= NUM * size)
+            fits = (key[h] == key + step) & (h != np.arange(len(key))) & (DEN * np.minimum(size, size[h]) >= NUM * np.maximum(size, size[h]))
             need = needed(size, size[h])
             fits &= (pos <= size - need) & (pos[h] <= size[h] - need)
             heads.append(pa.array(doc[h], mask=~fits))
@@ -223,6 +230,9 @@ def _lists(postings: DataFrame) -> DataFrame:
     return postings.groupBy("shard").applyInArrow(index, LISTS)
 
 
+HEADS = [f"head{k}" for k in range(3)]
+
+
 def _may_link(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """(a, b) that sizes and parity sketches leave."""
 
@@ -245,6 +255,8 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     stream by sorted, so that no more than a's set and one partner's are held."""
     pairs = materialize(pairs, "jaccard-pairs")
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    if ids.count() <= SENT_IDS:
+        ids = F.broadcast(ids)  # their number is known; then texts needn't be shuffled
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -296,47 +308,76 @@ def _rest(lists: DataFrame, classes: DataFrame, nodes: DataFrame, overlaps: Data
     main = materialize(main.select("token", F.col("x.m").alias("m"), F.col("x.component").alias("main")), "jaccard-live")
     live = entries.join(main, "token")
     rep = lambda c: mine.select(F.col("doc_id").alias(c), F.col("rep").alias(f"{c}_rep"))
-    live = live.join(rep("head"), "head", "left").join(rep("head_below"), "head_below", "left")
+    for c in HEADS:
+        live = live.join(rep(c), c, "left")
     seen = overlaps.select("a", "b", "overlap").union(overlaps.select("b", "a", "overlap")).distinct()
-    for c in ("head", "head_below"):
+    for c in HEADS:
         live = live.join(seen.select(F.col("a").alias(f"{c}_rep"), F.col("b").alias("rep"), F.col("overlap").alias(f"{c}_overlap")), [f"{c}_rep", "rep"], "left")
-    parts = F.ceil(F.col("m") / 4096).cast("int")
+    parts = F.ceil(F.col("m") / PART).cast("int")
     part = F.when(F.col("component") == F.col("main"), F.array(F.pmod(F.xxhash64("rep"), parts).cast("int"))).otherwise(F.sequence(F.lit(0), parts - 1))
-    columns = ["rep", "size", "pos", "block", "component", "head_rep", "head_overlap", "head_below_rep", "head_below_overlap"]
+    columns = ["rep", "size", "pos", "block", "component", *(f"{c}_{x}" for c in HEADS for x in ("rep", "overlap"))]
     dealt = live.select("token", F.explode(part).alias("part"), (F.col("component") == F.col("main")).alias("in_main"), *columns)
+    bundles = max(24, (entries.join(main, "token", "left_semi").count()) // BUNDLE)
+    dealt = dealt.withColumn("bundle", F.pmod(F.xxhash64("token", "part"), F.lit(bundles)))
 
-    def cross(group: pa.Table) -> pa.Table:
-        g = {c: group[c].to_numpy() if not group[c].null_count else group[c].fill_null(-1).to_numpy() for c in group.column_names}
-        order = np.lexsort((g["pos"], g["size"]))
+    def cross(bundle: pa.Table) -> pa.Table:
+        g = {c: bundle[c].to_numpy() if not bundle[c].null_count else bundle[c].fill_null(-1).to_numpy() for c in bundle.column_names}
+        order = np.lexsort((g["pos"], g["block"], g["part"], g["token"]))
         g = {c: x[order] for c, x in g.items()}
-        size, pos, first = g["size"].astype(np.int64), g["pos"].astype(np.int64), int(g["part"][0]) == 0
-        levels, at = np.unique(size, return_index=True)
-        at = np.append(at, len(size))
-        out = []
-        for i in np.flatnonzero(~g["in_main"]).tolist():
-            for k in range(np.searchsorted(levels, -(-NUM * size[i] // DEN)), np.searchsorted(levels, DEN * size[i] // NUM, "right")):
-                need = needed(size[i], levels[k])
-                if pos[i] > size[i] - need:
-                    continue  # the whole block is skipped
-                j = np.arange(at[k], at[k] + np.searchsorted(pos[at[k] : at[k + 1]], levels[k] - need, "right"))
-                # a pair of two sets outside the main component is met once, in part 0
-                j = j[(g["component"][j] != g["component"][i]) & (g["in_main"][j] | (first & (j > i)))]
-                if len(j):
-                    j = j[_most(g, i, j) >= need]
-                out.append(np.stack((np.minimum(g["rep"][i], g["rep"][j]), np.maximum(g["rep"][i], g["rep"][j]))))
-        found = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.empty((2, 0), np.int64)
+        g["size"], g["pos"] = g["size"].astype(np.int64), g["pos"].astype(np.int64)
+        changes = (g["token"][1:] != g["token"][:-1]) | (g["part"][1:] != g["part"][:-1])
+        edges = [0, *(np.flatnonzero(changes) + 1).tolist(), len(order)]
+        out = [np.empty((2, 0), np.int64)]
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            out += _met({c: x[lo:hi] for c, x in g.items()})
+        found = np.unique(np.concatenate(out, axis=1), axis=1)
         return pa.table({"a": pa.array(found[0]), "b": pa.array(found[1])})
 
     met = overlaps.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return dealt.groupBy("token", "part").applyInArrow(cross, "a long, b long").distinct().join(met, ["a", "b"], "left_anti")
-
-
-def _most(g: dict[str, np.ndarray], i: int, j: np.ndarray) -> np.ndarray:
-    """Upper bounds of the overlaps of entry i with entries j, from their overlaps with a head that they share:
+    return dealt.groupBy("bundle").applyInArrow(cross, "a long, b long").distinct().join(met, ["a", "b"], "left_anti")
+
+
+def _met(g: dict[str, np.ndarray]) -> list[np.ndarray]:
+    """Pairs of one list's part. Blocks of sizes that can't match are skipped; in the others, entries past the last position that
+    leaves enough to share with the block's largest set."""
+    blocks, first = np.unique(g["block"], return_index=True)
+    ends = np.append(first[1:], len(g["block"]))
+    whole = int(g["part"][0]) == 0
+    out = []
+    for k, (x, y) in enumerate(zip(first, ends, strict=True)):
+        mine = x + np.flatnonzero(~g["in_main"][x:y])
+        if not len(mine):
+            continue
+        others = []
+        for n in (k - 1, k, k + 1):
+            if 0 <= n < len(blocks) and abs(int(blocks[n]) - int(blocks[k])) <= 1:
+                largest = int(g["size"][first[n] : ends[n]].max())
+                last = largest - needed(int(g["size"][mine].min()), largest)
+                others.append(np.arange(first[n], first[n] + np.searchsorted(g["pos"][first[n] : ends[n]], last, "right")))
+        j = np.concatenate(others)
+        step = max(1, CELLS // max(1, len(j)))
+        for at in range(0, len(mine), step):
+            i = mine[at : at + step, None]
+            si, sj = g["size"][i], g["size"][j]
+            need = needed(si, sj)
+            # a pair of two sets outside the main component is met once, in part 0
+            ok = (DEN * np.minimum(si, sj) >= NUM * np.maximum(si, sj)) & (g["pos"][i] <= si - need) & (g["pos"][j] <= sj - need)
+            ok &= (g["component"][i] != g["component"][j]) & (g["in_main"][j] | ((j > i) & whole))
+            r, c = np.nonzero(ok)
+            if len(r):
+                r, c = mine[at + r], j[c]
+                keep = _most(g, r, c) >= needed(g["size"][r], g["size"][c])
+                r, c = g["rep"][r[keep]], g["rep"][c[keep]]
+                out.append(np.unique(np.stack((np.minimum(r, c), np.maximum(r, c))), axis=1))
+    return out
+
+
+def _most(g: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Upper bounds of the overlaps of entries i with entries j, from their overlaps with a head that they share:
     |x & y| <= min(|x & h|, |y & h|) + min(|x - h|, |y - h|)."""
-    most = np.minimum(g["size"][i], g["size"][j]).astype(np.int64)
-    for one in ("head", "head_below"):
-        for two in ("head", "head_below"):
+    most = np.minimum(g["size"][i], g["size"][j])
+    for one in HEADS:
+        for two in HEADS:
             o, p = g[f"{one}_overlap"][i], g[f"{two}_overlap"][j]
             same = (g[f"{one}_rep"][i] == g[f"{two}_rep"][j]) & (o >= 0) & (p >= 0)
             bound = np.minimum(o, p) + np.minimum(g["size"][i] - o, g["size"][j] - p)
@@ -358,7 +399,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     lists = materialize(_lists(_postings(docs, _counts(described), shards)), "jaccard-lists")
 
     to_rep = classes.select("doc_id", "rep").distinct()
-    heads = lists.select("doc_id", F.explode(F.array("head", "head_below")).alias("h")).where("h is not null").distinct()
+    heads = lists.select("doc_id", F.explode(F.array(*HEADS)).alias("h")).where("h is not null").distinct()
     pairs = heads.join(to_rep.select(F.col("doc_id").alias("h"), F.col("rep").alias("a")), "h").join(to_rep.withColumnRenamed("rep", "b"), "doc_id")
     overlaps = _verified(_may_link(pairs.where("a <> b").select("a", "b").distinct(), own), docs)
     same = classes.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
