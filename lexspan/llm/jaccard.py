@@ -39,11 +39,11 @@ NUM, DEN = 3, 4
 #: Counters of the count table, 4 bytes each; it goes to every worker and never grows.
 COUNT_BITS = 22
 #: Postings in a shard, about.
-SHARD_POSTINGS = 400_000
+SHARD_POSTINGS = 100_000
 #: Bits of a parity sketch at most, and at least.
 PARITY = (64, 1 << 14)
 #: Texts of about so many bytes are hashed at a time; postings that a task holds before it hands them on.
-CHUNK, FLUSH = 2 << 20, 1 << 20
+CHUNK, FLUSH = 1 << 20, 1 << 19
 #: Partners of one set in a group that is verified together.
 PARTNERS = 256
 #: Ids of sets to verify that may go to every executor.
@@ -94,25 +94,14 @@ def _describe(docs: DataFrame) -> DataFrame:
     blocks, size = 64, 1 << COUNT_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, held, n_held = np.zeros(size, np.uint32), [], 0
-
-        def count() -> None:
-            counts[:] += np.bincount((np.concatenate(held) >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=size).astype(np.uint32)
-            held.clear()
-
+        counts = np.zeros(size, np.uint32)
         for b in batches:
             n, sig, par = [0] * b.num_rows, [None] * b.num_rows, [None] * b.num_rows
             for i, u in _sets(b):
                 n[i], sig[i], par[i] = len(u), xxhash.xxh3_128_digest(u.tobytes()), parity(u)
-                held.append(u)
-                n_held += len(u)
-                if n_held >= FLUSH:
-                    count()
-                    n_held = 0
+                np.add.at(counts, (u >> np.uint64(64 - COUNT_BITS)).astype(np.int64), np.uint32(1))
             empty = pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.binary())
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(par, pa.binary()), *empty], names=names)
-        if held:
-            count()
         if counts.any():
             part = [pa.compress(x.tobytes(), "zstd", asbytes=True) for x in np.split(counts, blocks)]
             none = [pa.nulls(blocks, t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.binary())]
@@ -260,9 +249,20 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = list(_sets(b))
-            at = pa.array([i for i, _ in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([b["doc_id"].take(at), pa.array([u.tobytes() for _, u in found], pa.binary())], names=["id", "set"])
+            at, held, n_held = [], [], 0
+
+            def packed() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array(at, pa.int64())), pa.array(held, pa.binary())], names=["id", "set"])
+
+            for i, u in _sets(b):
+                at.append(i)
+                held.append(u.tobytes())
+                n_held += len(u)
+                if n_held >= FLUSH:
+                    yield packed()
+                    at, held, n_held = [], [], 0
+            if at:
+                yield packed()
 
     sets = materialize(docs.join(ids, "doc_id", "left_semi").mapInArrow(pack, "id long, set binary"), "jaccard-sets")
     many = pairs.groupBy("a").agg(F.count("*").alias("m"))
@@ -274,12 +274,12 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
         at, own = None, []
         for b in batches:
             rows = []
-            for a, salt, i, raw, role in zip(*(b[c].to_pylist() for c in ("a", "salt", "id", "set", "role")), strict=True):
+            for a, salt, i, raw, role in zip(*(b[c].to_pylist() for c in ("a", "salt", "id")), b["set"], b["role"].to_pylist(), strict=True):
                 if (a, salt) != at:
                     at, own = (a, salt), []
-                u = np.frombuffer(raw, np.uint64)
+                u = np.frombuffer(raw.as_buffer(), np.uint64)
                 if role == 0:
-                    own.append(u)
+                    own.append(u.copy())
                     continue
                 for v in own:
                     k = np.searchsorted(v, u)

@@ -1,7 +1,7 @@
 """Word shingles of whole Arrow batches as 64-bit hashes, without a Python step for each word.
 
 Words are runs of bytes other than space and 9-13; A-Z count as a-z. A word's hash is a polynomial over a random table of
-byte values modulo 2**64, read off prefix sums of the batch; a shingle's is a sum of its words' hashes with odd factors.
+byte values modulo 2**64, read off prefix sums of a block of text; a shingle's is a sum of its words' hashes with odd factors.
 Both are finalised by mixing. Distinct shingles share a hash with a chance of about 2**-64 a pair.
 """
 
@@ -12,6 +12,8 @@ import numpy as np
 from lexspan.llm.cuckoo import mix
 
 WIDTH = 5
+#: Bytes of text whose prefix sums are made together; a word isn't cut.
+BLOCK = 1 << 18
 
 _BYTES = np.random.Generator(np.random.PCG64(20)).integers(1, 2**64 - 1, 256, dtype=np.uint64, endpoint=True)
 _BASE = 0x9E3779B97F4A7C15
@@ -56,10 +58,17 @@ def word_bounds(at: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def word_hashes(at: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash of each word, words in each text, start of each word."""
     starts, ends, n = word_bounds(at, raw)
-    up, down = _up_to(int(at[-1] - at[0]) + 1)
-    sums = np.zeros(int(at[-1] - at[0]) + 1, np.uint64)
-    np.cumsum(_FOLDED[raw[at[0] : at[-1]]] * up[: len(sums) - 1], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts]), n, starts
+    a, out, i = raw[at[0] : at[-1]], np.empty(len(starts), np.uint64), 0
+    while i < len(starts):
+        lo = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, lo + BLOCK, "right")))
+        size, x, y = int(ends[j - 1]) - lo, starts[i:j] - lo, ends[i:j] - lo
+        up, down = _up_to(size + 1)
+        sums = np.zeros(size + 1, np.uint64)
+        np.cumsum(_FOLDED[a[lo : lo + size]] * up[:size], out=sums[1:])
+        out[i:j] = (sums[y] - sums[x]) * down[x]
+        i = j
+    return mix(out), n, starts
 
 
 def combine(words: np.ndarray, width: int) -> np.ndarray:

@@ -40,7 +40,9 @@ def test_query_equals_duckdb(spark, duck, sf, name):
 # --- 1: n-gram Jaccard join ---
 
 
-def test_shingles_are_those_of_the_rule():
+@pytest.mark.parametrize("block", [1, 40, 1 << 18])
+def test_shingles_are_those_of_the_rule(monkeypatch, block):
+    monkeypatch.setattr(shingle, "BLOCK", block)
     rng = random.Random(1)
     texts = [t or "" for t in EDGES] + [prose(rng, rng.randint(0, 40)) for _ in range(50)] + ["A b C d E f", "a B c D e F"]
     a = pa.array(texts)
