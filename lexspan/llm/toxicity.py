@@ -188,7 +188,8 @@ def _train(texts: list[bytes], toxic: np.ndarray) -> Model:
     n1, n0 = int(toxic.sum()), int((~toxic).sum())
     if not n1 or not n0:
         return Model(constant=float(n1 > 0))
-    docs = [tokens(t) for t in texts]
+    one: dict[bytes, bytes] = {}  # a word is held once, however often it comes
+    docs = [[[one.setdefault(w, w) for w in line] for line in tokens(t)] for t in texts]
     known: dict[bytes, list[str]] = {}
     df = Counter(), Counter()
     for lines, y in zip(docs, toxic.tolist(), strict=True):
@@ -261,9 +262,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     chosen = [sized.where(F.col("toxic") == k).orderBy(first, "doc_id").limit(n).select("doc_id", "toxic") for k, n in ((1, per_class), (0, CLEAN_TIMES * per_class))]
     # a bounded number of ids
     picked = F.broadcast(chosen[0].unionByName(chosen[1]))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(picked, "doc_id").where(F.char_length("text").between(1, LONGEST)).collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text))
-    return _train([r.text.encode() for r in rows], np.array([r.toxic == 1 for r in rows], bool))
+    sample = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(picked, "doc_id").where(F.char_length("text").between(1, LONGEST))
+    rows = sorted((r.doc_id, r.text.encode(), r.toxic == 1) for r in sample.toLocalIterator())
+    return _train([t for _, t, _ in rows], np.array([y for _, _, y in rows], bool))
 
 
 def _spans(raw: bytes, lines: list[list[bytes]], p: np.ndarray) -> list[dict]:
