@@ -126,7 +126,8 @@ class Encoder:
         if not self.form.by_word:
             yield from (x + self.end for x in self.whole([t.decode() for t in texts]))
             return
-        split = [t.lower().split() if self.form.lower_case else t.split() for t in texts]
+        # special tokens are found before letters are lowered, so a text that may have one is left as it is
+        split = [t.lower().split() if self.form.lower_case and b"<|" not in t else t.split() for t in texts]
         if len(self.known) > REMEMBERED:
             self.older, self.known = self.known, {}
         if missing := set().union(*split) - self.known.keys():

@@ -350,7 +350,7 @@ def test_warc_files(spark, tmp_path):
 
 def test_token_files_round_trip(spark, tmp_path):
     rng = random.Random(10)
-    texts = [t for t in EDGES] + [prose(rng, rng.randint(0, 300)).title() + ", it's 5,. <|endoftext|>x" for _ in range(30)]
+    texts = [t for t in EDGES] + [prose(rng, rng.randint(0, 300)).title() + ", it's 5,. <|endoftext|>x" for _ in range(30)] + ["A <|ENDOFTEXT|> <|EndOfText|>B. <|endoftext|>. C"]
     base = tokens.default_format()
     form = tokens.Format(base.tokenizer, sequence=64, batch=2)
     manifest = tokens.write_tokens(clashing(docs(spark, texts)), f"file://{tmp_path}/t", form)
