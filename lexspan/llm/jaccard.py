@@ -52,6 +52,13 @@ SENT_IDS = 200_000
 PART, BUNDLE, CELLS = 4096, 20_000, 1 << 20
 
 POSTING = np.dtype([("token", "<u4"), ("doc", "<i8"), ("size", "<i4"), ("pos", "<i4")])
+HEADS = [f"head{k}" for k in range(3)]
+#: An index list's entry as it goes to be compared. rep and component are -1 in a head that isn't known to share anything.
+ENTRY = np.dtype(
+    [("token", "<i8"), ("rep", "<i8"), ("component", "<i8"), ("size", "<i4"), ("pos", "<i4"), ("block", "<i4"), ("part", "<i4"), ("parts", "<i4"), ("in_main", "<i4")]
+    + [(f"{c}_rep", "<i8") for c in HEADS]
+    + [(f"{c}_overlap", "<i4") for c in HEADS]
+)
 
 
 def needed(a, b):
@@ -59,6 +66,30 @@ def needed(a, b):
     return -((-NUM * (a + b)) // (NUM + DEN))
 
 
+def _pack(key: np.ndarray, rows: np.ndarray, name: str) -> pa.RecordBatch:
+    """(key, k, rows): the rows of each key, a column after the other, since neighbours' ids and sizes are alike and pack well."""
+    order = np.argsort(key, kind="stable")
+    rows, key = rows[order], key[order]
+    own, first = np.unique(key, return_index=True)
+    groups = np.split(rows, first[1:])
+    data = [pa.compress(b"".join(x[c].tobytes() for c in x.dtype.names), "zstd", asbytes=True) for x in groups]
+    sizes = [len(x) for x in groups]
+    return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(sizes, pa.int32()), pa.array(data, pa.binary())], names=[name, "k", "rows"])
+
+
+def _unpack(group: pa.Table, dtype: np.dtype) -> np.ndarray:
+    parts = []
+    for k, raw in zip(group["k"].to_pylist(), group["rows"].to_pylist(), strict=True):
+        raw = pa.decompress(raw, k * dtype.itemsize, "zstd", asbytes=True)
+        x, at = np.empty(k, dtype), 0
+        for c in dtype.names:
+            step = k * dtype[c].itemsize
+            x[c] = np.frombuffer(raw[at : at + step], dtype[c])
+            at += step
+        parts.append(x)
+    return np.concatenate(parts)
+
+
 def _sets(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
     """Row number and sorted distinct shingles of each text that has words."""
     at, raw = utf8(b["text"])
@@ -132,7 +163,7 @@ def _counts(described: DataFrame) -> np.ndarray:
 
 
 def _postings(docs: DataFrame, counts: np.ndarray, shards: int) -> DataFrame:
-    """(shard, rows): packed postings of each set's prefix, a set once for each task."""
+    """(shard, k, rows): packed postings of each set's prefix, a set once for each task."""
     sent = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,14 +172,9 @@ def _postings(docs: DataFrame, counts: np.ndarray, shards: int) -> DataFrame:
         count, seen, held, n_held = sent.value, set(), [], 0
 
         def packed() -> pa.RecordBatch:
-            shard = np.concatenate([s for s, _ in held])
-            order = np.argsort(shard, kind="stable")
-            rows, shard = np.concatenate([r for _, r in held])[order], shard[order]
-            own, first = np.unique(shard, return_index=True)
-            # a column after the other: ids and sizes of neighbours are alike and pack well
-            data = [b"".join(x[c].tobytes() for c in POSTING.names) for x in np.split(rows, first[1:])]
+            out = _pack(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]), "shard")
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(data, pa.binary())], names=["shard", "rows"])
+            return out
 
         for b in batches:
             ids = b["doc_id"].to_pylist()
@@ -169,10 +195,10 @@ def _postings(docs: DataFrame, counts: np.ndarray, shards: int) -> DataFrame:
         if held:
             yield packed()
 
-    return docs.mapInArrow(run, "shard int, rows binary")
+    return docs.mapInArrow(run, "shard int, k int, rows binary")
 
 
-LISTS = "token long, doc_id long, size int, pos int, block int, " + ", ".join(f"head{k} long" for k in range(3))
+LISTS = "token long, doc_id long, size int, pos int, block int, length int, " + ", ".join(f"{c} long" for c in HEADS)
 
 
 def _lists(postings: DataFrame) -> DataFrame:
@@ -184,23 +210,14 @@ def _lists(postings: DataFrame) -> DataFrame:
     """
 
     def index(group: pa.Table) -> pa.Table:
-        parts = []
-        for raw in group["rows"].to_pylist():
-            k = len(raw) // POSTING.itemsize
-            x, at = np.empty(k, POSTING), 0
-            for c in POSTING.names:
-                step = k * POSTING[c].itemsize
-                x[c] = np.frombuffer(raw[at : at + step], POSTING[c])
-                at += step
-            parts.append(x)
-        x = np.concatenate(parts)
+        x = _unpack(group, POSTING)
         x = x[np.argsort(x["token"], kind="stable")]
         new = np.concatenate(([True], x["token"][1:] != x["token"][:-1]))
         length = np.diff(np.append(np.flatnonzero(new), len(x)))
-        x = x[np.repeat(length > 1, length)]
+        x, length = x[np.repeat(length > 1, length)], np.repeat(length, length)[np.repeat(length > 1, length)]
         block = np.floor(np.log(np.maximum(x["size"], 1)) / np.log(DEN / NUM)).astype(np.int64)
         order = np.lexsort((x["doc"], x["size"], x["pos"], block, x["token"]))
-        x, block = x[order], block[order]
+        x, block, length = x[order], block[order], length[order]
         token, size, pos, doc = (x[c].astype(np.int64) for c in ("token", "size", "pos", "doc"))
         key = token * 256 + block
         starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
@@ -214,14 +231,11 @@ def _lists(postings: DataFrame) -> DataFrame:
             fits &= (pos <= size - need) & (pos[h] <= size[h] - need)
             heads.append(pa.array(doc[h], mask=~fits))
         shard = group["shard"][0].as_py()
-        return pa.Table.from_arrays([pa.array((shard << 32) + token), pa.array(doc), pa.array(size.astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(block.astype(np.int32)), *heads], names=[c.split()[0] for c in LISTS.split(", ")])
+        return pa.Table.from_arrays([pa.array((shard << 32) + token), pa.array(doc), pa.array(size.astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(length.astype(np.int32)), *heads], names=[c.split()[0] for c in LISTS.split(", ")])
 
     return postings.groupBy("shard").applyInArrow(index, LISTS)
 
 
-HEADS = [f"head{k}" for k in range(3)]
-
-
 def _may_link(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """(a, b) that sizes and parity sketches leave."""
 
@@ -297,39 +311,113 @@ def _links(overlaps: DataFrame) -> DataFrame:
     return overlaps.where(f"{DEN} * overlap >= {NUM} * (n_a + n_b - overlap)").select("a", "b")
 
 
-def _rest(lists: DataFrame, classes: DataFrame, nodes: DataFrame, overlaps: DataFrame) -> DataFrame:
-    """Pairs (a, b) of lists whose sets are in several components, which neither the heads' answers nor blocks and positions
-    settle. The sets of a list's largest component are dealt out; those of the others, the fewer, go to each part."""
+FACTS = "doc_id long, own long, h long, rep long, value long"
+
+
+def _facts(classes: DataFrame, nodes: DataFrame, answers: DataFrame, overlaps: DataFrame) -> DataFrame:
+    """What is known of a document's set. Where h is the document itself: its representative and, as value, its component.
+    Where h is a head that it met: the head's representative and, as value, their overlap. own: the document's representative."""
     comp = nodes.select(F.col("node").alias("rep"), "component")
-    mine = classes.select("doc_id", "rep").join(comp, "rep", "left").select("doc_id", "rep", F.coalesce("component", "rep").alias("component"))
-    entries = materialize(lists.join(mine, "doc_id").dropDuplicates(["token", "rep"]), "jaccard-entries")
-    sizes = entries.groupBy("token", "component").agg(F.count("*").alias("m"))
-    main = sizes.groupBy("token").agg(F.max(F.struct("m", "component")).alias("x"), F.count("*").alias("k")).where("k > 1")
-    main = materialize(main.select("token", F.col("x.m").alias("m"), F.col("x.component").alias("main")), "jaccard-live")
-    live = entries.join(main, "token")
-    rep = lambda c: mine.select(F.col("doc_id").alias(c), F.col("rep").alias(f"{c}_rep"))
-    for c in HEADS:
-        live = live.join(rep(c), c, "left")
+    mine = classes.select("doc_id", "rep").distinct().join(comp, "rep", "left")
+    mine = mine.select("doc_id", F.col("rep").alias("own"), F.col("doc_id").alias("h"), "rep", F.coalesce("component", "rep").alias("value"))
     seen = overlaps.select("a", "b", "overlap").union(overlaps.select("b", "a", "overlap")).distinct()
-    for c in HEADS:
-        live = live.join(seen.select(F.col("a").alias(f"{c}_rep"), F.col("b").alias("rep"), F.col("overlap").alias(f"{c}_overlap")), [f"{c}_rep", "rep"], "left")
-    parts = F.ceil(F.col("m") / PART).cast("int")
-    part = F.when(F.col("component") == F.col("main"), F.array(F.pmod(F.xxhash64("rep"), parts).cast("int"))).otherwise(F.sequence(F.lit(0), parts - 1))
-    columns = ["rep", "size", "pos", "block", "component", *(f"{c}_{x}" for c in HEADS for x in ("rep", "overlap"))]
-    dealt = live.select("token", F.explode(part).alias("part"), (F.col("component") == F.col("main")).alias("in_main"), *columns)
-    bundles = max(24, (entries.join(main, "token", "left_semi").count()) // BUNDLE)
-    dealt = dealt.withColumn("bundle", F.pmod(F.xxhash64("token", "part"), F.lit(bundles)))
+    met = answers.where("doc_id <> h").join(seen, ["a", "b"]).select("doc_id", F.col("b").alias("own"), "h", F.col("a").alias("rep"), F.col("overlap").alias("value"))
+    return mine.unionByName(met)
+
+
+def _main(lists: DataFrame, facts: DataFrame) -> DataFrame:
+    """(token, main, parts): the largest component of each list of more than PART entries, and how many parts its sets make."""
+    mine = facts.where("doc_id = h").select("doc_id", F.col("value").alias("component"))
+    sizes = lists.where(F.col("length") > PART).select("token", "doc_id").join(mine, "doc_id").groupBy("token", "component").agg(F.count("*").alias("m"))
+    main = sizes.groupBy("token").agg(F.max(F.struct("m", "component")).alias("x"))
+    return materialize(main.select("token", F.col("x.component").alias("main"), F.ceil(F.col("x.m") / PART).cast("int").alias("parts")), "jaccard-main")
+
+
+def _told(batches: Iterator[pa.RecordBatch], bundles: int) -> Iterator[pa.RecordBatch]:
+    """Packed entries, by bundles of lists, from rows that come document by document, its facts before its entries. No more is
+    held than a batch, the facts of the document at its end and entries up to FLUSH."""
+    carried, held, n_held = None, [], 0
+
+    def packed() -> pa.RecordBatch:
+        rows = np.concatenate(held)
+        salt = mix(rows["token"].astype(np.uint64) * np.uint64(31) + rows["part"].astype(np.uint64))
+        held.clear()
+        return _pack((salt % np.uint64(bundles)).astype(np.int32), rows, "bundle")
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        is_fact = b["size"].is_null().to_numpy(zero_copy_only=False)
+        ints = lambda c, rows: b[c].fill_null(-1).to_numpy()[rows]  # noqa: E731, B023
+        facts = np.stack([ints(c, is_fact) for c in ("doc_id", "own", "h", "rep", "value")])
+        facts = facts if carried is None else np.concatenate([carried, facts], axis=1)
+        carried = facts[:, facts[0] == b["doc_id"][-1].as_py()]
+        e = {c: ints(c, ~is_fact) for c in ("token", "doc_id", "size", "pos", "block", "main", "parts", *HEADS)}
+        if not len(e["token"]):
+            continue
+        # one number for a document and what it met, so that facts are found by bisection
+        docs, met = np.unique(facts[0]), np.unique(facts[2])
+        key = np.searchsorted(docs, facts[0]) * len(met) + np.searchsorted(met, facts[2])
+        order = np.argsort(key, kind="stable")
+        key, facts = key[order], facts[:, order]
+        at = np.searchsorted(docs, e["doc_id"]) * len(met)
+        own = at + np.searchsorted(met, e["doc_id"])
+        lo, hi = np.searchsorted(key, own), np.searchsorted(key, own, "right")
+        i = np.repeat(np.arange(len(own)), hi - lo)  # rows of one id with different sets have several representatives
+        mine = lo[i] + np.arange(len(i)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)
+        rows = np.empty(len(i), ENTRY)
+        for c in ("token", "size", "pos", "block"):
+            rows[c] = e[c][i]
+        rows["rep"], rows["component"], rows["parts"] = facts[3, mine], facts[4, mine], e["parts"][i]
+        for c in HEADS:
+            h = e[c][i]
+            k = np.minimum(np.searchsorted(met, h), len(met) - 1)
+            f = np.minimum(np.searchsorted(key, at[i] + k), len(key) - 1)
+            ok = (met[k] == h) & (key[f] == at[i] + k) & (h != e["doc_id"][i]) & (facts[1, f] == rows["rep"]) & b[c].is_valid().to_numpy(zero_copy_only=False)[~is_fact][i]
+            rows[f"{c}_rep"], rows[f"{c}_overlap"] = np.where(ok, facts[3, f], -1), np.where(ok, facts[4, f], -1)
+        # a long list's largest component is dealt out to parts; what else the list holds, the fewer, goes to each part
+        rows["in_main"] = (rows["parts"] > 0) & (rows["component"] == e["main"][i])
+        rows["part"] = (mix(rows["rep"].astype(np.uint64)) % np.maximum(rows["parts"], 1).astype(np.uint64)).astype(np.int32)
+        times = np.where(rows["in_main"] > 0, 1, np.maximum(rows["parts"], 1))
+        dealt = np.repeat(rows, times)
+        spread = np.arange(len(dealt)) - np.repeat(np.cumsum(times) - times, times)
+        dealt["part"] = np.where(dealt["in_main"] > 0, dealt["part"], spread)
+        held.append(dealt)
+        n_held += len(dealt)
+        if n_held >= FLUSH // 2:
+            yield packed()
+            n_held = 0
+    if held:
+        yield packed()
+
+
+def _rest(lists: DataFrame, facts: DataFrame, overlaps: DataFrame) -> DataFrame:
+    """Pairs (a, b) of lists whose sets are in several components, which neither the heads' answers nor blocks and positions
+    settle. Lists are shuffled twice: to what is known of their documents, and, packed, to each other."""
+    bundles = max(24, lists.count() // BUNDLE)
+    entries = lists.join(_main(lists, facts), "token", "left").drop("length")
+    told = entries.unionByName(facts, allowMissingColumns=True).repartition("doc_id").sortWithinPartitions("doc_id", F.col("size").isNotNull())
+    dealt = told.mapInArrow(lambda batches: _told(batches, bundles), "bundle int, k int, rows binary")
 
     def cross(bundle: pa.Table) -> pa.Table:
-        g = {c: bundle[c].to_numpy() if not bundle[c].null_count else bundle[c].fill_null(-1).to_numpy() for c in bundle.column_names}
-        order = np.lexsort((g["pos"], g["block"], g["part"], g["token"]))
-        g = {c: x[order] for c, x in g.items()}
-        g["size"], g["pos"] = g["size"].astype(np.int64), g["pos"].astype(np.int64)
-        changes = (g["token"][1:] != g["token"][:-1]) | (g["part"][1:] != g["part"][:-1])
-        edges = [0, *(np.flatnonzero(changes) + 1).tolist(), len(order)]
+        g = _unpack(bundle, ENTRY)
+        g = g[np.lexsort((g["rep"], g["part"], g["token"]))]
+        same = (g["token"][1:] == g["token"][:-1]) & (g["part"][1:] == g["part"][:-1]) & (g["rep"][1:] == g["rep"][:-1])
+        g = g[np.concatenate(([True], ~same))]
+        starts = _starts(g)
+        sizes = np.diff(np.append(starts, len(g)))
+        live = np.minimum.reduceat(g["component"], starts) < np.maximum.reduceat(g["component"], starts)
+        g = g[np.repeat(live, sizes)]
+        g = g[np.lexsort((g["pos"], g["block"], g["part"], g["token"]))]
+        edges = [*_starts(g).tolist(), len(g)]
         out = [np.empty((2, 0), np.int64)]
         for lo, hi in zip(edges, edges[1:], strict=False):
-            out += _met({c: x[lo:hi] for c, x in g.items()})
+            one = {c: g[c][lo:hi].astype(np.int64) for c in ENTRY.names}
+            if one["parts"][0] < 1:
+                own, times = np.unique(one["component"], return_counts=True)
+                one["in_main"] = one["component"] == own[np.argmax(times)]
+            one["in_main"] = one["in_main"].astype(bool)
+            out += _met(one)
         found = np.unique(np.concatenate(out, axis=1), axis=1)
         return pa.table({"a": pa.array(found[0]), "b": pa.array(found[1])})
 
@@ -337,6 +425,12 @@ def _rest(lists: DataFrame, classes: DataFrame, nodes: DataFrame, overlaps: Data
     return dealt.groupBy("bundle").applyInArrow(cross, "a long, b long").distinct().join(met, ["a", "b"], "left_anti")
 
 
+def _starts(g: np.ndarray) -> np.ndarray:
+    """Where each list's part begins."""
+    changes = (g["token"][1:] != g["token"][:-1]) | (g["part"][1:] != g["part"][:-1])
+    return np.flatnonzero(np.concatenate((np.ones(min(1, len(g)), bool), changes)))
+
+
 def _met(g: dict[str, np.ndarray]) -> list[np.ndarray]:
     """Pairs of one list's part. Blocks of sizes that can't match are skipped; in the others, entries past the last position that
     leaves enough to share with the block's largest set."""
@@ -400,12 +494,14 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     to_rep = classes.select("doc_id", "rep").distinct()
     heads = lists.select("doc_id", F.explode(F.array(*HEADS)).alias("h")).where("h is not null").distinct()
-    pairs = heads.join(to_rep.select(F.col("doc_id").alias("h"), F.col("rep").alias("a")), "h").join(to_rep.withColumnRenamed("rep", "b"), "doc_id")
-    overlaps = _verified(_may_link(pairs.where("a <> b").select("a", "b").distinct(), own), docs)
+    answers = heads.join(to_rep.select(F.col("doc_id").alias("h"), F.col("rep").alias("a")), "h").join(to_rep.withColumnRenamed("rep", "b"), "doc_id")
+    answers = materialize(answers.where("a <> b"), "jaccard-heads")
+    overlaps = _verified(_may_link(answers.select("a", "b").distinct(), own), docs)
     same = classes.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     nodes = materialize(connected(same.union(_links(overlaps))), "jaccard-nodes")
 
-    rest = materialize(_rest(lists, classes, nodes, overlaps), "jaccard-rest")
+    facts = materialize(_facts(classes, nodes, answers, overlaps), "jaccard-facts")
+    rest = materialize(_rest(lists, facts, overlaps), "jaccard-rest")
     if not rest.isEmpty():
         more = _links(_verified(_may_link(rest, own), docs))
         nodes = connected(same.union(_links(overlaps)).union(more))
