@@ -96,6 +96,30 @@ def test_jaccard_equals_brute_force(spark):
     assert [got[i] for i in range(len(texts))] == _plain_components(texts)
 
 
+def test_jaccard_lists_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "PART", 3)  # long lists are dealt out in parts, each with the rest of its list
+    rng = random.Random(5)
+    shared, texts = prose(rng, 40), []
+    for _ in range(5):
+        base = prose(rng, 45).split()
+        for _ in range(6):
+            base = [*base]
+            base[rng.randrange(len(base))] = prose(rng, 1)
+            texts.append(f"{shared} {' '.join(base)}")
+    rows = [(k % 28, t, "", "", 0) for k, t in enumerate(texts)]  # two ids have two sets each
+    got = {(r.doc_id, r.component_id) for r in jaccard.jaccard_components(spark.createDataFrame(rows, DOCS)).collect()}
+    n = len(texts)
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.lower().split() for t in texts)]
+    linked = lambda i, j: 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])
+    comp = {k: k for k in range(28)}
+    for _ in range(n):
+        for i in range(n):
+            for j in range(n):
+                if linked(i, j):
+                    comp[i % 28] = comp[j % 28] = min(comp[i % 28], comp[j % 28])
+    assert got == set(comp.items()) and len(set(comp.values())) > 1
+
+
 def test_jaccard_edges(spark):
     assert jaccard.jaccard_components(docs(spark, [])).count() == 0
     rows = [(None, "a b c d e f", "", "", 0), (None, None, "", "", 0), (4, "a b c d e f", "", "", 0), (4, "q r s t u v", "", "", 0), (2, "Q R S T U V", "", "", 0), (9, "", "", "", 0)]
