@@ -1,34 +1,38 @@
 """Main text of web pages by consensus of each host's pages on where it stands.
 
-Every page scores its containers and votes for the one that holds its article, by the container's generalised path: tags
-with their classes from the root, numbers in classes blanked. Spark counts the votes of each host and path. Each page is
-then read again by its host's winning path, or the best-placed one it has, or its own choice if it has none of them.
+Every page votes for the smallest container around all of its text that isn't boilerplate, by the container's generalised
+path: tags with their classes from the root, numbers in classes blanked. It also hands in a hash of what stands at each of its
+paths. Spark counts the votes of each host and path, and finds the paths where most pages of the host say the same. Each page is
+then read again: the smallest container around its own text and its host's winning path, or the best-placed one it has.
 
-What counts as boilerplate is told by tag (menus, footers, asides, forms, scripts, ...) or by a word in class, id or role.
+What counts as boilerplate is told by tag (menus, footers, asides, forms, scripts, ...), by a word in class, id or role, or by
+the host: a path with one and the same text on most of its pages, which is a small part of each. Blocks that are mostly links
+don't count as text when the container is chosen, and are read where they stand in it. Nothing else is left out.
 
 Defined results. A null or empty page has empty text. A page without a url, or with one that isn't a URL, votes with the
 others of that kind. Ties between paths go to the higher score, then to the smaller path. Repeated pages are each read, and
-each votes. White space is what str.split() takes for it; a line break element is white space inside its block. Only id, url
-and html are read.
+each votes; they count once where texts of a path are compared. White space is what str.split() takes for it; a line break
+element is white space inside its block. Only id, url and html are read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Collection, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexspan.llm.common import materialize, table
+from lexspan.llm.common import batch, materialize, table
 
 #: Winning paths kept for a host; hosts whose winners go to every executor.
 PLACES, SENT = 3, 100_000
-#: A container is entered further while one inside holds such a share of its text.
-SHARE = 0.75
+#: A host's path is boilerplate where more than half of its pages, and so many, have the same text, such a share of theirs at most.
+ALIKE, SMALL = 3, 0.1
 
 # Names of HTML elements, and words that name boilerplate.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -69,38 +73,44 @@ class Page:
     def chars(self, c: Container) -> int:
         return sum(len(b) for b in self.blocks[c.first : c.last]) - sum(self.links[c.first : c.last])
 
-    def best(self) -> Container | None:
-        """Down from the page's root, into a container that holds nearly all of the text of the one around it."""
-        inside: dict[int, list[int]] = {}
-        for i, c in enumerate(self.containers):
-            if not c.dropped:
-                inside.setdefault(c.parent, []).append(i)
-        at, whole = -1, sum(map(len, self.blocks)) - sum(self.links)
-        while whole > 0:
-            if at >= 0 and self.containers[at].tag in WHOLE:
-                break
-            sized = [(self.chars(self.containers[i]), -i) for i in inside.get(at, ())]
-            n, i = max(sized, default=(0, 0))
-            if n < SHARE * whole:
-                break
-            at, whole = -i, n
-        return self.containers[at] if at >= 0 else None
+    def around(self, paths: Sequence[str] = (), same: Collection[str] = ()) -> tuple[Container | None, list[int]]:
+        """The smallest container around the page's text and the first of the paths that it has text in, and its blocks.
 
-    def text(self, paths: Sequence[str]) -> str:
-        """Blocks of the containers with the first of the paths that the page has text in; else of its own best."""
+        Blocks at the paths of `same` are left out, unless nothing else is there. No container: all of the page.
+        """
+        out = {k for c in self.containers if c.path in same for k in range(c.first, c.last)} if same else set()
+        if len(out) == len(self.blocks):
+            out = set()
+        kept = [k for k in range(len(self.blocks)) if k not in out]
+        need = [k for k in kept if 2 * self.links[k] <= len(self.blocks[k])]
         for path in paths:
-            own = [c for c in self.containers if c.path == path and not c.dropped]
-            if found := self._joined(own):
-                return found
-        best = self.best()
-        return self._joined([best]) if best else "\n".join(self.blocks)
+            if own := [k for c in self.containers if c.path == path and not c.dropped for k in range(c.first, c.last) if k not in out]:
+                need += own
+                break
+        if not need:
+            return None, kept
+        first, last = min(need), max(need)
+        at = None
+        for c in self.containers:
+            if not c.dropped and c.first <= first and last < c.last and (at is None or c.last - c.first <= at.last - at.first):
+                at = c
+        return at, [k for k in kept if at.first <= k < at.last] if at else kept
+
+    def text(self, paths: Sequence[str] = (), same: Collection[str] = ()) -> str:
+        return "\n".join(self.blocks[k] for k in self.around(paths, same)[1])
 
-    def _joined(self, own: list[Container]) -> str:
-        out, upto = [], 0
-        for c in own:
-            out += self.blocks[max(c.first, upto) : c.last]
-            upto = max(upto, c.last)
-        return "\n".join(out)
+    def said(self) -> tuple[int, dict[str, tuple[int, float]]]:
+        """A hash of the page's blocks; and for each path a hash of those in all its containers, and their share of the text."""
+        marks, found = [_hash(b.encode("utf-8", "surrogatepass")) for b in self.blocks], {}
+        for c in self.containers:
+            if not c.dropped and c.first < c.last:
+                found.setdefault(c.path, []).extend(range(c.first, c.last))
+        whole, number = sum(map(len, self.blocks)), lambda own: int.from_bytes(_hash(b"".join(own)), "little", signed=True)
+        return number(marks), {path: (number([marks[k] for k in own]), sum(len(self.blocks[k]) for k in own) / whole) for path, own in found.items()}
+
+
+def _hash(raw: bytes) -> bytes:
+    return hashlib.blake2b(raw, digest_size=8).digest()
 
 
 def _attributes(raw: str) -> tuple[str, bool]:
@@ -215,44 +225,55 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
+CAST = pa.schema([("host", pa.string()), ("path", pa.string()), ("n", pa.int64()), ("score", pa.int64()), ("said", pa.int64()), ("page", pa.int64()), ("share", pa.float64())])
+
+
 def votes(pages: DataFrame) -> DataFrame:
-    """host, path, score: the vote of each page (host, html) that has text."""
+    """A row for each path of each page (host, html) that has text: n is 1 for the one that the page votes for, else 0;
+    hashes of what the page says there and in all, and the former's share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for host, source in zip(b["host"].to_pylist(), b["html"].to_pylist(), strict=True):
                 page = parse(source or "")
-                if c := page.best():
-                    rows.append((host, c.path, page.chars(c)))
-            cols = list(zip(*rows, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], names=["host", "path", "score"])
+                c, (whole, found) = page.around()[0], page.said()
+                for path, (said, share) in found.items():
+                    own = c is not None and path == c.path
+                    rows.append((host, path, int(own), page.chars(c) if own else 0, said, whole, share))
+            yield batch(list(zip(*rows, strict=True)) or [()] * len(CAST), CAST)
 
-    return pages.select("host", "html").mapInArrow(run, "host string, path string, score long")
+    return pages.select("host", "html").mapInArrow(run, "host string, path string, n long, score long, said long, page long, share double")
 
 
 def consensus(cast: DataFrame, places: int = PLACES) -> DataFrame:
-    """host, paths: the best-placed paths of each host."""
-    counted = cast.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("score").alias("score"))
+    """host, paths, same: the best-placed paths of each host, and those where its pages say the same."""
+    counted = cast.groupBy("host", "path").agg(F.sum("n").alias("n"), F.sum("score").alias("score")).where("n > 0")
     order = Window.partitionBy("host").orderBy(F.desc("n"), F.desc("score"), "path")
     placed = counted.withColumn("place", F.row_number().over(order)).where(F.col("place") <= places)
-    return placed.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "path"))), lambda x: x["path"]).alias("paths"))
+    best = placed.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "path"))), lambda x: x["path"]).alias("paths"))
+    texts = cast.groupBy("host", "path", "said", "page").agg(F.max("share").alias("share"))
+    texts = texts.groupBy("host", "path", "said").agg(F.count("*").alias("pages"), F.max("share").alias("share"))
+    paths = texts.groupBy("host", "path").agg(F.sum("pages").alias("all"), F.max(F.struct("pages", "share")).alias("most"))
+    alike = paths.where((F.col("most.pages") >= ALIKE) & (2 * F.col("most.pages") > F.col("all")) & (F.col("most.share") <= SMALL))
+    return best.join(alike.groupBy("host").agg(F.array_sort(F.collect_list("path")).alias("same")), "host", "left")
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text and n_chars of each page."""
     pages = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
-    winners = materialize(consensus(votes(pages)), "html-winners")
+    winners = materialize(consensus(materialize(votes(pages), "html-votes")), "html-winners")
     few = winners.count() <= SENT
     joined = pages.join(F.broadcast(winners) if few else winners, "host", "left")
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text = [parse(s or "").text(p or ()) for s, p in zip(b["html"].to_pylist(), b["paths"].to_pylist(), strict=True)]
+            read = zip(b["html"].to_pylist(), b["paths"].to_pylist(), b["same"].to_pylist(), strict=True)
+            text = [parse(s or "").text(p or (), frozenset(q or ())) for s, p, q in read]
             yield pa.RecordBatch.from_arrays([b["page_id"], b["url"], pa.array(text, pa.string()), pa.array(map(len, text), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return joined.select("page_id", "url", "html", "paths").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "paths", "same").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

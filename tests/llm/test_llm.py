@@ -339,6 +339,21 @@ def test_html_consensus_and_edges(spark):
     assert html_extract.extract(empty).count() == 0
 
 
+def test_html_of_divs_is_whole(spark):
+    page = '<html><body><div class="menu"><a href="/">m</a></div><div class="post"><h1>Title {0}</h1>{1}<div class="story"><p>{2}</p></div>{3}</div><div class="tail"><p>Standing line.</p></div></body></html>'
+    story = lambda i: f"Story {i} " + "and so on " * 40
+    intro = lambda i: f'<div class="intro"><p>Intro {i} {"of some words " * 6}</p></div>'
+    rows = [(i, f"http://d.org/{i}", page.format(i, intro(i) if i % 3 == 0 else "", story(i), '<div class="end"><p>End.</p></div>' if i == 4 else "")) for i in range(8)]
+    rows += [(i, f"http://d.org/{i}", page.format(i, intro(i), story(i), "")) for i in (0, 0, 0)]  # repeated pages don't make their text a standing one
+    rows += [(20 + i, "http://a.org", f"<body><div><h1>Title {i}</h1><article><p>{story(i)}</p></article></div></body>") for i in range(2)]
+    want = {}
+    for i, _, source in rows:
+        blocks = re.findall(r"<(?:h1|p)>(.*?)</(?:h1|p)>", source)
+        want[i] = "\n".join(" ".join(b.split()) for b in blocks if b != "Standing line.")
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    assert len(got) == len(rows) and all(r.text == want[r.page_id] for r in got)
+
+
 # --- 7: WARC ---
 
 
