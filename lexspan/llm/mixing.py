@@ -6,7 +6,10 @@ higher than the cap. The convex dual is solved by Newton steps, block by block w
 columns: a step needs a gradient (words taken less target) and a curvature for each group, which are sums that Spark
 aggregates over cells, the distinct combinations of the constraint columns with their exact word counts. Rates then
 become whole copies by systematic rounding: documents of a cell are dealt into strata by a hash of their id, sorted by
-size, and the running sum of rates is rounded, so that a stratum's error is at most half its largest document.
+size, and the running sum of rates is rounded. A source's strata start their sums at evenly spaced offsets, from one drawn by a
+hash of the source, so that the errors of their largest documents cancel; a stratum's error is less than its largest document.
+The SQL of op9_mixing starts every sum at one half, where errors of a stratum are at most half its largest document but have
+one sign in all strata of a source; that query follows its SQL (`spread=False`), the pipeline doesn't.
 
 Defined results. A null text has size 0. A null source is a source of its own, the last. Repeated rows are separate
 documents. Documents of size 0 may get copies but take no words. No documents: no rows. Clashing column names: the input
@@ -103,8 +106,8 @@ def _salt(id_col: Column, n: Column) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(F.coalesce(id_col.cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long"), n)
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: int = CAP) -> DataFrame:
-    """docs with size, source_size, target, rate and copies; taken words are copies * size."""
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: int = CAP, spread: bool = True) -> DataFrame:
+    """docs with size, source_size, target, rate and copies; taken words are copies * size. spread: offsets of a source's strata."""
     sized = docs.withColumn("size", word_count(F.col(text_col)))
     slim = materialize(sized.groupBy(F.col(source_col).alias("source")).agg(F.sum("size").alias("words"), F.count("*").alias("n")), "mix-cells")
     targets = targets_by_weight(slim.select("source", F.col("words").alias("source_size")), cap=cap)
@@ -112,11 +115,14 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     plan = rates.join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "words")
     plan = materialize(plan.withColumn("_parts", F.round(F.col("rate") * PARTS).cast("long")).withColumnRenamed("source", "_source"), "mix-plan")
     joined = sized.join(plan, F.col(source_col).eqNullSafe(F.col("_source")))
-    dealt = joined.withColumn("_stratum", _salt(F.col(id_col), F.ceil(F.col("n") / STRATUM).cast("long")))
+    strata = F.ceil(F.col("n") / STRATUM).cast("long")
+    dealt = joined.withColumn("_stratum", _salt(F.col(id_col), strata))
     run = Window.partitionBy("_source", "_stratum").orderBy(F.desc("size"), F.col(id_col).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
     upto = F.sum("_parts").over(run)
-    half = F.lit(PARTS // 2)
-    copies = F.floor((F.col("_upto") + half) / PARTS) - F.floor((F.col("_upto") - F.col("_parts") + half) / PARTS)
+    start = F.lit(PARTS // 2)
+    if spread:
+        start = F.pmod(_salt(F.col("_source"), F.lit(PARTS)) + F.floor(F.col("_stratum") * PARTS / strata), F.lit(PARTS))
+    copies = F.floor((F.col("_upto") + start) / PARTS) - F.floor((F.col("_upto") - F.col("_parts") + start) / PARTS)
     return dealt.withColumn("_upto", upto).withColumn("copies", F.least(F.lit(cap), copies).cast("int")).drop("_source", "_stratum", "_upto", "_parts", "n")
 
 
@@ -124,7 +130,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     # counted once and written: the rounding sorts ids and sizes, not texts
     sized = docs.select("doc_id", "source", "text")
-    return mix(sized).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    return mix(sized, spread=False).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
 #: DuckDB SQL for op9_mixing: the dual has a closed form where each document is in one group.

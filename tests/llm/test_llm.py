@@ -438,6 +438,19 @@ def test_mixing_targets_and_caps(spark):
     assert {r.copies * r["size"] for r in mixing.mix(docs(spark, [None, ""])).collect()} == {0}
 
 
+def test_mixing_takes_long_documents_of_low_rates(spark):
+    # one document in 160 is long, the rate of "b" is below 0.5, and its strata are many
+    sizes = [2000 if i % 160 == 0 else 4 for i in range(8000)]
+    rows = [(i, "w " * n, "en", "b", 0) for i, n in enumerate(sizes)] + [(10_000 + i, "w " * n, "en", s, 0) for s in "acd" for i, n in enumerate(sizes[:1000])]
+    rows = [(d + 100_000 * "abcd".index(s), *rest, s, n) for d, *rest, s, n in rows]
+    got = mixing.mix(spark.createDataFrame(rows, DOCS).repartition(3)).collect()
+    for s in "abcd":
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r.copies * r["size"] for r in own) - own[0].target) < 0.1 * own[0].target
+    low = [r for r in got if r.source == "b"]
+    assert low[0].rate < 0.5 and sum(r.copies for r in low if r["size"] == 2000) > 15
+
+
 def test_balance_of_two_constraints(spark):
     cells = spark.createDataFrame([("a", "x", 100), ("a", "y", 300), ("b", "x", 200), ("b", "y", 100)], "source string, lang string, words long")
     t = {"source": spark.createDataFrame([("a", 300.0), ("b", 400.0)], "source string, target double"), "lang": spark.createDataFrame([("x", 450.0), ("y", 250.0)], "lang string, target double")}
