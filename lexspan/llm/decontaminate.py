@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexspan.llm.common import arrow_schema, batch, carried, table, text_slices
+from lexspan.llm.common import arrow_schema, batch, carried, materialize, table, text_slices
 
 WINDOW = 13
 #: A document is contaminated from one hit word in so many on.
@@ -29,6 +29,9 @@ BLOCK_BYTES = 8 << 20
 #: A-Z to a-z; every other ASCII byte that isn't a letter or digit to a space; bytes from 128 on stay.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
+#: Key of a row where documents are scanned in blocks.
+ROW = "row key"
+
 RESULT = (
     T.StructField("n_words", T.LongType()),
     T.StructField("n_hit", T.LongType()),
@@ -119,7 +122,8 @@ def decontaminate(
     """id, `keep`, n_words, n_hit, items (ids as strings, sorted), spans (code points) and contaminated of each document.
 
     The benchmark's size is measured first. Up to `block_bytes` one automaton serves all; beyond, the items are dealt
-    into blocks of that size by hash, each block scans the documents, and the spans are merged by document.
+    into blocks of that size by hash, each block scans a copy of the documents with a key for each row, and the spans are
+    merged by that key.
     """
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -132,21 +136,23 @@ def decontaminate(
     if blocks == 1:
         found = _scan_block(docs, read(0), id_col, text_col, keep)
     else:
-        found = _merged([_scan_block(docs, read(k), id_col, text_col, keep) for k in range(blocks)], docs, id_col, text_col, keep)
+        carried(docs, keep, [id_col, *(f.name for f in RESULT)])  # before any work: clashes are errors
+        only = docs.select(*(F.col(c).alias(f"_{c}") for c in dict.fromkeys([id_col, text_col, *keep])))
+        keyed = materialize(only.withColumn(ROW, F.monotonically_increasing_id()), "keyed-docs")  # written: every scan sees the same keys
+        found = _merged([_scan_block(keyed, read(k), ROW, f"_{text_col}", ()) for k in range(blocks)], keyed, docs, id_col, text_col, keep)
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(one_in) * F.col("n_hit") >= F.col("n_words")))
 
 
-def _merged(parts: list[DataFrame], docs: DataFrame, id_col: str, text_col: str, keep: Sequence[str]) -> DataFrame:
-    """One row for each document out of one for each document and block; ids have to be unique here."""
-    spans = parts[0].select(id_col, "n_words", "items", "spans")
+def _merged(parts: list[DataFrame], keyed: DataFrame, docs: DataFrame, id_col: str, text_col: str, keep: Sequence[str]) -> DataFrame:
+    """One row for each row of `keyed` (docs' columns with a leading "_", and ROW) out of one for each row and block."""
+    spans = parts[0].select(ROW, "n_words", "items", "spans")
     for p in parts[1:]:
-        spans = spans.unionByName(p.select(id_col, "n_words", "items", "spans"))
-    joined = spans.groupBy(id_col).agg(
+        spans = spans.unionByName(p.select(ROW, "n_words", "items", "spans"))
+    joined = spans.groupBy(ROW).agg(
         F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
     )
-    texts = docs.select(F.col(id_col).alias("_id"), *(F.col(c).alias(f"_{c}") for c in dict.fromkeys([text_col, *keep])))
-    both = texts.join(joined, F.col("_id").eqNullSafe(F.col(id_col)))
+    both = keyed.join(joined, ROW)
     fields = [docs.schema[id_col], *carried(docs, keep, [id_col, *(f.name for f in RESULT)]), *RESULT]
     schema = arrow_schema(fields)
 
@@ -163,7 +169,7 @@ def _merged(parts: list[DataFrame], docs: DataFrame, id_col: str, text_col: str,
                 text = raw.decode("utf-8", "replace")
                 n_hit.append(sum(len(words(text[s["start"] : s["end"]].encode())) for s in merged))
                 spans.append(merged)
-            yield batch([b[id_col], *(b[f"_{c}"] for c in keep), b["n_words"], n_hit, b["items"], spans], schema)
+            yield batch([b[f"_{id_col}"], *(b[f"_{c}"] for c in keep), b["n_words"], n_hit, b["items"], spans], schema)
 
     return both.mapInArrow(run, T.StructType(fields))
 

@@ -183,6 +183,21 @@ def test_decontaminate_equals_brute_force(spark):
         decontaminate.decontaminate(clashing(docs(spark, texts)), bench, keep=["n_words"])
 
 
+@pytest.mark.parametrize("block", [1 << 20, 300])
+def test_decontaminate_judges_each_row(spark, block):
+    rng = random.Random(6)
+    items = [(i, prose(rng, 20)) for i in range(12)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = [prose(rng, 30), prose(rng, 5) + " " + items[3][1], items[7][1] + " " + prose(rng, 900), prose(rng, 3), None, items[3][1] + " " + items[9][1]]
+    for same in (7, None):
+        rows = [(same, t, "en", str(i), 0) for i, t in enumerate(texts)] + [(8, texts[1], "en", "6", 0)]
+        got = decontaminate.decontaminate(spark.createDataFrame(rows, DOCS).repartition(3), bench, block_bytes=block, keep=["source", "text"]).collect()
+        want = decontaminate.brute_force([(int(r[3]), r[1]) for r in rows], items)
+        assert sorted(int(r.source) for r in got) == list(range(7))
+        assert {int(r.source): (r.n_words, r.n_hit, r["items"], r.contaminated) for r in got} == want
+        assert all(r.text == rows[int(r.source)][1] and r.doc_id == rows[int(r.source)][0] for r in got)
+
+
 # --- 3: line dedup ---
 
 
