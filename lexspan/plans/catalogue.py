@@ -211,7 +211,7 @@ def _units(spark, sf):
            sha256(source || CASE WHEN i > 0 THEN ' body' ELSE '' END || ' A' || i || chr(10) || text) AS text_sha256 FROM s""",
 )
 def structure_chunks(spark, sf):
-    """Of documents whose paragraphs are all short: SQL can't pack sentences; tests do the others."""
+    """Of documents whose paragraphs are all short, which SQL can express: a check. The whole job is structure_chunks_all."""
     units = _units(spark, sf)
     long = units.where(F.char_length("text") > chunking.MAX_CHARS).select("doc_id").distinct()
     chunks = chunking.structure_chunks(units.join(long, "doc_id", "left_anti"))
@@ -220,6 +220,7 @@ def structure_chunks(spark, sf):
 
 @query("structure_chunks_all")
 def structure_chunks_all(spark, sf):
+    """Of all documents. SQL can't pack sentences; a test compares with a plain packer."""
     return chunking.structure_chunks(_units(spark, sf)).select("chunk_id", "doc_id", "seq", "article_label", "content")
 
 
