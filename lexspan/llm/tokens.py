@@ -1,12 +1,12 @@
 """Token-ID output: Arrow IPC files whose record batches hold fixed-size lists, so that any sequence of a file is found by
-arithmetic and read without a copy, with a mask that tells tokens from the padding of the last sequence.
+arithmetic and read without a copy, with a mask (a byte a token) that tells tokens from the padding of the last sequence.
 
 Documents are dealt by ranges of their id and sorted, so that file k holds the ids that follow those of file k - 1. Each
 task writes one file and a small index (doc_id, start, n_tokens) beside it, under a name that no other attempt has, and
 returns one manifest row; only files with a manifest row are read, so a task may be tried again.
 
-Defined results. Null or empty text: the end id alone. Null ids come first. Repeated ids: each row has its own tokens, in
-any order among equal rows' texts (ties are sorted by text). No documents: no files, no rows. Only the id and text columns
+Defined results. Null or empty text: the end id alone. Null ids come first. Repeated ids: each row has its own tokens; ties go by
+a hash of the text. No documents: no files, no rows. Only the id and text columns
 are read; others, whatever their names, are left out.
 """
 
@@ -24,13 +24,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspan.llm.common import materialize, runs, scratch_path, table, utf8
+from lexspan.llm.common import materialize, runs, scratch_path, table, tidy, utf8
 
 SEQUENCE = 2048
 #: Sequences in a record batch.
 BATCH = 64
-#: Distinct words that a Python worker remembers since it last put what it knew aside; it looks there, too, until it next does.
-REMEMBERED = 400_000
+#: Bytes of words and ids, with what a dictionary takes for each, that a task remembers since it last put what it knew aside; it
+#: looks there, too, until it next does. All is forgotten when the task ends.
+REMEMBERED, EACH = 8 << 20, 160
 #: New words that are encoded together; bytes of texts whose words are looked up together.
 TOGETHER, CHUNK = 500, 1 << 20
 MANIFEST = "part long, path string, n_docs long, n_tokens long"
@@ -56,7 +57,9 @@ def filesystem(uri: str):
 
 
 class Encoder:
-    """Ids of texts as little-endian bytes of the narrowest width that holds the vocabulary."""
+    """Ids of texts as little-endian bytes of the narrowest width that holds the vocabulary.
+
+    The tokenizer is kept for a process, the words it has encoded for a task."""
 
     made: dict[Format, Encoder] = {}
 
@@ -68,6 +71,7 @@ class Encoder:
         self.kind = np.dtype("<u2" if max(self.model.get_vocab_size(), form.end_id + 1) <= 1 << 16 else "<u4")
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        self.size = 0
         special = sorted((i, t.content) for i, t in self.model.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.normalized))
         self.parting = (special[0][1], special[0][0]) if special else None
         self.stops = dict(zip((b",", b"."), self.whole([",", "."]), strict=True))
@@ -80,6 +84,9 @@ class Encoder:
             cls.made[form] = cls(form)
         return cls.made[form]
 
+    def forget(self) -> None:
+        self.known, self.older, self.size = {}, {}, 0
+
     def whole(self, texts: Sequence[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.model.encode_batch_fast(list(texts), add_special_tokens=False)]
 
@@ -121,6 +128,7 @@ class Encoder:
         self.known.update(zip(listed, self.words(listed), strict=True))
         for w in ended:
             self.known[w] = self.known[w[:-1]] + self.stops[w[-1:]]
+        self.size += sum(len(w) + len(self.known[w]) + EACH for w in words)
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         if not self.form.by_word:
@@ -128,8 +136,8 @@ class Encoder:
             return
         # special tokens are found before letters are lowered, so a text that may have one is left as it is
         split = [t.lower().split() if self.form.lower_case and b"<|" not in t else t.split() for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.older, self.known = self.known, {}
+        if self.size > REMEMBERED:
+            self.older, self.known, self.size = self.known, {}, 0
         if missing := set().union(*split) - self.known.keys():
             self.learn(missing)
         get = self.known.__getitem__
@@ -138,7 +146,7 @@ class Encoder:
 
 
 def sequence_schema(kind: np.dtype, length: int) -> pa.Schema:
-    return pa.schema([("tokens", pa.list_(pa.from_numpy_dtype(kind), length)), ("mask", pa.list_(pa.bool_(), length))])
+    return pa.schema([("tokens", pa.list_(pa.from_numpy_dtype(kind), length)), ("mask", pa.list_(pa.uint8(), length))])
 
 
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -161,8 +169,8 @@ class SequenceWriter:
     def _write(self, ids: bytes) -> None:
         got, length = np.frombuffer(ids, self.kind), self.form.sequence
         n = -(-len(got) // length)
-        padded, mask = np.zeros(n * length, self.kind), np.zeros(n * length, bool)
-        padded[: len(got)], mask[: len(got)] = got, True
+        padded, mask = np.zeros(n * length, self.kind), np.zeros(n * length, np.uint8)
+        padded[: len(got)], mask[: len(got)] = got, 1
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), length) for x in (padded, mask)]
         self.out.write_batch(pa.record_batch(lists, schema=self.schema))
 
@@ -181,16 +189,16 @@ class SequenceFile:
         self.reader, self.form = pa.ipc.open_file(self.source), form
         self.at, self.held = -1, (np.empty(0), np.empty(0))
 
-    def _batch(self, k: int) -> tuple[np.ndarray, pa.Array]:
+    def _batch(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         if k != self.at:
             b = self.reader.get_batch(k)
-            self.at, self.held = k, (b.column(0).flatten().to_numpy(zero_copy_only=True), b.column(1).flatten())
+            self.at, self.held = k, tuple(b.column(c).flatten().to_numpy(zero_copy_only=True) for c in (0, 1))
         return self.held
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """The i-th sequence and its mask."""
+        """The i-th sequence and its mask: views of the file's bytes."""
         (tokens, mask), k, n = self._batch(i // self.form.batch), i % self.form.batch, self.form.sequence
-        return tokens[k * n : (k + 1) * n], mask.slice(k * n, n).to_numpy(zero_copy_only=False)
+        return tokens[k * n : (k + 1) * n], mask[k * n : (k + 1) * n].view(bool)
 
     def tokens(self, start: int, n: int) -> np.ndarray:
         full, parts = self.form.sequence * self.form.batch, []
@@ -212,10 +220,12 @@ def write_tokens(docs: DataFrame, folder: str, form: Format, *, id_col: str = "d
     """Writes the files into `folder`, which executors and driver share, and returns their manifest, itself written."""
     wanted = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = filesystem(folder)
         part = TaskContext.get().partitionId()
         name, writer, ids, sizes, encoder = f"part-{part:06d}-{uuid.uuid4().hex}", None, [], [], Encoder.of(form)
+        encoder.forget()  # what a task that failed has left
         for b in batches:
             if writer is None and b.num_rows:
                 system.create_dir(base, recursive=True)
@@ -231,13 +241,15 @@ def write_tokens(docs: DataFrame, folder: str, form: Format, *, id_col: str = "d
             return
         writer.close()
         sink.close()
+        encoder.forget()
         n = np.array(sizes, np.int64)
         with system.open_output_stream(f"{base}/{name}.index") as side, pa.ipc.new_file(side, INDEX) as out:
             out.write_table(pa.table([pa.chunked_array(ids, pa.int64()), pa.array(np.cumsum(n) - n), pa.array(n)], schema=INDEX))
         row = {"part": [part], "path": [f"{folder}/{name}"], "n_docs": [len(n)], "n_tokens": [int(n.sum())]}
         yield pa.RecordBatch.from_pydict(row, schema=pa.schema([("part", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
-    dealt = wanted.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # rows of one id, or without any, are told apart by a hash of their texts, so that they needn't be one range
+    dealt = wanted.withColumn("_tie", F.xxhash64("text")).repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie", "text").drop("_tie")
     return materialize(dealt.mapInArrow(run, MANIFEST), "token-manifest")
 
 
@@ -251,6 +263,7 @@ def read_tokens(manifest: DataFrame, form: Format) -> DataFrame:
         files.append((r.path, at))
         at += r.n_tokens
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, base in zip(b["path"].to_pylist(), b["base"].to_pylist(), strict=True):
