@@ -7,13 +7,15 @@ a token of a toxic document with a marker is labelled toxic, all others clean. T
 gradient ascent on the full likelihood. A logistic regression on each document's marginals turns them into a score.
 
 The sample is bounded: PER_CLASS toxic and CLEAN_TIMES as many clean documents at most, the first by a hash of their id
-among the rows that may be learned from, each of at most LONGEST code points. The driver fits the model on it; the model
-is a dictionary of at most FEATURES weights. Scoring reads every whole text, in sequences of SEQUENCE tokens at most that
-lines end.
+among the rows that may be learned from, each of any length. Executors count its features, cut it into sequences and, with
+the field, sum up its marginals. The driver gets the counts of FEATURES features, TRAINED_SEQUENCES sequences, the first by
+a hash, and two numbers a document, and fits the field and the regression on them. A sequence without a marker of a toxic
+document has no known labels and isn't trained on. Scoring reads every whole text, in sequences of SEQUENCE tokens at most
+that lines end.
 
 Defined results. A null or empty text has no token and the score that the regression gives to that. A null doc_id is held
 out. Repeated rows are scored each. Without labels of both kinds every score is the share of toxic labels, or 0. Labels of
-null don't count; of several labels of one document the highest counts. Only id, text and the columns in `keep` are read.
+null don't count; of several labels of one document the highest counts; of several texts, the smallest is learned from. Only id, text and the columns in `keep` are read.
 """
 
 from __future__ import annotations
@@ -28,16 +30,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexspan.llm.common import arrow_schema, batch, carried, table, text_slices
+from lexspan.llm.common import arrow_schema, batch, carried, materialize, table, text_slices, tidy
 from lexspan.llm.shingle import shingles
 
-PER_CLASS, CLEAN_TIMES, LONGEST = 1500, 2, 60_000
+PER_CLASS, CLEAN_TIMES = 1500, 2
 FEATURES, SEQUENCE = 20_000, 48
 #: Log-likelihood ratios from which a feature is used, and from which it marks tokens.
 USED, MARKS = 12.0, 24.0
 TRAINED_SEQUENCES, STEPS, RATE, DECAY = 8_000, 60, 0.15, 1e-3
-REMEMBERED = 400_000
+#: Bytes of words that a task remembers the scores of, and again as many of those before; what an entry takes beside its word; and
+#: features or sequences that a task holds before it hands them on.
+REMEMBERED, EACH, HELD = 6 << 20, 160, 100_000
 STANDS_OUT = 0.3
+#: Files that the sample is written to.
+SAMPLE_PARTS = 16
 FOLDS = 5
 
 _SPLIT = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 10 if b == 10 else 32 for b in range(256))
@@ -64,14 +70,6 @@ def features(word: bytes) -> list[str]:
     return [f"={w}", *(f"^{w[:n]}" for n in (3, 4, 5, 6) if len(w) > n), *(f"{w[-n:]}$" for n in (3, 4) if len(w) > n)]
 
 
-def _ratio(k1: int, n1: int, k0: int, n0: int) -> float:
-    """Dunning's log-likelihood ratio, signed: positive where toxic documents have more."""
-    p = (k1 + k0) / (n1 + n0)
-    part = lambda k, e: k * np.log(k / e) if k else 0.0
-    g = 2 * (part(k1, n1 * p) + part(n1 - k1, n1 * (1 - p)) + part(k0, n0 * p) + part(n0 - k0, n0 * (1 - p)))
-    return float(g if k1 * n0 > k0 * n1 else -g)
-
-
 def marginals(e: np.ndarray, length: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """P(toxic) of each token (N, T), expected transitions (2, 2), log partition (N). e: token scores of the toxic state, (N, T)."""
     n, t = e.shape
@@ -149,16 +147,19 @@ class Model:
 
 
 class Scores(dict):
-    """Token scores by word, computed once; bounded."""
+    """Token scores by word, computed once while they are remembered."""
 
     def __init__(self, model: Model):
         super().__init__()
-        self.model = model
+        self.model, self.older, self.size = model, {}, 0
 
     def __missing__(self, w: bytes) -> float:
-        if len(self) > REMEMBERED:
+        if self.size > REMEMBERED:
+            self.older, self.size = dict(self), 0
             self.clear()
-        self[w] = s = self.model.word(w)
+        s = self.older.get(w)
+        self[w] = s = self.model.word(w) if s is None else s
+        self.size += len(w) + EACH
         return s
 
 
@@ -169,53 +170,112 @@ def _summary(p: list[np.ndarray]) -> np.ndarray:
     return np.array([(1.0, m, np.log1p(s), min(s, 3.0)) for m, s in sums]).reshape(-1, 4)
 
 
-def _distinct(texts: list[bytes]) -> np.ndarray:
-    """Which texts to learn from: of near copies, those that share one of the eight least shingle hashes, the first. Copies
-    would make words that they share look as frequent as markers."""
+def _distinct(rows: list[tuple[int, int, list[int]]]) -> dict[int, bool]:
+    """What to learn from, and whether it is toxic: of near copies, those that share one of the eight least shingle hashes, the
+    first. Copies would make words that they share look as frequent as markers. rows: doc_id, label, hashes."""
     seen: set[int] = set()
-    out = np.ones(len(texts), bool)
-    for i, t in enumerate(texts):
-        h, _ = shingles(np.array([0, len(t)]), np.frombuffer(t, np.uint8))
-        least = set(np.unique(h)[:8].tolist())
-        out[i] = seen.isdisjoint(least)
-        seen |= least
+    out: dict[int, bool] = {}
+    for i, y, least in sorted(rows):
+        if seen.isdisjoint(least):
+            out[i] = y == 1
+        seen.update(least)
     return out
 
 
-def _train(texts: list[bytes], toxic: np.ndarray) -> Model:
-    own = _distinct(texts)
-    texts, toxic = [t for t, x in zip(texts, own, strict=True) if x], toxic[own]
-    n1, n0 = int(toxic.sum()), int((~toxic).sum())
-    if not n1 or not n0:
-        return Model(constant=float(n1 > 0))
-    one: dict[bytes, bytes] = {}  # a word is held once, however often it comes
-    docs = [[[one.setdefault(w, w) for w in line] for line in tokens(t)] for t in texts]
-    known: dict[bytes, list[str]] = {}
-    df = Counter(), Counter()
-    for lines, y in zip(docs, toxic.tolist(), strict=True):
-        words = {w for line in lines for w in line}
-        df[y].update({f for w in words for f in known.setdefault(w, features(w))})
-    ratio = {f: g for f in df[1] | df[0] if df[1][f] + df[0][f] >= 3 and abs(g := _ratio(df[1][f], n1, df[0][f], n0)) >= USED}
-    # a marker is hardly ever in clean documents
-    marks = {f for f, g in ratio.items() if g >= MARKS and df[0][f] * n1 <= 0.05 * df[1][f] * n0}
-    if not marks and ratio:
-        marks = {f for f, g in ratio.items() if g >= USED and not df[0][f]}
-    kept = sorted(ratio, key=lambda f: (-abs(ratio[f]), f))[:FEATURES]
-    number = {f: i for i, f in enumerate(kept)}
-    marked = {w for w, fs in known.items() if not marks.isdisjoint(fs)}
-
-    seqs = [(line[k : k + SEQUENCE], y) for lines, y in zip(docs, toxic.tolist(), strict=True) for line in lines for k in range(0, len(line), SEQUENCE)]
-    hot = [s for s in seqs if s[1] and not marked.isdisjoint(s[0])][: TRAINED_SEQUENCES // 2]
-    rest = [s for s in seqs if not s[1]]
-    rest = [rest[i] for i in np.random.Generator(np.random.PCG64(5)).permutation(len(rest))[: TRAINED_SEQUENCES - len(hot)]]
-    chosen = hot + rest
+def _least(sample: DataFrame) -> DataFrame:
+    """doc_id, toxic and the eight least shingle hashes of each text."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for t in text_slices(b["text"]):
+                h, _ = shingles(np.array([0, len(t)]), np.frombuffer(t, np.uint8))
+                out.append(np.unique(h)[:8].astype(np.int64).tolist())
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["toxic"], pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "toxic", "least"])
+
+    return sample.mapInArrow(run, "doc_id long, toxic int, least array<long>")
+
+
+def _feature_counts(sample: DataFrame, own: dict[int, bool]) -> DataFrame:
+    """feature, k1, k0: toxic and clean documents of the sample that have it."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Counter(), Counter()
+
+        def counted() -> pa.RecordBatch:
+            names = list(seen[1].keys() | seen[0].keys())
+            made = [pa.array(names, pa.string()), *(pa.array([seen[y][f] for f in names], pa.int64()) for y in (1, 0))]
+            seen[0].clear()
+            seen[1].clear()
+            return pa.RecordBatch.from_arrays(made, names=["feature", "k1", "k0"])
+
+        for b in batches:
+            for i, raw in zip(b["doc_id"].to_pylist(), text_slices(b["text"]), strict=True):
+                if i in own:
+                    seen[own[i]].update({f for w in {w for line in tokens(raw) for w in line} for f in features(w)})
+                    if len(seen[0]) + len(seen[1]) > HELD:
+                        yield counted()
+        yield counted()
+
+    each = sample.mapInArrow(run, "feature string, k1 long, k0 long")
+    return each.groupBy("feature").agg(F.sum("k1").alias("k1"), F.sum("k0").alias("k0"))
+
+
+def _with_ratio(counts: DataFrame, n1: int, n0: int) -> DataFrame:
+    """Dunning's log-likelihood ratio, signed: positive where toxic documents have more."""
+    k1, k0 = F.col("k1"), F.col("k0")
+    p = (k1 + k0) / F.lit(n1 + n0)
+    part = lambda k, e: F.when(k > 0, k * F.log(k / e)).otherwise(0.0)
+    g = 2 * (part(k1, n1 * p) + part(n1 - k1, n1 * (1 - p)) + part(k0, n0 * p) + part(n0 - k0, n0 * (1 - p)))
+    return counts.withColumn("ratio", F.when(k1 * n0 > k0 * n1, g).otherwise(-g))
+
+
+def _sequences(sample: DataFrame, own: dict[int, bool], marks: set[str]) -> DataFrame:
+    """hot, place, words: sequences of clean documents, and those with a marker of toxic ones; place is a hash."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        rows: list[tuple[bool, int, bytes]] = []
+
+        def cut() -> pa.RecordBatch:
+            made = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True) if rows else ((), (), ()), (pa.bool_(), pa.int64(), pa.binary()), strict=True)]
+            rows.clear()
+            return pa.RecordBatch.from_arrays(made, names=["hot", "place", "words"])
+
+        for b in batches:
+            for i, raw in zip(b["doc_id"].to_pylist(), text_slices(b["text"]), strict=True):
+                if i not in own:
+                    continue
+                parts = [line[k : k + SEQUENCE] for line in tokens(raw) for k in range(0, len(line), SEQUENCE)]
+                marked = {w for w in {w for p in parts for w in p} if not marks.isdisjoint(features(w))} if own[i] else set()
+                for n, part in enumerate(parts):
+                    if not own[i] or not marked.isdisjoint(part):
+                        rows.append((own[i], xxhash.xxh3_64_intdigest(f"{i} {n}") >> 1, b" ".join(part)))
+                if len(rows) > HELD:
+                    yield cut()
+        yield cut()
+
+    return sample.mapInArrow(run, "hot boolean, place long, words binary")
+
+
+def _field(ratio: dict[str, float], marks: set[str], chosen: list[tuple[list[bytes], bool]]) -> Model:
+    """The field's weights, from sequences and whether they are of toxic documents."""
+    number = {f: i for i, f in enumerate(ratio)}
+    if not chosen:
+        return Model()
     vocabulary = sorted({w for s, _ in chosen for w in s})
     row = {w: i for i, w in enumerate(vocabulary)}
-    none = len(kept)
+    known = [features(w) for w in vocabulary]
+    marked = {w for w, fs in zip(vocabulary, known, strict=True) if not marks.isdisjoint(fs)}
+    none = len(ratio)
     table_ = np.full((len(vocabulary), 8), none)
-    for w, i in row.items():
-        own = [number[f] for f in known[w] if f in number]
-        table_[i, : len(own)] = own
+    for i, fs in enumerate(known):
+        mine = [number[f] for f in fs if f in number]
+        table_[i, : len(mine)] = mine
     sizes = np.array([len(s) for s, _ in chosen])
     flat = np.array([row[w] for s, _ in chosen for w in s])
     gold = np.array([y and w in marked for s, y in chosen for w in s], float)
@@ -242,29 +302,64 @@ def _train(texts: list[bytes], toxic: np.ndarray) -> Model:
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         params = params + RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     theta, trans = params[: none + 2], params[none + 2 :].reshape(2, 2)
-    model = Model({f: float(theta[i]) for f, i in number.items()}, float(theta[none + 1]), trans)
+    return Model({f: float(theta[i]) for f, i in number.items()}, float(theta[none + 1]), trans)
+
+
+def _summaries(sample: DataFrame, own: dict[int, bool], model: Model) -> DataFrame:
+    """doc_id and what the regression sees of each document of the sample."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Scores(model)
+        for b in batches:
+            ids, x = [], []
+            for i, raw in zip(b["doc_id"].to_pylist(), text_slices(b["text"]), strict=True):
+                if i in own:
+                    ids.append(i)
+                    x.append(_summary(model.tag([tokens(raw)], known))[0].tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "x"])
 
-    x, t, w = _summary(model.tag(docs, Scores(model))), toxic.astype(float), np.zeros(4)
-    for _ in range(30):  # Newton on the penalised likelihood
+    return sample.mapInArrow(run, "doc_id long, x array<double>")
+
+
+def _regression(x: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Newton on the penalised likelihood."""
+    w, penalty = np.zeros(x.shape[1]), np.array([1e-3, 1e-1, 1e-1, 1e-1])
+    for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag([1e-3, 1e-1, 1e-1, 1e-1])
-        w = w + np.linalg.solve(h, x.T @ (t - p) - np.array([1e-3, 1e-1, 1e-1, 1e-1]) * w)
-    model.regression = w
-    return model
+        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty)
+        w = w + np.linalg.solve(h, x.T @ (t - p) - penalty * w)
+    return w
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS) -> Model:
     """Learns from labelled rows that aren't held out. labels: a row of (id, label) or more for each labelled document."""
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).alias("toxic")).where("doc_id is not null and toxic is not null")
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
-    sized = known.join(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.char_length(text_col).alias("n")).where(F.col("n").between(1, LONGEST)), "doc_id")
+    known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(~held_out(F.col("doc_id")))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text <> ''")
+    found = known.join(texts.select("doc_id"), "doc_id", "left_semi")
     first = F.md5(F.col("doc_id").cast("string"))
-    chosen = [sized.where(F.col("toxic") == k).orderBy(first, "doc_id").limit(n).select("doc_id", "toxic") for k, n in ((1, per_class), (0, CLEAN_TIMES * per_class))]
-    # a bounded number of ids
-    picked = F.broadcast(chosen[0].unionByName(chosen[1]))
-    sample = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(picked, "doc_id").where(F.char_length("text").between(1, LONGEST))
-    rows = sorted((r.doc_id, r.text.encode(), r.toxic == 1) for r in sample.toLocalIterator())
-    return _train([t for _, t, _ in rows], np.array([y for _, _, y in rows], bool))
+    chosen = [found.where(F.col("toxic") == k).orderBy(first, "doc_id").limit(n) for k, n in ((1, per_class), (0, CLEAN_TIMES * per_class))]
+    picked = F.broadcast(materialize(chosen[0].unionByName(chosen[1]), "toxicity-picked"))  # a bounded number of ids
+    sample = texts.join(picked, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    sample = materialize(sample.repartition(SAMPLE_PARTS, "doc_id"), "toxicity-sample")
+
+    own = _distinct([tuple(r) for r in _least(sample).collect()])
+    n1, n0 = sum(own.values()), len(own) - sum(own.values())
+    if not n1 or not n0:
+        return Model(constant=float(n1 > 0))
+    counts = _with_ratio(_feature_counts(sample, own), n1, n0).where((F.col("k1") + F.col("k0") >= 3) & (F.abs("ratio") >= USED))
+    rows = counts.orderBy(F.desc(F.abs("ratio")), "feature").limit(FEATURES).collect()
+    # a marker is hardly ever in clean documents
+    marks = {r.feature for r in rows if r.ratio >= MARKS and r.k0 * n1 <= 0.05 * r.k1 * n0}
+    marks = marks or {r.feature for r in rows if r.ratio >= USED and not r.k0}
+    cut = materialize(_sequences(sample, own, marks), "toxicity-sequences")
+    take = lambda hot, n: [(bytes(r.words).split(b" "), hot) for r in cut.where("hot" if hot else "not hot").orderBy("place", "words").limit(n).collect()]
+    hot = take(True, TRAINED_SEQUENCES // 2)
+    model = _field({r.feature: r.ratio for r in rows}, marks, hot + take(False, TRAINED_SEQUENCES - len(hot)))
+    seen = sorted((r.doc_id, r.x) for r in _summaries(sample, own, model).collect())
+    model.regression = _regression(np.array([x for _, x in seen]), np.array([own[i] for i, _ in seen], float))
+    return model
 
 
 def _spans(raw: bytes, lines: list[list[bytes]], p: np.ndarray) -> list[dict]:
@@ -298,6 +393,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     fields = [docs.schema[id_col], *carried(docs, keep, [id_col, *(f.name for f in RESULT)]), *RESULT]
     schema, sent = arrow_schema(fields), docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         known = Scores(model)
@@ -325,4 +421,4 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = score(docs, fit(docs, table(spark, sf_dir, "labels")))
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "spans")
