@@ -29,15 +29,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspan.llm.common import materialize, runs, table, utf8
+from lexspan.llm.common import materialize, runs, table, tidy, utf8
 from lexspan.llm.components import connected
 from lexspan.llm.cuckoo import mix
 from lexspan.llm.shingle import shingles
 
 #: A link needs num * intersection >= ... : NUM of DEN of the union.
 NUM, DEN = 3, 4
-#: Counters of the count table, 4 bytes each; it goes to every worker and never grows.
-COUNT_BITS = 22
+#: Counters of the count table, 4 bytes each, which stop at their greatest value; it goes to every worker and never grows. Where it
+#: is small for the corpus, shingles of many documents still stand out of their counters' common level and are ordered last.
+#: Tasks hand it on in so many blocks.
+COUNT_BITS, COUNT_BLOCKS = 22, 256
+#: A set that more than one in so many of all documents have is hot; there are never more hot sets than that.
+HOT_SETS = 10_000
 #: Postings in a shard, about.
 SHARD_POSTINGS = 100_000
 #: Bits of a parity sketch at most, and at least.
@@ -122,8 +126,9 @@ def _describe(docs: DataFrame) -> DataFrame:
     """Rows of documents (doc_id, n, sig, parity) and rows of counts (block, counts), told apart by block."""
     import xxhash
 
-    blocks, size = 64, 1 << COUNT_BITS
+    blocks, size = COUNT_BLOCKS, 1 << COUNT_BITS
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size, np.uint32)
         for b in batches:
@@ -144,19 +149,20 @@ def _describe(docs: DataFrame) -> DataFrame:
 
 def _counts(described: DataFrame) -> np.ndarray:
     """The count table: tasks' tables are added up block by block as they stream by. 2**COUNT_BITS counters, ever."""
-    each = (1 << COUNT_BITS) // 64
+    each, most = (1 << COUNT_BITS) // COUNT_BLOCKS, np.uint64(0xFFFFFFFF)
 
+    @tidy
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for k, raw in zip(b["block"].to_pylist(), b["counts"], strict=True):
-                got = np.frombuffer(pa.decompress(raw.as_py(), each * 4, "zstd", asbytes=True), np.uint32)
-                total[k] = total[k] + got if k in total else got
+                got = np.frombuffer(pa.decompress(raw.as_py(), each * 4, "zstd", asbytes=True), np.uint32).astype(np.uint64)
+                total[k] = np.minimum(total[k] + got, most) if k in total else got
         for k, x in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["block", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.astype(np.uint32).tobytes()], pa.binary())], names=["block", "counts"])
 
     rows = described.where("block is not null").select("block", "counts").repartition("block").mapInArrow(add, "block int, counts binary")
-    out = np.zeros((64, each), np.uint32)
+    out = np.zeros((COUNT_BLOCKS, each), np.uint32)
     for r in rows.toLocalIterator():
         out[r.block] = np.frombuffer(r.counts, np.uint32)
     return out.reshape(-1)
@@ -166,6 +172,7 @@ def _postings(docs: DataFrame, counts: np.ndarray, shards: int) -> DataFrame:
     """(shard, k, rows): packed postings of each set's prefix, a set once for each task."""
     sent = docs.sparkSession.sparkContext.broadcast(counts)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
@@ -239,6 +246,7 @@ def _lists(postings: DataFrame) -> DataFrame:
 def _may_link(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """(a, b) that sizes and parity sketches leave."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, y = b["n_a"].to_numpy(), b["n_b"].to_numpy()
@@ -261,6 +269,7 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     if ids.count() <= SENT_IDS:
         ids = F.broadcast(ids)  # their number is known; then texts needn't be shuffled
 
+    @tidy
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, held, n_held = [], [], 0
@@ -284,6 +293,7 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     left = salted.select("a", "salt").distinct().join(sets, F.col("a") == F.col("id")).withColumn("role", F.lit(0))
     right = salted.join(sets, F.col("b") == F.col("id")).select("a", "salt", "id", "set", F.lit(1).alias("role"))
 
+    @tidy
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, own = None, []
         for b in batches:
@@ -397,7 +407,8 @@ def _rest(lists: DataFrame, facts: DataFrame, overlaps: DataFrame) -> DataFrame:
     bundles = max(24, lists.count() // BUNDLE)
     entries = lists.join(_main(lists, facts), "token", "left").drop("length")
     told = entries.unionByName(facts, allowMissingColumns=True).repartition("doc_id").sortWithinPartitions("doc_id", F.col("size").isNotNull())
-    dealt = told.mapInArrow(lambda batches: _told(batches, bundles), "bundle int, k int, rows binary")
+    # a bundle's work isn't told by its bytes, so tasks get a number of bundles, not of bytes
+    dealt = told.mapInArrow(tidy(lambda batches: _told(batches, bundles)), "bundle int, k int, rows binary").repartition(bundles // 4, "bundle")
 
     def cross(bundle: pa.Table) -> pa.Table:
         g = _unpack(bundle, ENTRY)
@@ -479,14 +490,24 @@ def _most(g: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return most
 
 
+def _classes(named: DataFrame) -> DataFrame:
+    """doc_id, rep, n and parity of documents (with sig): rep is the smallest id with that signature. Hot signatures, of which there
+    can't be more than HOT_SETS, go to every executor, so that their documents stay where they are."""
+    reps = materialize(named.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m")), "jaccard-reps")
+    whole = reps.agg(F.sum("m")).first()[0] or 0
+    is_hot = F.col("m") * HOT_SETS > whole
+    hot, cold = F.broadcast(reps.where(is_hot).select("sig", "rep")), reps.where(~is_hot).select("sig", "rep")
+    found = named.join(hot, "sig").unionByName(named.join(hot, "sig", "left_anti").join(cold, "sig"))
+    return found.select("doc_id", "rep", "n", "parity")
+
+
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of each row of docs."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     described = materialize(_describe(docs), "jaccard-described")
     rows = described.where("block is null").select("doc_id", "n", "sig", "parity")
     named = rows.where("doc_id is not null and sig is not null")
-    reps = named.groupBy("sig").agg(F.min("doc_id").alias("rep"))
-    classes = materialize(named.join(reps, "sig").select("doc_id", "rep", "n", "parity"), "jaccard-classes")
+    classes = materialize(_classes(named), "jaccard-classes")
     own = classes.where("doc_id = rep").select("rep", "n", "parity")
     total = classes.agg(F.sum("n")).first()[0] or 0
     shards = max(24, total // 4 // SHARD_POSTINGS)
