@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns the columns of documents, but for the last, which returns where each
 document's token ids stand in the files that it wrote. Stages carry rows along inside their scans and join texts only to
 drop near copies. A stage's result is written before the next begins, so a lost executor repeats a part of one stage.
+
+Defined results. Null or empty texts: not toxic unless the model says so of no text at all, near copies of nothing, clean, mixed as
+documents of size 0, encoded as the end id. Null ids: rows like others, that come first in the token files. Repeated ids: each row
+is judged by its own text. A null source is a source of its own. Columns beside those of documents are left out, whatever their
+names. No documents: no rows.
 """
 
 from __future__ import annotations
@@ -25,11 +30,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each component of the Jaccard join. Rows without an id are nobody's copies."""
-    docs = docs.select(*DOC_COLUMNS)
-    stays = jaccard.jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(*DOC_COLUMNS)
+    """One row of each component of the Jaccard join: of the smallest id, and among those of the smallest hash of the text. Rows are
+    judged by their own texts, also where they repeat an id or have none; a row without an id stays only if none of its group has one."""
+    # written, so that every reader sees the same row numbers
+    rows = materialize(docs.select(*DOC_COLUMNS, F.monotonically_increasing_id().alias("_row")), "pipeline-rows")
+    order = rows.select("_row", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("hash"), "_row").alias("place"))
+    groups = jaccard.jaccard_components(rows, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    stays = groups.join(order, "_row").groupBy("component_id").agg(F.min("place")["_row"].alias("_row"))
+    return rows.join(stays, "_row", "left_semi").select(*DOC_COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
