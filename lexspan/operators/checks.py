@@ -13,7 +13,7 @@ PRIVATE = {
     "local_path": r"(?i)(?:(?<![A-Za-z0-9])[A-Z]:[\\/]|(?<![:/])/(?:Users|home)/[^/\s]+/)",
     "private_key": r"-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----",
     "provider_token": r"(?:gh[pousr]_[A-Za-z0-9]{20,}|AIza[A-Za-z0-9_-]{30,}|sk-(?:ant-|proj-)?[A-Za-z0-9_-]{20,})",
-    "personal_identifier": r"(?i)\b[A-Z0-9._%+-]+@(?!users\.noreply\.github\.com\b)[A-Z0-9.-]+\.[A-Z]{2,}\b",
+    "personal_identifier": r"(?i)\b[A-Z0-9._%+-]+@(?!users\.noreply\.github\.com(?![A-Z0-9-]|\.[A-Z0-9]))[A-Z0-9.-]+\.[A-Z]{2,}\b",
 }
 IP_ADDRESS = r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\d.])"
 PAYLOAD_KEY = r'(?i)"(?:api[_-]?key|judge_reason|prompt|provider_response|request_id|response_body|system_prompt|token_usage)"\s*:'

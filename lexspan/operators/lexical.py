@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lexspan.functions.text import word_tokens
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
-FORMAT = "lexical-index-1"
+FORMAT = "lexical-index-2"
 
 
 def tokenized(docs: DataFrame, id_col: str, text_col: str, tokens: Callable[[Column], Column] = word_tokens) -> DataFrame:
@@ -55,21 +55,26 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def bm25(docs: DataFrame, queries: DataFrame, *, k: int = 20, k1: float = K1, b: float = B, epsilon: float = EPSILON, digits: int | None = None) -> DataFrame:
-    """qid, doc, score, rank of each query's k best documents of positive score; ties go to the smaller doc.
+    """qid, doc, score, rank of each query's k best documents of positive score; ties go to the smaller doc. docs are read three
+    times: tokens that are costly to make are better written first.
 
     digits: scores are rounded to so many before they are ranked, which makes ranks comparable between engines.
     """
     wanted = query_terms(queries)
-    stats = corpus_stats(docs)
-    terms = wanted.select("term").distinct()
-    known = inverse_frequencies(document_frequencies(docs), stats, epsilon)
-    matched = postings(docs, terms).join(wanted.join(known, "term"), "term").crossJoin(F.broadcast(stats))
+    found = postings(docs, wanted.select("term").distinct())
+    return scored(found, document_frequencies(docs), corpus_stats(docs), wanted, k=k, k1=k1, b=b, epsilon=epsilon, digits=digits)
+
+
+def scored(found: DataFrame, df: DataFrame, stats: DataFrame, wanted: DataFrame, *, k: int, k1: float = K1, b: float = B, epsilon: float = EPSILON, digits: int | None = None) -> DataFrame:
+    """The same from postings(), document_frequencies(), corpus_stats() and query_terms()."""
+    known = inverse_frequencies(df, stats, epsilon)
+    matched = found.join(wanted.join(known, "term"), "term").crossJoin(F.broadcast(stats))  # stats is one row
     norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / norm
-    scored = matched.groupBy("qid", "doc").agg(F.sum(part).alias("score"))
+    sums = matched.groupBy("qid", "doc").agg(F.sum(part).alias("score"))
     if digits is not None:
-        scored = scored.withColumn("score", F.round("score", digits))
-    return top_k(scored.where("score > 0"), k)
+        sums = sums.withColumn("score", F.round("score", digits))
+    return top_k(sums.where("score > 0"), k)
 
 
 def top_k(scored: DataFrame, k: int, *ties: str) -> DataFrame:
@@ -80,27 +85,34 @@ def top_k(scored: DataFrame, k: int, *ties: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """A written index: tokenized documents and document frequencies, with a format that readers check."""
+    """A written index: postings, document frequencies and corpus statistics, with a format that readers check."""
 
-    docs: DataFrame
+    postings: DataFrame
     frequencies: DataFrame
+    stats: DataFrame
 
     @staticmethod
     def save(docs: DataFrame, path: str) -> None:
-        """Refuses documents without any token-bearing text, as a search could never find them."""
+        """docs: tokenized(). Refuses documents without any token-bearing text, as a search could never find them."""
         bad = docs.where(F.size("tokens") < 1)
         if docs.isEmpty() or not bad.isEmpty():
             raise ValueError("an index needs documents, and each of them text")
-        docs.write.parquet(f"{path}/docs")
-        document_frequencies(docs).write.parquet(f"{path}/frequencies")
-        docs.sparkSession.createDataFrame([(FORMAT,)], "format string").write.json(f"{path}/format")
+        postings(docs).sortWithinPartitions("term").write.parquet(f"{path}/postings")
+        spark = docs.sparkSession
+        written = spark.read.parquet(f"{path}/postings")
+        written.groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{path}/frequencies")
+        written.groupBy("doc").agg(F.first("dl").alias("dl")).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")).write.parquet(f"{path}/stats")
+        spark.createDataFrame([(FORMAT,)], "format string").write.json(f"{path}/format")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> LexicalIndex:
         found = spark.read.schema("format string").json(f"{path}/format").first()
         if not found or found.format != FORMAT:
             raise ValueError("not a lexical index of this format")
-        return cls(spark.read.parquet(f"{path}/docs"), spark.read.parquet(f"{path}/frequencies"))
+        return cls(*(spark.read.parquet(f"{path}/{x}") for x in ("postings", "frequencies", "stats")))
 
     def search(self, queries: DataFrame, k: int = 20) -> DataFrame:
-        return bm25(self.docs, queries, k=k)
+        """bm25() of tokenized queries by what is stored; only the queries' terms are read of the postings' sorted files."""
+        wanted = query_terms(queries)
+        found = self.postings.join(wanted.select("term").distinct(), "term", "left_semi")
+        return scored(found, self.frequencies, self.stats, wanted, k=k)

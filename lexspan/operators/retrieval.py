@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -10,8 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspan.functions.text import word_tokens
+from lexspan.operators.answers import gate
+from lexspan.operators.chunking import chunked
 from lexspan.operators.lexical import bm25, tokenized, top_k
 from lexspan.operators.vectors import cosine_top_k, dense, hashed_counts
+from lexspan.scratch import materialize
 
 RRF_K = 60
 
@@ -65,21 +68,21 @@ def fuse(lists: Sequence[DataFrame], *, k: int = RRF_K, top: int = 20, digits: i
 
 
 def overlap_scorer(pairs: DataFrame) -> DataFrame:
-    """qid, doc, score: share of the question's distinct tokens that the text has. A stand-in for a cross-encoder."""
+    """pairs (with question and text) and their score: share of the question's distinct tokens that the text has. A stand-in for a
+    cross-encoder."""
     q, d = F.array_distinct(word_tokens(F.col("question"))), F.array_distinct(word_tokens(F.col("text")))
-    return pairs.select("qid", "doc", F.coalesce(F.try_divide(F.size(F.array_intersect(q, d)), F.size(q)), F.lit(0.0)).cast("double").alias("score"))
+    return pairs.withColumn("score", F.coalesce(F.try_divide(F.size(F.array_intersect(q, d)), F.size(q)), F.lit(0.0)).cast("double"))
 
 
 def rerank(candidates: DataFrame, questions: DataFrame, texts: DataFrame, *, top: int = 5, scorer: Callable[[DataFrame], DataFrame] = overlap_scorer, digits: int | None = None) -> DataFrame:
     """qid, doc, score, rank: candidates (qid, doc, rank) by the scorer's score; ties keep the candidates' order.
 
-    questions: qid, question. texts: doc, text, joined only for the candidates.
+    questions: qid, question. texts: doc, text, joined only for the candidates. scorer: adds score, and hands on qid, doc and before.
     """
-    scored = scorer(candidates.select("qid", "doc").join(questions, "qid").join(texts, "doc"))
+    placed = scorer(candidates.select("qid", "doc", F.col("rank").alias("before")).join(questions, "qid").join(texts, "doc"))
     if digits is not None:
-        scored = scored.withColumn("score", F.round("score", digits))
-    placed = scored.join(candidates.select("qid", "doc", F.col("rank").alias("before")), ["qid", "doc"])
-    return top_k(placed, top, "before").drop("before")
+        placed = placed.withColumn("score", F.round("score", digits))
+    return top_k(placed.select("qid", "doc", "score", "before"), top, "before").drop("before")
 
 
 @dataclass(frozen=True)
@@ -106,17 +109,42 @@ def retrieve(docs: DataFrame, questions: DataFrame, config: RetrievalConfig, *,
 
     Retrieval and reranking see the expanded question. The stand-ins for models are hashed counts and token overlap.
     """
+    return retrieve_grid(docs, questions, {"": config}, rules=rules, digits=digits)[""]
+
+
+def retrieve_grid(docs: DataFrame, questions: DataFrame, grid: Mapping[str, RetrievalConfig], *, rules: Sequence[Rule] = (), digits: int | None = 6) -> dict[str, DataFrame]:
+    """retrieve() for each configuration. Tokens and the lists of each retriever, `retrieve` rows a question, are made and written once."""
     asked = questions.select("qid", expanded(F.col("question"), rules).alias("question"))
-    corpus, query = tokenized(docs, "doc", "text"), tokenized(asked, "qid", "question")
-    lists = []
-    if config.mode in ("vector", "hybrid"):
-        lists.append(cosine_top_k(dense(hashed_counts(corpus)), dense(hashed_counts(query)).withColumnRenamed("doc", "qid"), k=config.retrieve, digits=digits))
-    if config.mode in ("bm25", "hybrid"):
-        lists.append(bm25(corpus, query, k=config.retrieve, digits=digits))
-    found = fuse(lists, k=config.rrf_k, top=config.retrieve, digits=9) if len(lists) > 1 else lists[0]
-    if config.reranker:
-        return rerank(found, asked, docs, top=config.final, digits=digits)
-    return found.where(F.col("rank") <= config.final)
+    corpus, query = materialize(tokenized(docs, "doc", "text"), "tokens"), tokenized(asked, "qid", "question")
+    known: dict[tuple, DataFrame] = {}
+
+    def hits(mode: str, n: int, k: int) -> DataFrame:
+        key = (mode, n, k if mode == "hybrid" else 0)
+        if key not in known:
+            if mode == "vector":
+                found = cosine_top_k(dense(hashed_counts(corpus)), dense(hashed_counts(query)).withColumnRenamed("doc", "qid"), k=n, digits=digits)
+            elif mode == "bm25":
+                found = bm25(corpus, query, k=n, digits=digits)
+            else:
+                found = fuse([hits("vector", n, k), hits("bm25", n, k)], k=k, top=n, digits=9)
+            known[key] = materialize(found, "hits")
+        return known[key]
+
+    out = {}
+    for name, config in grid.items():
+        found = hits(config.mode, config.retrieve, config.rrf_k)
+        out[name] = rerank(found, asked, docs, top=config.final, digits=digits) if config.reranker else found.where(F.col("rank") <= config.final)
+    return out
+
+
+def retrieve_chunks(units: DataFrame, questions: DataFrame, config: RetrievalConfig, *, rules: Sequence[Rule] = (), digits: int | None = 6) -> DataFrame:
+    """qid, doc_id, chunk_id, score, rank, stage of units (see chunking) cut by config.strategy. stage: what the gate at
+    config.threshold refuses the question for, or null; a question without hits isn't among the rows."""
+    chunks = materialize(chunked(units, config.strategy).select("chunk_id", "doc_id", "text"), "chunks")
+    found = retrieve(chunks.select(F.col("chunk_id").alias("doc"), "text"), questions, config, rules=rules, digits=digits)
+    top = F.max_by("score", -F.col("rank")).over(Window.partitionBy("qid"))
+    staged = found.withColumn("stage", gate(F.lit(1), top, config.threshold, config.reranker)).withColumnRenamed("doc", "chunk_id")
+    return staged.join(chunks.select("chunk_id", "doc_id"), "chunk_id").select("qid", "doc_id", "chunk_id", "score", "rank", "stage")
 
 
 def first_rank(hits: DataFrame, gold: DataFrame, questions: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lexspan.operators.lexical import top_k
 
@@ -57,6 +58,7 @@ def _block(vectors: DataFrame, queries: DataFrame, n: int, i: int, block: int, k
     own = queries.where(F.pmod(F.xxhash64("qid"), F.lit(count)) == i) if count > 1 else queries
     rows = own.select("qid", F.col("vector").cast("array<double>").alias("v")).collect()
     kind, doc = queries.schema["qid"].dataType, vectors.schema["doc"].dataType
+    own_type = to_arrow_type(kind)
     sent = vectors.sparkSession.sparkContext.broadcast(([r.qid for r in rows], np.array([r.v for r in rows], float)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,7 +78,7 @@ def _block(vectors: DataFrame, queries: DataFrame, n: int, i: int, block: int, k
                 row, col = np.nonzero(s >= limit[:, None])
             else:
                 row, col = np.nonzero(np.ones_like(s, bool))
-            yield pa.RecordBatch.from_arrays([pa.array([ids[r] for r in row.tolist()]), b["doc"].take(pa.array(col)), pa.array(s[row, col])], names=["qid", "doc", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array([ids[r] for r in row.tolist()], own_type), b["doc"].take(pa.array(col)), pa.array(s[row, col])], names=["qid", "doc", "score"])
 
     return vectors.select("doc", "vector").mapInArrow(run, f"qid {kind.simpleString()}, doc {doc.simpleString()}, score double")
 

@@ -7,6 +7,7 @@ table by a rule that both engines share, over all rows.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from lexspan.functions import text as X
 from lexspan.operators import accounting, answers, audit, checks, chunking, evaluation, lexical, retrieval, vectors
 from lexspan.operators.retrieval import RetrievalConfig, Rule
+from lexspan.scratch import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 THRESHOLDS = (0.0, 0.01, 0.02, 0.03, 0.05, 0.08)
@@ -43,15 +45,22 @@ def _questions(spark: SparkSession, sf: str) -> DataFrame:
     return t(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
 
 
+def _tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens of all documents, cut and written once, as an index reads them several times."""
+    return materialize(lexical.tokenized(t(spark, sf, "documents"), "doc_id", "text"), "tokens")
+
+
 # --- lexical and dense retrieval -------------------------------------------------------------------------------------
 
 TOK = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')"
-BM25 = f"""
-d AS (SELECT doc_id AS doc, {TOK} AS tokens FROM documents), q AS (SELECT item_id AS qid, {TOK} AS tokens FROM benchmark),
+IDF = f"""
+d AS (SELECT doc_id AS doc, {TOK} AS tokens FROM documents),
 st AS (SELECT count(*) AS n_docs, avg(len(tokens)) AS avgdl FROM d),
 df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(tokens)) AS term FROM d) GROUP BY term),
 raw AS (SELECT term, df, ln(n_docs - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw FROM df, st),
-idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25::DOUBLE * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
+idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25::DOUBLE * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw)
+"""
+BM25 = f"""{IDF}, q AS (SELECT item_id AS qid, {TOK} AS tokens FROM benchmark),
 qt AS (SELECT qid, term, count(*) AS qtf FROM (SELECT qid, unnest(tokens) AS term FROM q) GROUP BY qid, term),
 tf AS (SELECT doc, dl, term, count(*) AS tf FROM (SELECT doc, len(tokens) AS dl, unnest(tokens) AS term FROM d) GROUP BY doc, dl, term),
 bs AS (SELECT qid, doc, round(sum(qtf * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score
@@ -76,22 +85,22 @@ GOLD = "gold AS (SELECT DISTINCT b.item_id AS qid, d.doc_id AS doc FROM benchmar
 
 @query("bm25_topk", f"WITH {BM25} SELECT qid, doc, score, rank FROM bm WHERE rank <= 10")
 def bm25_topk(spark, sf):
-    docs = lexical.tokenized(t(spark, sf, "documents"), "doc_id", "text")
+    docs = _tokens(spark, sf)
     return lexical.bm25(docs, lexical.tokenized(t(spark, sf, "benchmark"), "item_id", "text"), k=10, digits=6)
 
 
-@query("bm25_corpus_stats", f"WITH {BM25} SELECT n_docs, avgdl, (SELECT count(*) FROM df) AS n_terms, (SELECT round(avg(raw), 9) FROM raw) AS mean_idf FROM st")
+@query("bm25_corpus_stats", f"WITH {IDF} SELECT n_docs, avgdl, (SELECT count(*) FROM df) AS n_terms, (SELECT round(avg(raw), 9) FROM raw) AS mean_idf FROM st")
 def bm25_corpus_stats(spark, sf):
-    docs = lexical.tokenized(t(spark, sf, "documents"), "doc_id", "text")
+    docs = _tokens(spark, sf)
     stats, df = lexical.corpus_stats(docs), lexical.document_frequencies(docs)
     raw = F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     terms = df.crossJoin(F.broadcast(stats)).agg(F.count("*").alias("n_terms"), F.round(F.avg(raw), 9).alias("mean_idf"))  # both are one row
     return stats.crossJoin(F.broadcast(terms))
 
 
-@query("bm25_idf", f"WITH {BM25} SELECT term, df, round(idf, 9) AS idf FROM idf")
+@query("bm25_idf", f"WITH {IDF} SELECT term, df, round(idf, 9) AS idf FROM idf")
 def bm25_idf(spark, sf):
-    docs = lexical.tokenized(t(spark, sf, "documents"), "doc_id", "text")
+    docs = _tokens(spark, sf)
     return lexical.inverse_frequencies(lexical.document_frequencies(docs), lexical.corpus_stats(docs)).withColumn("idf", F.round("idf", 9))
 
 
@@ -118,13 +127,19 @@ def rerank_overlap(spark, sf):
 
 
 def _gold(spark, sf):
-    """(qid, doc): the documents that hold a question's text. They share its first five words, which an equi-join looks up."""
-    grams = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - 4, F.lit(1))), lambda i: F.concat_ws(" ", F.slice(c, i, 5)))
-    q = _questions(spark, sf).select("qid", "question", F.concat_ws(" ", F.slice(X.word_tokens(F.col("question")), 1, 5)).alias("g"))
-    tokens = lexical.tokenized(_corpus(spark, sf), "doc", "text")
-    d = tokens.select("doc", F.explode(F.array_distinct(grams(F.col("tokens")))).alias("g"))
-    found = d.join(q.select("qid", "g"), "g").select("qid", "doc").distinct()
-    return found.join(_questions(spark, sf), "qid").join(_corpus(spark, sf), "doc").where(F.contains("text", "question")).select("qid", "doc")
+    """(qid, doc): the documents that hold a question's text. They share its first five tokens, or all that it has, which an equi-join
+    looks up; questions without tokens, a part of the stated set, are looked for in each document."""
+    q = _questions(spark, sf).select("qid", "question", F.slice(X.word_tokens(F.col("question")), 1, 5).alias("first"))
+    widths = sorted(r.n for r in q.select(F.size("first").alias("n")).distinct().collect())  # 0 to 5
+    d = lexical.tokenized(_corpus(spark, sf), "doc", "text")
+    grams = lambda n: F.transform(F.sequence(F.lit(1), F.size("tokens") - n + 1), lambda i: F.concat_ws(" ", F.slice("tokens", i, n)))
+    cut = [F.when(F.size("tokens") >= n, grams(n)).otherwise(F.array().cast("array<string>")) for n in widths if n]
+    each = d.select("doc", F.explode(F.array_distinct(F.flatten(F.array(*cut)))).alias("g")) if cut else d.select("doc", F.lit("").alias("g")).limit(0)
+    found = each.join(q.where(F.size("first") > 0).select("qid", F.concat_ws(" ", "first").alias("g")), "g").select("qid", "doc")
+    if 0 in widths:
+        bare = q.where(F.size("first") == 0).select("qid", "question")
+        found = found.unionByName(_corpus(spark, sf).join(F.broadcast(bare), F.contains("text", "question")).select("qid", "doc"))
+    return found.distinct().join(_questions(spark, sf), "qid").join(_corpus(spark, sf), "doc").where(F.contains("text", "question")).select("qid", "doc")
 
 
 @query("known_item_rank", f"WITH {BM25}, {VECTORS}, {FUSED}, {GOLD} SELECT q.qid, min(f.rank) AS rank FROM q LEFT JOIN (SELECT * FROM fused JOIN gold USING (qid, doc) WHERE rank <= 5) f ON f.qid = q.qid GROUP BY q.qid")
@@ -143,17 +158,34 @@ def known_item_rank(spark, sf):
            coalesce(avg(CASE WHEN rank <= 10 THEN 1.0::DOUBLE / rank ELSE 0 END) FILTER (WHERE a), 0) AS mrr FROM ranks GROUP BY config""",
 )
 def hit_mrr_by_config(spark, sf):
-    docs, asked, gold = _corpus(spark, sf), _questions(spark, sf), _gold(spark, sf)
+    asked, gold = _questions(spark, sf), materialize(_gold(spark, sf), "gold")
     grid = {"bm25": RetrievalConfig(mode="bm25", reranker=False), "vector": RetrievalConfig(mode="vector", reranker=False), "hybrid": RetrievalConfig(reranker=False), "hybrid_rerank": RetrievalConfig()}
-    ranks = None
-    for name, config in grid.items():
-        own = retrieval.first_rank(retrieval.retrieve(docs, asked, config), gold, asked).withColumn("config", F.lit(name))
-        ranks = own if ranks is None else ranks.unionByName(own)
+    hits = retrieval.retrieve_grid(_corpus(spark, sf), asked, grid)
+    return _metrics_by_config({name: retrieval.first_rank(h, gold, asked) for name, h in hits.items()}, gold)
+
+
+def _metrics_by_config(ranks, gold):
+    """Metrics of ranks (qid, rank) by their names; ranks have a row for each question and are written before they are united."""
+    own = [materialize(r.withColumn("config", F.lit(name)), "ranks") for name, r in ranks.items()]
     known = gold.select("qid").distinct().withColumn("a", F.lit(True))
-    traces = ranks.join(known, "qid", "left").select("config", "rank", F.coalesce("a", F.lit(False)).alias("answerable"), F.lit(0.0).alias("elapsed_ms"))
+    traces = reduce(DataFrame.unionByName, own).join(known, "qid", "left").select("config", "rank", F.coalesce("a", F.lit(False)).alias("answerable"), F.lit(0.0).alias("elapsed_ms"))
     return evaluation.retrieval_metrics(traces, "config").drop("mean_ms")
 
 
+@query("ablation_grid")
+def ablation_grid(spark, sf):
+    """Both chunking strategies by four ways to retrieve: a hit is a chunk of a document that holds the question."""
+    asked, gold, ranks = _questions(spark, sf), materialize(_gold(spark, sf), "gold"), {}
+    grid = {"bm25": RetrievalConfig(mode="bm25", reranker=False), "vector": RetrievalConfig(mode="vector", reranker=False), "hybrid": RetrievalConfig(reranker=False), "hybrid_rerank": RetrievalConfig()}
+    wanted = gold.select("qid", F.concat(F.lit("d"), F.col("doc").cast("string")).alias("doc_id"))
+    for strategy in ("structure", "fixed"):
+        chunks = materialize(chunking.chunked(_units(spark, sf), strategy).select(F.col("chunk_id").alias("doc"), "doc_id", "text"), "chunks")
+        for name, h in retrieval.retrieve_grid(chunks.select("doc", "text"), asked, grid).items():
+            near = h.join(chunks.select("doc", "doc_id"), "doc").join(wanted, ["qid", "doc_id"]).groupBy("qid").agg(F.min("rank").alias("rank"))
+            ranks[f"{strategy}_{name}"] = asked.select("qid").join(near, "qid", "left")
+    return _metrics_by_config(ranks, gold)
+
+
 def _neighbours(spark, sf, k=10):
     e = t(spark, sf, "embeddings")
     return vectors.cosine_top_k(e.select(F.col("vec_id").alias("doc"), F.col("embedding").alias("vector")), e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector")), k=k, digits=6)

@@ -6,6 +6,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -37,7 +38,11 @@ def _numbered(rows: DataFrame) -> DataFrame:
 
 def laws(spark: SparkSession, path: str) -> DataFrame:
     """schemas.LAW with source_path of JSON files, one law each. A field that isn't a string fails the job."""
-    raw = _whole(spark, path, "*.json").where(~F.endswith("path", F.lit("/manifest.json")))
+    return checked_laws(_whole(spark, path, "*.json").where(~F.endswith("path", F.lit("/manifest.json"))))
+
+
+def checked_laws(raw: DataFrame) -> DataFrame:
+    """The same of texts (path, value)."""
     v = F.try_parse_json("value")
     kind = F.schema_of_variant(v)
     text = lambda f: F.coalesce(F.schema_of_variant(F.try_variant_get(v, f"$.{f}", "variant")).isin("STRING", "VOID"), F.lit(True))
@@ -107,13 +112,13 @@ def pdf_units(files: DataFrame, pages: Callable[[bytes], list[str]] = pypdf_page
 
 
 def corpus(spark: SparkSession, path: str, *, pdf: Callable[[bytes], list[str]] | None = None) -> DataFrame:
-    """Units of all files of known kinds under a path, by suffix in lower case; others are skipped."""
+    """Units of all files of known kinds under a path, by suffix in lower case; others are skipped. A malformed law fails the job."""
     binary = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
     suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     kind = binary.withColumn("suffix", suffix)
     texts = kind.select("path", "suffix", F.decode("content", "UTF-8").alias("value"))
     parts = [
-        law_units(texts.where("suffix = 'json' and not endswith(path, '/manifest.json')").select(F.from_json("value", schemas.LAW).alias("law"), F.col("path").alias("source_path")).select("law.*", "source_path")),
+        law_units(checked_laws(texts.where("suffix = 'json' and not endswith(path, '/manifest.json')").select("path", "value"))),
         markdown_units(texts.where("suffix in ('md', 'markdown')")), text_units(texts.where("suffix = 'txt'")),
     ]
     if pdf:
@@ -204,6 +209,8 @@ def zip_status(files: DataFrame) -> DataFrame:
                 with z.open(max(members, key=lambda m: m.file_size)) as s:
                     body = s.read()
                 return "entities" if re.search(rb"<!ENTITY", body) else "ok" if "<法規>".encode() in body else "no_law"
+        except (zlib.error, RuntimeError, NotImplementedError):  # a broken stream, an encrypted member, an unknown method
+            return "damaged"
         except (zipfile.BadZipFile, EOFError, OSError):
             return "not_a_zip"
 

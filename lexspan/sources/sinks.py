@@ -26,7 +26,9 @@ def write_once(report: DataFrame, path: str) -> None:
 
 
 def markdown_table(report: DataFrame, *columns: str, limit: int = 200) -> str:
-    """The first rows of a report as a Markdown table."""
-    rows = report.select(*columns).limit(limit).collect()
+    """A report of few rows as a Markdown table; an error if it has more than `limit`, as nothing is left out."""
+    rows = report.select(*columns).limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"the report has more than {limit} rows")
     line = lambda xs: "| " + " | ".join(f"{x:.4f}" if isinstance(x, float) else str(x) for x in xs) + " |"
     return "\n".join([line(columns), "|" + "---|" * len(columns), *(line(r) for r in rows)])

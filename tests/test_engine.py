@@ -2,6 +2,7 @@
 
 import io
 import json
+import re
 import uuid
 import zipfile
 from decimal import Decimal
@@ -308,3 +309,101 @@ def test_stream_gives_the_batch_index(spark, tmp_path):
     index = ChunkIndex(spark, str(tmp_path / "index"))
     index.follow(str(folder), str(tmp_path / "ck")).awaitTermination()
     assert sorted((r.doc_id, r.content) for r in index.read().collect()) == [("a", "one"), ("b", "two again"), ("c", "three")]
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+@pytest.mark.parametrize("partitions", [3, 7, 32])
+def test_rerank_whatever_the_plan(spark, sf, adaptive, partitions):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        d, q = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id as doc", "text"), spark.read.parquet(f"{sf}/benchmark.parquet").selectExpr("item_id as qid", "text as question")
+        hits = retrieval.retrieve_grid(d, q, {"a": retrieval.RetrievalConfig(reranker=False, final=20), "b": retrieval.RetrievalConfig()})
+        placed = {(r.qid, r.doc): r["rank"] for r in hits["a"].collect()}
+        words = lambda s: set(re.findall("[a-z0-9]+", s.lower()))
+        texts, asked = {r.doc: words(r.text or "") for r in d.collect()}, {r.qid: words(r.question) for r in q.collect()}
+        want = []
+        for i, w in asked.items():
+            own = sorted((-round(len(w & texts[x]) / len(w), 6), n, x) for (k, x), n in placed.items() if k == i)
+            want += [(i, x, -s, n + 1) for n, (s, _, x) in enumerate(own[:5])]
+        assert len(placed) == 20 * len(asked) and sorted((r.qid, r.doc, r.score, r["rank"]) for r in hits["b"].collect()) == sorted(want)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_chunks_of_both_strategies_are_retrieved(spark):
+    units = spark.createDataFrame([(0, "d", "T", "A1", "", "red fox. " * 90, "", "", "", ""), (1, "d", "T", "A2", "", "blue whale", "", "", "", ""), (0, "e", "T", "A1", "", "green tree", "", "", "", "")], "unit_idx long, doc_id string, doc_title string, article_no string, chapter string, text string, source_path string, source_url string, last_amended string, effective_date string")
+    asked = spark.createDataFrame([(1, "blue whale"), (2, "nothing here")], "qid int, question string")
+    for strategy in ("structure", "fixed"):
+        got = retrieval.retrieve_chunks(units, asked, retrieval.RetrievalConfig(strategy=strategy, mode="hybrid", threshold=0.5)).collect()
+        assert next(r.doc_id for r in got if (r.qid, r["rank"]) == (1, 1)) == "d" and {r.stage for r in got if r.qid == 1} == {None} and {r.stage for r in got if r.qid == 2} == {"threshold"}
+
+
+@pytest.mark.parametrize("late", [0, 1])
+def test_stream_whatever_the_files_times(spark, tmp_path, late):
+    import os
+
+    from lexspan.streaming.incremental import ChunkIndex
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    batches = [[("a", "T", "one", None), ("b", "T", "two", 2), (None, "T", "x", None)], [("b", "T", "two again", 3), ("c", "T", "three", None), ("a", "T", "", None), (None, "T", "y", None)], [("b", "T", "old", 1)]]
+    for i, rows in enumerate(batches):
+        f = folder / f"{i}.json"
+        f.write_text("\n".join(json.dumps(dict(zip(("doc_id", "title", "text", "version"), r, strict=True))) for r in rows))
+        os.utime(f, (1e9 + (i if late else -i), 1e9 + (i if late else -i)))
+    index = ChunkIndex(spark, str(tmp_path / "index"))
+    assert index.read() is None
+    index.follow(str(folder), str(tmp_path / "ck")).awaitTermination()
+    want = [(None, "y"), ("b", "two again"), ("c", "three")]
+    seen = lambda: sorted(((r.doc_id, r.content) for r in index.read().collect()), key=str)
+    assert seen() == sorted(want, key=str)
+    index.compact()
+    assert seen() == sorted(want, key=str) and len(index._batches()) == 1
+    index.merge(spark.createDataFrame([("c", "T", "four", 1)], "doc_id string, title string, text string, version long"))
+    assert ("c", "four") in seen() and ("c", "three") not in seen()
+
+
+def test_index_answers_from_what_is_stored(spark, tmp_path):
+    docs = lexical.tokenized(spark.createDataFrame([(1, "a b b"), (2, "b c"), (3, "c c d")], "i int, t string"), "i", "t")
+    asked = lexical.tokenized(spark.createDataFrame([(9, "b c d"), (8, "zzz")], "i int, t string"), "i", "t")
+    lexical.LexicalIndex.save(docs, str(tmp_path / "i"))
+    found = lexical.LexicalIndex.load(spark, str(tmp_path / "i")).search(asked, 2)
+    assert [tuple(r) for r in found.orderBy("rank").collect()] == [tuple(r) for r in lexical.bm25(docs, asked, k=2).orderBy("rank").collect()] and found.count() > 0
+
+
+def test_reports_and_archives_lose_nothing(spark):
+    with pytest.raises(ValueError):
+        sinks.markdown_table(spark.range(5), "id", limit=4)
+    good = io.BytesIO()
+    with zipfile.ZipFile(good, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("a.xml", "<法規></法規>" * 50)
+    raw = bytearray(good.getvalue())
+    locked = bytearray(raw)
+    for sign, at in ((b"PK\x03\x04", 6), (b"PK\x01\x02", 8)):
+        locked[locked.index(sign) + at] |= 1  # the flag of encryption
+    body = raw.index(b"a.xml") + 5
+    raw[body : body + 12] = b"\xff" * 12
+    got = readers.zip_status(spark.createDataFrame([("broken", bytes(raw)), ("locked", bytes(locked)), ("ok", good.getvalue())], "path string, content binary")).collect()
+    assert {r.path: r.status for r in got} == {"broken": "damaged", "locked": "damaged", "ok": "ok"}
+
+
+def test_only_the_noreply_host_is_exempt(spark):
+    d = spark.createDataFrame([(1, "x@users.noreply.github.com"), (2, "x@users.noreply.github.com.evil.org"), (3, "see x@users.noreply.github.com."), (4, "a@b.org")], "k int, t string")
+    assert sorted(r.k for r in checks.privacy_scan(d, key="k", text="t").collect()) == [2, 4]
+
+
+def test_a_malformed_law_fails_the_scan(spark, tmp_path):
+    (tmp_path / "x.json").write_text('{"name": "L", "articles": [{"no": 1, "chapter": "", "content": "c"}]}')
+    with pytest.raises(Exception, match="not a law"):
+        readers.corpus(spark, str(tmp_path)).collect()
+
+
+def test_gold_of_short_questions(spark, tmp_path):
+    from lexspan.plans import catalogue
+
+    spark.createDataFrame([(1, "one two three four five six"), (2, "中文 問題 here"), (3, None), (4, "three")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "three four"), (2, "問題"), (3, "two three four five six"), (4, "three five")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert sorted((r.qid, r.doc) for r in catalogue._gold(spark, str(tmp_path)).collect()) == [(1, 1), (2, 2), (3, 1)]
