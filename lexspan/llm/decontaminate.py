@@ -1,5 +1,10 @@
-"""Benchmark decontamination: one Aho-Corasick automaton over the normalised windows of all benchmark items scans
-each document once; hits are mapped back to offsets in the original text.
+"""Benchmark decontamination: one Aho-Corasick automaton over the normalised benchmark items scans each document once; hits
+are mapped back to offsets in the original text.
+
+The automaton's letters are words, numbered by the items' vocabulary. An item is cut into pieces of half a window, one after the
+other: whatever window of the item a document holds, there is a whole piece in it. Where a piece is found, the words on its
+two sides are compared with the item's; a common run of a window's length or more is a hit. So the automaton has about one node for
+each benchmark word, not one for each letter of all windows. An item of a window's length or less is a pattern as a whole.
 
 Defined results. Null or empty text: no words, nothing hit, clean. An item without words has no window. Repeated items
 and repeated documents: each row is judged by itself, and items that share a window all count. An item without an id
@@ -10,7 +15,8 @@ are read, and the columns named in `keep`; others, whatever their names, are lef
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -18,13 +24,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexspan.llm.common import arrow_schema, batch, carried, materialize, table, text_slices
+from lexspan.llm.common import arrow_schema, batch, carried, materialize, table, text_slices, tidy
 
 WINDOW = 13
 #: A document is contaminated from one hit word in so many on.
 ONE_IN = 20
-#: Bytes of benchmark text in one automaton, which goes to every executor. A larger benchmark is scanned in blocks.
-BLOCK_BYTES = 8 << 20
+#: Bytes of benchmark text in one automaton, which goes to every executor and takes about 20 times that there. A larger benchmark is
+#: scanned in blocks.
+BLOCK_BYTES = 4 << 20
 
 #: A-Z to a-z; every other ASCII byte that isn't a letter or digit to a space; bytes from 128 on stay.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -44,25 +51,42 @@ def words(raw: bytes) -> list[bytes]:
     return raw.translate(_FOLD).split()
 
 
-def windows(items: Sequence[tuple[str | None, bytes]], width: int) -> dict[bytes, list[str | None]]:
-    """Each window's items. A window stands between two spaces so that it only matches whole words."""
-    found: dict[bytes, list[str | None]] = {}
-    for item, raw in items:
-        w = words(raw)
-        for i in range(max(1, len(w) - width + 1) if w else 0):
-            found.setdefault(b" " + b" ".join(w[i : i + width]) + b" ", []).append(item)
-    return found
-
-
-def _automaton(patterns: dict[bytes, list[str | None]]):
-    import ahocorasick
-
-    made = ahocorasick.Automaton()
-    for key, owners in patterns.items():
-        made.add_word(key.decode("latin-1"), (len(key), owners))
-    if patterns:
-        made.make_automaton()
-    return made
+@dataclass
+class Patterns:
+    """Distinct items as word numbers, with the ids of each, and where each piece comes from: (item, place of its first word)."""
+
+    width: int = WINDOW
+    numbers: dict[bytes, int] = field(default_factory=dict)
+    items: list[np.ndarray] = field(default_factory=list)
+    owners: list[list[str]] = field(default_factory=list)
+    pieces: dict[tuple[int, ...], list[tuple[int, int]]] = field(default_factory=dict)
+
+    def add(self, rows: Iterable[tuple[str | None, bytes]]) -> Patterns:
+        known: dict[bytes, int] = {}
+        half = (self.width + 1) // 2
+        for item, raw in rows:
+            if not (w := words(raw)):
+                continue
+            ids = np.array([self.numbers.setdefault(x, len(self.numbers) + 1) for x in w], np.int32)
+            if (k := known.setdefault(ids.tobytes(), len(self.items))) == len(self.items):
+                self.items.append(ids)
+                self.owners.append([])
+                size = half if len(ids) > self.width else len(ids)
+                for at in range(0, len(ids) - size + 1, size):
+                    self.pieces.setdefault(tuple(ids[at : at + size].tolist()), []).append((k, at))
+            if item is not None:
+                self.owners[k].append(item)
+        return self
+
+    def automaton(self):
+        import ahocorasick
+
+        made = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for key, places in self.pieces.items():
+            made.add_word(key, (len(key), places))
+        if self.pieces:
+            made.make_automaton()
+        return made
 
 
 def _char_spans(raw: bytes, hit: np.ndarray) -> list[tuple[int, int]]:
@@ -76,36 +100,54 @@ def _char_spans(raw: bytes, hit: np.ndarray) -> list[tuple[int, int]]:
     return [(int(lead[starts[a]]), int(lead[ends[b]])) for a, b in zip(first, last, strict=True)]
 
 
-def scan(raw: bytes, automaton) -> tuple[int, np.ndarray | None, set[str]]:
+def _run(text: np.ndarray, item: np.ndarray, at: int, place: int, size: int) -> tuple[int, int]:
+    """The common run of text and item around `size` words that stand at `at` and `place`, as places in the text."""
+    before, after = min(at, place), min(len(text) - at, len(item) - place)
+    left = text[at - before : at] != item[place - before : place]
+    right = text[at + size : at + after] != item[place + size : place + after]
+    first = at - (before if not left.any() else int(np.argmax(left[::-1])))
+    return first, at + size + (after - size if not right.any() else int(np.argmax(right)))
+
+
+def scan(raw: bytes, patterns: Patterns, automaton) -> tuple[int, np.ndarray | None, set[str]]:
     """Number of words, which of them are hit (None: none), ids of the items hit."""
     w = words(raw)
     if not w or not len(automaton):
         return len(w), None, set()
-    line = " " + b" ".join(w).decode("latin-1") + " "
-    hits = [(end, *found) for end, found in automaton.iter(line)]
+    get = patterns.numbers.get
+    ids = tuple([get(x, 0) for x in w])
+    hits = [(end - size + 1, size, places) for end, (size, places) in automaton.iter(ids)]
     if not hits:
         return len(w), None, set()
-    # the word that begins after the n-th space has number n
-    before = np.cumsum(np.frombuffer(line.encode("latin-1"), np.uint8) == 32) - 1
-    change = np.zeros(len(w) + 1, np.int64)
-    owners: set[str] = set()
-    for end, length, found in hits:
-        change[before[end - length + 1]] += 1
-        change[before[end]] -= 1
-        owners.update(x for x in found if x is not None)
-    return len(w), np.cumsum(change[:-1]) > 0, owners
-
-
-def _scan_block(docs: DataFrame, patterns, id_col: str, text_col: str, keep: Sequence[str]) -> DataFrame:
+    text, change, found, done = np.array(ids, np.int32), np.zeros(len(w) + 1, np.int64), set(), set()
+    for at, size, places in hits:
+        for k, place in places:
+            # a run is met once for each of its pieces
+            if (k, at - place, at) in done:
+                continue
+            item = patterns.items[k]
+            first, last = _run(text, item, at, place, size)
+            done.update((k, at - place, x) for x in range(at, last, size))
+            if last - first >= min(patterns.width, len(item)):
+                change[first] += 1
+                change[last] -= 1
+                found.update(patterns.owners[k])
+    hit = np.cumsum(change[:-1]) > 0
+    return len(w), hit if hit.any() else None, found
+
+
+def _scan_block(docs: DataFrame, patterns: Patterns, id_col: str, text_col: str, keep: Sequence[str]) -> DataFrame:
     fields = [docs.schema[id_col], *carried(docs, keep, [id_col, *(f.name for f in RESULT)]), *RESULT]
     schema, sent = arrow_schema(fields), docs.sparkSession.sparkContext.broadcast(patterns)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(sent.value)
+        patterns = sent.value
+        automaton = patterns.automaton()
         for b in batches:
             n_words, n_hit, items, spans = [], [], [], []
             for raw in text_slices(b[text_col]):
-                n, hit, owners = scan(raw, automaton)
+                n, hit, owners = scan(raw, patterns, automaton)
                 n_words.append(n)
                 n_hit.append(0 if hit is None else int(hit.sum()))
                 items.append(sorted(owners))
@@ -129,9 +171,9 @@ def decontaminate(
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // block_bytes) or 1
 
-    def read(k: int) -> dict[bytes, list[str | None]]:
+    def read(k: int) -> Patterns:
         rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k) if blocks > 1 else items
-        return windows([(r.item, (r.text or "").encode()) for r in rows.toLocalIterator()], width)
+        return Patterns(width).add((r.item, (r.text or "").encode()) for r in rows.toLocalIterator())
 
     if blocks == 1:
         found = _scan_block(docs, read(0), id_col, text_col, keep)
