@@ -7,6 +7,8 @@ import numpy as np
 SLOTS = 4
 #: Keys for each slot at most when a filter is made.
 LOAD = 0.7
+#: Keys for each slot from which on a filter is full.
+FULL = 0.9
 KICKS = 200
 
 
@@ -21,7 +23,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class CuckooFilter:
-    """16-bit fingerprints in two candidate buckets of four slots; what can't be placed is kept whole in a stash."""
+    """16-bit fingerprints in two candidate buckets of four slots; what can't be placed is kept whole in a stash. fits() tells whether
+    more keys can be placed without long searches; a fuller filter should be made anew."""
 
     def __init__(self, table: np.ndarray, stash: np.ndarray):
         self.table, self.stash = table, stash
@@ -31,6 +34,9 @@ class CuckooFilter:
         buckets = 1 << max(2, int(np.ceil(np.log2(max(n, 1) / (SLOTS * LOAD)))))
         return cls(np.zeros((buckets, SLOTS), np.uint16), np.empty(0, np.uint64))
 
+    def fits(self, more: int) -> bool:
+        return np.count_nonzero(self.table) + len(self.stash) + more <= FULL * self.table.size
+
     def _places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         h = mix(keys.astype(np.uint64))
         print_ = ((h >> np.uint64(48)) | np.uint64(1)).astype(np.uint16)  # 0 is a free slot

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexspan.llm.common import arrow_schema, batch, carried, materialize, scratch_path, table, text_slices
+from lexspan.llm.common import arrow_schema, batch, carried, materialize, scratch_path, table, text_slices, tidy
 from lexspan.llm.cuckoo import CuckooFilter
 
 #: Code points a key has at least; shorter lines always stay.
@@ -32,8 +32,10 @@ SPACE = b" \t\n\v\f\r"
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Keys in a shard, about.
 SHARD_KEYS = 200_000
-#: Filters of so many bytes together go to every executor; beyond, lines go to the exact counts unfiltered.
+#: Filters of so many bytes together go to every executor. Larger ones stay where they are and the keys come to them, shard by shard.
 FILTER_BYTES = 64 << 20
+#: Tasks that a shard's keys are dealt to where keys come to filters.
+SALTS = 8
 
 RESULT = (T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept", T.StringType()))
 
@@ -75,7 +77,7 @@ def _keys(docs: DataFrame, id_col: str, text_col: str, shortest: int, passes=Non
             yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in at.tolist()], pa.binary()), ids], names=["key", "doc_id"])
 
     wanted = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return wanted.mapInArrow(run, "key binary, doc_id long").distinct()
+    return wanted.mapInArrow(tidy(run), "key binary, doc_id long").distinct()
 
 
 @dataclass(frozen=True)
@@ -124,44 +126,45 @@ class LineIndex:
         return after._updated(materialize(changed, "line-changed"))
 
     def _filtered(self, keys: DataFrame) -> LineIndex:
-        """Builds the filters anew, a shard a group; there are as many shards as the keys need."""
+        """Builds the filters anew; there are as many shards as the keys need."""
         keys = materialize(keys, "line-shared")
         shards = max(8, -(-keys.count() // SHARD_KEYS))
         path = scratch_path(self.spark, "line-filters")
-
-        def build(group: pa.Table) -> pa.Table:
-            words = np.unique(as_words(group["key"].to_pylist()))
-            made = CuckooFilter.sized(len(words))
-            made.insert(words)
-            return pa.table({"shard": pa.array([group["shard"][0].as_py()], pa.int32()), "filter": pa.array([made.to_bytes()], pa.binary())})
-
-        _sharded(keys, shards).groupBy("shard").applyInArrow(build, "shard int, filter binary").write.parquet(path)
+        _built(keys, shards).write.parquet(path)
         return replace(self, filters=path, shards=shards)
 
     def _updated(self, changed: DataFrame) -> LineIndex:
-        """Inserts into and deletes from the shards that have changed keys; a filter that has filled up is made anew."""
-        path, old = scratch_path(self.spark, "line-filters"), self.spark.read.parquet(self.filters)
+        """Inserts into and deletes from the shards that have changed keys; a filter that would be full is made anew from the exact
+        counts, with room for as many keys as it then has."""
+        old = self.spark.read.parquet(self.filters)
 
         def alter(one: pa.Table, other: pa.Table) -> pa.Table:
             shard = (one if one.num_rows else other)["shard"][0].as_py()
             words, up = as_words(other["key"].to_pylist()) if other.num_rows else np.empty(0, np.uint64), np.array(other["up"].to_pylist(), bool)
-            held = CuckooFilter.from_bytes(one["filter"][0].as_py()) if one.num_rows else CuckooFilter.sized(len(words))
-            held.delete(np.unique(words[~up]))
-            held.insert(np.unique(words[up]))
-            return pa.table({"shard": pa.array([shard], pa.int32()), "filter": pa.array([held.to_bytes()], pa.binary())})
+            more, less = np.unique(words[up]), np.unique(words[~up])
+            held = CuckooFilter.from_bytes(one["filter"][0].as_py()) if one.num_rows else CuckooFilter.sized(len(more))
+            held.delete(less)
+            full = not held.fits(len(more))
+            if not full:
+                held.insert(more)
+            return pa.table({"shard": pa.array([shard], pa.int32()), "filter": pa.array([None if full else held.to_bytes()], pa.binary())})
 
         both = old.groupBy("shard").cogroup(_sharded(changed, self.shards).groupBy("shard"))
-        both.applyInArrow(alter, "shard int, filter binary").write.parquet(path)
-        stash = self.spark.read.parquet(path).where(F.length("filter") > 8 * F.lit(4 * SHARD_KEYS))
-        after = replace(self, filters=path)
-        return after if stash.isEmpty() else after._filtered(after.shared().select("key"))
-
-    def _passes(self):
-        """A function that makes the test of a scan, or None if the filters are too large to go everywhere."""
-        filters = self.spark.read.parquet(self.filters)
+        after = materialize(both.applyInArrow(alter, "shard int, filter binary"), "line-altered")
+        full = after.where("filter is null").select("shard")
+        path = scratch_path(self.spark, "line-filters")
+        kept = after.where("filter is not null")
+        if not full.isEmpty():
+            kept = kept.unionByName(_built(self.shared().select("key"), self.shards, full))
+        kept.write.parquet(path)
+        return replace(self, filters=path)
+
+    def _maybe_shared(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        """(key, doc_id) of the lines of docs that the filters let through."""
+        filters, shards = self.spark.read.parquet(self.filters), self.shards
         if (filters.agg(F.sum(F.length("filter"))).first()[0] or 0) > FILTER_BYTES:
-            return None
-        sent, shards = self.spark.sparkContext.broadcast({r.shard: r.filter for r in filters.toLocalIterator()}), self.shards
+            return _shipped(_keys(docs, id_col, text_col, self.shortest), filters, shards)
+        sent = self.spark.sparkContext.broadcast({r.shard: r.filter for r in filters.toLocalIterator()})
 
         def make():
             held = {k: CuckooFilter.from_bytes(bytes(v)) for k, v in sent.value.items()}
@@ -176,11 +179,11 @@ class LineIndex:
 
             return test
 
-        return make
+        return _keys(docs, id_col, text_col, self.shortest, make)
 
     def resolve(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
         """id, `keep`, n_lines, n_dropped and kept (the text that stays) of each row of docs, which are in the index."""
-        maybe = _keys(docs, id_col, text_col, self.shortest, self._passes())
+        maybe = self._maybe_shared(docs, id_col, text_col)
         lost = maybe.join(self.shared(), "key").where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
         lost = lost.groupBy("doc_id").agg(F.collect_list("key").alias("_lost")).withColumnRenamed("doc_id", "_doc")
         fields = [docs.schema[id_col], *carried(docs, keep, [id_col, *(f.name for f in RESULT)]), *RESULT]
@@ -200,7 +203,51 @@ class LineIndex:
 
         texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *(F.col(c).alias(f"_k_{c}") for c in keep))
         joined = texts.join(lost, F.col("_id").cast("long").eqNullSafe(F.col("_doc")), "left").drop("_doc")
-        return joined.mapInArrow(run, T.StructType(fields))
+        return joined.mapInArrow(tidy(run), T.StructType(fields))
+
+
+def _built(keys: DataFrame, shards: int, only: DataFrame | None = None) -> DataFrame:
+    """shard, filter of these keys, a shard a group; only of the shards in `only`, if given, numbers of which there are few."""
+
+    def build(group: pa.Table) -> pa.Table:
+        words = np.unique(as_words(group["key"].to_pylist()))
+        made = CuckooFilter.sized(len(words))
+        made.insert(words)
+        return pa.table({"shard": pa.array([group["shard"][0].as_py()], pa.int32()), "filter": pa.array([made.to_bytes()], pa.binary())})
+
+    dealt = _sharded(keys, shards)
+    if only is not None:
+        dealt = dealt.join(only, "shard", "left_semi")
+    return dealt.groupBy("shard").applyInArrow(build, "shard int, filter binary")
+
+
+def _shipped(keys: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
+    """keys (key, doc_id) that their shards' filters let through. A shard's keys are dealt to SALTS tasks by document, so that a key of
+    very many documents isn't one task; they stream past the filter, which comes first and is all that a task holds."""
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    left = _sharded(keys, shards).select("shard", salt.alias("salt"), "key", "doc_id", F.lit(None).cast("binary").alias("filter"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    right = filters.select("shard", salts.alias("salt"), F.lit(None).cast("binary").alias("key"), F.lit(None).cast("long").alias("doc_id"), "filter")
+    both = left.unionByName(right).repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("filter").isNull())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, None
+        for b in batches:
+            shard, keys_, stay = b["shard"].to_numpy(), b["key"], np.zeros(b.num_rows, bool)
+            place = shard.astype(np.int64) * SALTS + b["salt"].to_numpy()
+            edges = [0, *(np.flatnonzero(place[1:] != place[:-1]) + 1).tolist(), b.num_rows]
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                if lo == hi:
+                    continue
+                if place[lo] != at:
+                    at, held = place[lo], None
+                if (first := b["filter"][lo].as_py()) is not None:
+                    held, lo = CuckooFilter.from_bytes(first), lo + 1  # noqa: PLW2901
+                if held is not None and lo < hi:
+                    stay[lo:hi] = held.contains(as_words(keys_.slice(lo, hi - lo).to_pylist()))
+            yield b.select(["key", "doc_id"]).filter(pa.array(stay))
+
+    return both.mapInArrow(tidy(run), "key binary, doc_id long")
 
 
 def _sharded(keys: DataFrame, shards: int) -> DataFrame:
