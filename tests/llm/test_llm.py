@@ -543,3 +543,47 @@ def test_pipeline_stages(spark, tmp_path):
     assert kept["decontamination"] == [i for i in kept["ngram_jaccard"] if not found[i][3]]
     last = P.STAGES[-1][1](spark, at, sf).collect()
     assert sorted(r.doc_id for r in last) == kept["mixing"] and P.run(spark, sf).count() == len(last)
+
+
+# --- limits that are small here ---
+
+
+def test_decontaminate_long_items_repeats_and_hot_pieces(spark):
+    rng = random.Random(31)
+    long = prose(rng, 30_000)
+    items = [(1, long), (2, " ".join(long.split()[100:140])), (3, prose(rng, 5)), (3, prose(rng, 5)), (4, None), (None, prose(rng, 20))]
+    texts = [" ".join(long.split()[k : k + n]) + " zz " + prose(rng, 9) for k, n in ((0, 12), (0, 13), (50, 60), (100, 40), (20_000, 3000))] + [long, "x " * 40_000, *EDGES, items[2][1], items[5][1]]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = decontaminate.brute_force(list(enumerate(texts)), [(i, t) for i, t in items if t and len(t) < 2000], 13)
+    rows = {r.doc_id: r for r in decontaminate.decontaminate(clashing(docs(spark, texts)), bench).collect()}
+    assert [rows[k].n_hit for k in range(6)] == [0, 13, 60, 40, 3000, 30_000] and rows[6].n_hit == 0 and rows[5].contaminated
+    assert rows[3].items == ["1", "2"] and all(rows[k].n_words == want[k][0] for k in want) and rows[len(texts) - 1].n_hit == 20 and rows[len(texts) - 1].items == []
+    assert decontaminate.decontaminate(docs(spark, []), bench).count() == 0
+
+
+@pytest.mark.parametrize("limit", [64 << 20, 0])
+def test_line_dedup_whether_filters_travel_or_keys(spark, monkeypatch, limit):
+    monkeypatch.setattr(line_dedup, "FILTER_BYTES", limit)
+    rng = random.Random(32)
+    lines = [prose(rng, 4) for _ in range(60)]
+    texts = ["\n".join(rng.choices([*lines, "the one line that all of them have"], k=rng.randint(1, 12))) for _ in range(80)] + EDGES
+    df = docs(spark, texts)
+    rows = {r.doc_id: r.kept for r in line_dedup.LineIndex(spark).insert(df).resolve(clashing(df)).collect()}
+    first = {}
+    for i, t in enumerate(texts):
+        for x in {k for x in (t or "").split("\n") if (k := line_dedup.line_key(x.encode()))}:
+            first.setdefault(x, []).append(i)
+    for i, t in enumerate(texts):
+        want = [x for x in (t or "").split("\n") if not ((k := line_dedup.line_key(x.encode())) and len(first[k]) > 1 and first[k][0] != i)]
+        assert rows[i] == "\n".join(want)
+
+
+def test_line_filters_that_fill_up_are_made_anew(spark):
+    df = lambda lo, hi: docs(spark, [f"line number {k // 2} of them" for k in range(lo, hi)], lo)
+    index = line_dedup.LineIndex(spark).insert(df(0, 20))
+    for step in ((20, 3000), (3000, 3010)):
+        index = index.insert(df(*step))
+    filters = [cuckoo.CuckooFilter.from_bytes(bytes(r.filter)) for r in spark.read.parquet(index.filters).collect()]
+    assert sum(np.count_nonzero(f.table) + len(f.stash) for f in filters) == 1505 and all(not len(f.stash) for f in filters)
+    kept = {r.doc_id: r.kept for r in index.resolve(df(0, 3010)).collect()}
+    assert all((kept[k] == "") == (k % 2 == 1) for k in range(3010))
