@@ -5,9 +5,15 @@ path: tags with their classes from the root, numbers in classes blanked. It also
 paths. Spark counts the votes of each host and path, and finds the paths where most pages of the host say the same. Each page is
 then read again: the smallest container around its own text and its host's winning path, or the best-placed one it has.
 
-What counts as boilerplate is told by tag (menus, footers, asides, forms, scripts, ...), by a word in class, id or role, or by
-the host: a path with one and the same text on most of its pages, which is a small part of each. Blocks that are mostly links
-don't count as text when the container is chosen, and are read where they stand in it. Nothing else is left out.
+What counts as boilerplate is told by tag (menus, footers, asides, scripts, ...) and role, by class or id, or by the host: a path
+with one and the same text on most of its pages, which is a small part of each. A class or id names boilerplate if all its words
+do, or place and shape it ("site-footer", "comment-list"; not "has-sidebar" or "comments-open"). Forms and elements that are
+boilerplate by class or id alone are nevertheless read where they are wrapped around the page's article, main part or first heading, no
+such stands outside of them, and they hold more text than what does. Blocks that are mostly links don't count as text when the container
+is chosen, and are read where they stand in it. Nothing else is left out.
+
+Pages are read in time that grows with their length: tags are found from left to right, and paths are numbers, a hash of the path above
+and the element's own name.
 
 Defined results. A null or empty page has empty text. A page without a url, or with one that isn't a URL, votes with the
 others of that kind. Ties between paths go to the higher score, then to the smaller path. Repeated pages are each read, and
@@ -20,17 +26,21 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Collection, Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexspan.llm.common import batch, materialize, table
+from lexspan.llm.common import batch, materialize, table, tidy
 
-#: Winning paths kept for a host; hosts whose winners go to every executor.
-PLACES, SENT = 3, 100_000
+#: Winning paths kept for a host; bytes of hosts and their paths that go to every executor; tasks for a host's pages beyond.
+PLACES, SENT, SALTS = 3, 16 << 20, 16
 #: A host's path is boilerplate where more than half of its pages, and so many, have the same text, such a share of theirs at most.
 ALIKE, SMALL = 3, 0.1
 
@@ -42,24 +52,35 @@ BLOCK = frozenset(
 )
 CONTAINER = frozenset("article body div main section td".split())
 WHOLE = frozenset("article main".split())
-DROPPED = frozenset("nav footer aside form button dialog menu head".split())
+DROPPED = frozenset("nav footer aside button dialog menu head".split())
+INLINE = frozenset(
+    "a abbr acronym applet audio b bdi bdo big blink cite code data datalist del dfn em fieldset font frame frameset i ins kbd label legend map mark marquee math meter nobr optgroup option output picture progress q rb rp rt ruby s samp slot small span strike strong sub sup time tt u var video".split()
+)
+ROLES = frozenset("alert banner complementary contentinfo dialog menu navigation search".split())
 WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent contentinfo cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promotion recommended related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+PLACED = frozenset(
+    "area article articles author bar block body bottom box button buttons column container desktop entry fixed form global group head header holder icons inline inner item items js left link links list main media meta mobile news outer page panel post posts primary right row secondary section side site slot small stories story sticky tab text title top unit view widgets wrap wrapper".split()
+)
 ENDS_P = BLOCK - {"html", "body"}
 SCOPE = {"li": "ul ol menu", "dd": "dl", "dt": "dl", "td": "tr table", "th": "tr table", "tr": "table"}
+P_SCOPE = frozenset({"table", "td", "th", "article", "section", "div", "li", "button", "blockquote"})
+KNOWN = BLOCK | VOID | RAW | DROPPED | INLINE
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"""\b(class|id|role|aria-label|hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
-_WORD = re.compile(r"[a-z]+", re.I)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/><]*)")
+_STOP = re.compile(r"""[><]|=\s*["']""")
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_WORD = re.compile(r"[a-z]+")
+_CAMEL = re.compile(r"([a-z])([A-Z])")
+_PRIME, _BASE = (1 << 61) - 1, 1_000_003
 
 
 @dataclass
 class Container:
-    path: str
-    tag: str
-    parent: int
+    path: int
     first: int
+    soft: int
     last: int = -1
     dropped: bool = False
 
@@ -73,20 +94,25 @@ class Page:
     def chars(self, c: Container) -> int:
         return sum(len(b) for b in self.blocks[c.first : c.last]) - sum(self.links[c.first : c.last])
 
-    def around(self, paths: Sequence[str] = (), same: Collection[str] = ()) -> tuple[Container | None, list[int]]:
+    def around(self, paths: Sequence[int] = (), same: Collection[int] = ()) -> tuple[Container | None, list[int]]:
         """The smallest container around the page's text and the first of the paths that it has text in, and its blocks.
 
         Blocks at the paths of `same` are left out, unless nothing else is there. No container: all of the page.
         """
-        out = {k for c in self.containers if c.path in same for k in range(c.first, c.last)} if same else set()
-        if len(out) == len(self.blocks):
-            out = set()
-        kept = [k for k in range(len(self.blocks)) if k not in out]
+        inside = [0] * (len(self.blocks) + 1)
+        for c in self.containers if same else ():
+            if c.path in same:
+                inside[c.first] += 1
+                inside[c.last] -= 1
+        kept = [k for k, n in enumerate(accumulate(inside[:-1])) if not n] or list(range(len(self.blocks)))
         need = [k for k in kept if 2 * self.links[k] <= len(self.blocks[k])]
+        own = {c.path for c in self.containers if not c.dropped and c.first < c.last} if paths else set()
         for path in paths:
-            if own := [k for c in self.containers if c.path == path and not c.dropped for k in range(c.first, c.last) if k not in out]:
-                need += own
-                break
+            if path in own:
+                mine = [k for c in self.containers if c.path == path and not c.dropped for k in kept[bisect_left(kept, c.first) : bisect_left(kept, c.last)]]
+                if mine:
+                    need += mine
+                    break
         if not need:
             return None, kept
         first, last = min(need), max(need)
@@ -96,43 +122,85 @@ class Page:
                 at = c
         return at, [k for k in kept if at.first <= k < at.last] if at else kept
 
-    def text(self, paths: Sequence[str] = (), same: Collection[str] = ()) -> str:
+    def text(self, paths: Sequence[int] = (), same: Collection[int] = ()) -> str:
         return "\n".join(self.blocks[k] for k in self.around(paths, same)[1])
 
-    def said(self) -> tuple[int, dict[str, tuple[int, float]]]:
-        """A hash of the page's blocks; and for each path a hash of those in all its containers, and their share of the text."""
-        marks, found = [_hash(b.encode("utf-8", "surrogatepass")) for b in self.blocks], {}
+    def said(self) -> tuple[int, dict[int, tuple[int, float]]]:
+        """A hash of the page's blocks; and for each path a hash of those in all its containers, and their share of the text.
+        A container's hash is a difference of two running ones."""
+        upto, power, chars = [0], [1], [0]
+        for b in self.blocks:
+            upto.append((upto[-1] * _BASE + _hash(b.encode("utf-8", "surrogatepass"))) % _PRIME)
+            power.append(power[-1] * _BASE % _PRIME)
+            chars.append(chars[-1] + len(b))
+        found: dict[int, tuple[int, int]] = {}
         for c in self.containers:
             if not c.dropped and c.first < c.last:
-                found.setdefault(c.path, []).extend(range(c.first, c.last))
-        whole, number = sum(map(len, self.blocks)), lambda own: int.from_bytes(_hash(b"".join(own)), "little", signed=True)
-        return number(marks), {path: (number([marks[k] for k in own]), sum(len(self.blocks[k]) for k in own) / whole) for path, own in found.items()}
+                n, (h, m) = c.last - c.first, found.get(c.path, (0, 0))
+                found[c.path] = ((h * power[n] + upto[c.last] - upto[c.first] * power[n]) % _PRIME, m + chars[c.last] - chars[c.first])
+        return upto[-1], {path: (h, m / chars[-1]) for path, (h, m) in found.items()}
+
+
+def _hash(raw: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little") >> 4
+
+
+@lru_cache(1 << 16)
+def below(path: int, name: str) -> int:
+    """The number of the path that goes on from a path to an element of this name."""
+    return _hash(path.to_bytes(8, "little") + name.encode("utf-8", "surrogatepass"))
 
 
-def _hash(raw: bytes) -> bytes:
-    return hashlib.blake2b(raw, digest_size=8).digest()
+@lru_cache(1 << 16)
+def names_boilerplate(token: str) -> bool:
+    """Whether a class or an id has words that name boilerplate, and no others than such that place or shape it. "content" is one of
+    those behind the name only."""
+    words = _WORD.findall(_CAMEL.sub(r"\1 \2", token).lower())
+    named = [k for k, w in enumerate(words) if w in WORDS]
+    return bool(named) and all(w in WORDS or w in PLACED or (w == "content" and k > named[0]) for k, w in enumerate(words))
 
 
-def _attributes(raw: str) -> tuple[str, bool]:
-    """Generalised classes, and whether class, id or role name boilerplate."""
+def _attributes(raw: str) -> tuple[str, bool, bool]:
+    """Generalised classes; whether the element is boilerplate by role or hidden; whether it is by class or id."""
     if not raw or raw.isspace():
-        return "", False
-    classes, bad = "", False
+        return "", False, False
+    classes, hard, soft = "", False, False
     for name, value in _ATTR.findall(raw):
-        name, value = name.lower(), html.unescape(value.strip("\"'"))
-        if name in ("class", "id", "role"):
-            bad = bad or not WORDS.isdisjoint(w.lower() for w in _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value)))
+        name, value = name.lower(), html.unescape(value.strip("\"'")) if value else ""
         if name == "hidden":
-            bad = True
-        if name == "class":
-            classes = "".join("." + re.sub(r"\d+", "0", c) for c in sorted(set(value.split())))
-    return classes, bad
+            hard = True
+        elif name == "role":
+            hard = hard or value.strip().lower() in ROLES
+        elif name in ("class", "id"):
+            own = value.split()
+            soft = soft or any(map(names_boilerplate, own))
+            if name == "class":
+                classes = "".join("." + re.sub(r"\d+", "0", c) for c in sorted(set(own)))
+    return classes, hard, soft
+
+
+def _tag_end(source: str, at: int) -> tuple[int, bool]:
+    """Where a tag ends that goes on at `at`, and whether by ">", not by the next "<" or the page's end."""
+    while m := _STOP.search(source, at):
+        if m[0] == ">":
+            return m.start(), True
+        if m[0] == "<":
+            return m.start(), False
+        close = source.find(m[0][-1], m.end())
+        at = close + 1 if close >= 0 else m.end()  # a quote that nothing closes is a letter
+    return len(source), False
 
 
 def parse(source: str) -> Page:
-    """Blocks and containers of a page, boilerplate left out. Elements that end implicitly are ended; a cut page ends all."""
+    """Blocks and containers of a page, boilerplate left out. Elements that end implicitly are ended; a cut page ends all. What looks like
+    a tag, has no name of HTML and no end is text."""
     page, buffer, linked = Page(), [], 0
-    stack: list[tuple[str, str, bool, int]] = [("", "", False, -1)]  # tag, path, dropped, container
+    owners: list[int] = []  # of each block: the element around it that may be boilerplate, or -1
+    softs: list[tuple[int, int]] = []  # of each such element: the one around it, where its blocks begin
+    anchors: list[int] = []  # of each article, main part and first heading: such an element around it, or -1
+    stack: list[tuple[str, int, bool, int, int]] = [("", 0, False, -1, -1)]  # tag, path, dropped, container, such an element
+    opened: Counter[str] = Counter()
+    unclosed: set[str] = set()
 
     def flush() -> None:
         nonlocal linked
@@ -140,17 +208,22 @@ def parse(source: str) -> Page:
             if text := " ".join(html.unescape("".join(buffer)).split()):
                 page.blocks.append(text)
                 page.links.append(min(linked, len(text)))
+                owners.append(stack[-1][4])
             buffer.clear()
         linked = 0
 
     def close() -> None:
-        tag, _, _, own = stack.pop()
+        tag, _, _, own, _ = stack[-1]
         if tag in BLOCK:
             flush()
-        if own >= 0 and (not stack or stack[-1][3] != own):
+        stack.pop()
+        opened[tag] -= 1
+        if own >= 0 and stack[-1][3] != own:
             page.containers[own].last = len(page.blocks)
 
-    def end(tag: str, within: frozenset | set = frozenset()) -> None:
+    def end(tag: str, within: Collection[str] = ()) -> None:
+        if opened[tag] < 1:
+            return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k][0] == tag:
                 while len(stack) > k:
@@ -168,27 +241,43 @@ def parse(source: str) -> Page:
 
     at, n = 0, len(source)
     while at < n:
-        m = _TOKEN.search(source, at)
-        if not m:
-            rest = source[at:]
-            cut = re.search(r"<[/a-zA-Z!?][^>]*\Z", rest)  # a tag that the page's end cuts off
-            say(rest[: cut.start()] if cut else rest)
+        start = source.find("<", at)
+        if start < 0:
+            say(source[at:])
             break
-        say(source[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
+        say(source[at:start])
+        if source.startswith("<!--", start):
+            stop = source.find("-->", start + 4)
+            at = stop + 3 if stop >= 0 else n
+            continue
+        if source[start + 1 : start + 2] in ("!", "?"):
+            stop = source.find(">", start)
+            at = stop + 1 if stop >= 0 else n
+            continue
+        m = _NAME.match(source, start)
+        if not m:
+            say("<")
+            at = start + 1
+            continue
+        tag, (at, whole) = m[2].lower(), _tag_end(source, m.end())
+        if not whole and not m[1] and tag not in KNOWN:
+            say(source[start:at])
             continue
+        attributes, at = source[m.end() : at], at + whole
+        if not whole and at == n:
+            break  # a tag that the page's end cuts off
         if m[1]:
             if tag in BLOCK:
                 flush()
             if tag not in VOID:
-                end(tag, {"table", "article", "body"} - {tag} if tag in ("p", "b", "i", "a", "span", "em", "strong", "li", "td", "tr") else frozenset())
+                end(tag, {"table", "article", "body"} - {tag} if tag in ("p", "b", "i", "a", "span", "em", "strong", "li", "td", "tr") else ())
             elif tag == "br":
                 say(" ")
             continue
         if tag in RAW:
-            stop = re.compile(rf"</{re.escape(tag)}[^>]*>", re.I).search(source, at)
+            stop = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}[^>]*>", re.I).search(source, at)
+            if not stop:
+                unclosed.add(tag)
             at = stop.end() if stop else n if tag in ("script", "style") else at
             continue
         if tag == "br":
@@ -198,40 +287,81 @@ def parse(source: str) -> Page:
         if tag in VOID:
             continue
         if tag in ENDS_P:
-            end("p", {"table", "td", "th", "article", "section", "div", "li", "button", "blockquote"})
+            end("p", P_SCOPE)
         if tag in SCOPE:
-            end(tag, set(SCOPE[tag].split()))
-        _, path, dropped, own = stack[-1]
-        classes, bad = _attributes(m[3])
-        path = f"{path}/{tag}{classes}" if tag in BLOCK else path
-        page_header = tag == "header" and not any(e[0] in WHOLE for e in stack)
-        dropped = dropped or tag in DROPPED or page_header or (bad and tag not in ("html", "body"))
+            end(tag, SCOPE[tag].split())
+        _, path, dropped, own, soft = stack[-1]
+        classes, hard, named = _attributes(attributes)
+        path = below(path, tag + classes) if tag in BLOCK else path
+        page_header = tag == "header" and not opened["article"] and not opened["main"]
+        dropped = dropped or hard or tag in DROPPED or page_header
+        if (named or tag == "form") and tag not in ("html", "body") and not dropped:
+            softs.append((soft, len(page.blocks)))
+            soft = len(softs) - 1
+        if not dropped and (tag in WHOLE or tag == "h1" or "role" in attributes and re.search(r"""role\s*=\s*["']?main\b""", attributes)):
+            anchors.append(soft)
         if tag in CONTAINER:
-            page.containers.append(Container(path, tag, own, len(page.blocks), dropped=dropped))
+            page.containers.append(Container(path, len(page.blocks), soft, dropped=dropped))
             own = len(page.containers) - 1
-        if m[3].endswith("/") and tag not in BLOCK:
+        if attributes.endswith("/") and tag not in BLOCK:
             continue
-        stack.append((tag, path, dropped, own))
+        stack.append((tag, path, dropped, own, soft))
+        opened[tag] += 1
     while len(stack) > 1:
         close()
     flush()
     for c in page.containers:
         if c.last < 0:
             c.last = len(page.blocks)
-    return page
+    return _without(page, owners, softs, anchors) if softs else page
+
+
+def _without(page: Page, owners: list[int], softs: list[tuple[int, int]], anchors: list[int]) -> Page:
+    """The page without the blocks of elements that are boilerplate by class or id."""
+    held = [0] * len(softs)  # characters in each, with those within it
+    outside = 0
+    for text, own in zip(page.blocks, owners, strict=True):
+        if own < 0:
+            outside += len(text)
+        else:
+            held[own] += len(text)
+    for k in range(len(softs) - 1, -1, -1):
+        if softs[k][0] >= 0:
+            held[softs[k][0]] += held[k]
+    cleared: set[int] = set()
+    if anchors and min(anchors) >= 0:
+        for k in anchors:
+            chain = []
+            while k >= 0 and k not in cleared:
+                chain.append(k)
+                k = softs[k][0]
+            if chain and (k >= 0 or held[chain[-1]] > outside):
+                cleared.update(chain)
+                break  # the first such is the article's; others may be comments
+    # an element within one that is dropped is dropped, too
+    gone = []
+    for k, (around, _) in enumerate(softs):
+        gone.append(k not in cleared or (around >= 0 and gone[around]))
+    keep = [own < 0 or not gone[own] for own in owners]
+    place = [0, *accumulate(keep)]
+    made = Page([b for b, x in zip(page.blocks, keep, strict=True) if x], [n for n, x in zip(page.links, keep, strict=True) if x])
+    for c in page.containers:
+        made.containers.append(Container(c.path, place[c.first], c.soft, place[c.last], c.dropped or (c.soft >= 0 and gone[c.soft])))
+    return made
 
 
 def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-CAST = pa.schema([("host", pa.string()), ("path", pa.string()), ("n", pa.int64()), ("score", pa.int64()), ("said", pa.int64()), ("page", pa.int64()), ("share", pa.float64())])
+CAST = pa.schema([("host", pa.string()), ("path", pa.int64()), ("n", pa.int64()), ("score", pa.int64()), ("said", pa.int64()), ("page", pa.int64()), ("share", pa.float64())])
 
 
 def votes(pages: DataFrame) -> DataFrame:
     """A row for each path of each page (host, html) that has text: n is 1 for the one that the page votes for, else 0;
     hashes of what the page says there and in all, and the former's share."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
@@ -243,7 +373,7 @@ def votes(pages: DataFrame) -> DataFrame:
                     rows.append((host, path, int(own), page.chars(c) if own else 0, said, whole, share))
             yield batch(list(zip(*rows, strict=True)) or [()] * len(CAST), CAST)
 
-    return pages.select("host", "html").mapInArrow(run, "host string, path string, n long, score long, said long, page long, share double")
+    return pages.select("host", "html").mapInArrow(run, "host string, path long, n long, score long, said long, page long, share double")
 
 
 def consensus(cast: DataFrame, places: int = PLACES) -> DataFrame:
@@ -263,10 +393,15 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     """page_id, url, text and n_chars of each page."""
     pages = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
     winners = materialize(consensus(materialize(votes(pages), "html-votes")), "html-winners")
-    few = winners.count() <= SENT
-    joined = pages.join(F.broadcast(winners) if few else winners, "host", "left")
+    size = winners.agg(F.sum(F.octet_length("host") + 8 * (F.size("paths") + F.coalesce(F.array_size("same"), F.lit(0))))).first()[0] or 0
+    if size <= SENT:
+        joined = pages.join(F.broadcast(winners), "host", "left")
+    else:  # a host's pages are dealt out, and its winners go to each part
+        salted = winners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = pages.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
     kind = pages.schema["page_id"].dataType.simpleString()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             read = zip(b["html"].to_pylist(), b["paths"].to_pylist(), b["same"].to_pylist(), strict=True)

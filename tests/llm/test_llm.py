@@ -587,3 +587,34 @@ def test_line_filters_that_fill_up_are_made_anew(spark):
     assert sum(np.count_nonzero(f.table) + len(f.stash) for f in filters) == 1505 and all(not len(f.stash) for f in filters)
     kept = {r.doc_id: r.kept for r in index.resolve(df(0, 3010)).collect()}
     assert all((kept[k] == "") == (k % 2 == 1) for k in range(3010))
+
+
+def test_html_boilerplate_by_whole_names():
+    story = "<h1>Title</h1><p>Some text of the article that is long enough.</p>"
+    want = "Title\nSome text of the article that is long enough."
+    read = lambda s: html_extract.parse(s).text()
+    for wrapped in ('<article class="post comments-open">{}</article>', '<div class="layout has-sidebar">{}</div>', '<div class="no-ads">{}</div>', '<form id="aspnetForm">{}</form>', '<div class="sidebar-wrap">{}</div>'):
+        assert read(wrapped.format(story)) == want
+    around = '<div class="site-footer"><p>f</p></div><div data-x="hidden" title="sidebar">{}</div><section id="comments"><article><p>' + "a long comment " * 50 + '</p></article></section><ul class="comment-list"><li>z</li></ul><div role="search">q</div>'
+    assert read(around.format(story)) == want
+    assert read(f'<div class="sidebar-wrap">{story}<div class="sidebar">side</div><div id="comments"><article class="comment"><p>bad</p></article></div></div>') == want
+    assert read('<div id="cookie-notice"><h1>We use cookies</h1>a b</div><div class="text">the story of it all, longer than the notice</div>') == "the story of it all, longer than the notice"
+    assert read("<p>if x<y then</p>") == "if x<y then" and read("a < b <3") == "a < b <3" and read("<p title='a>b'>c</p>") == "c" and read("<div hidden>x</div>y") == "y"
+
+
+@pytest.mark.parametrize("source", ["<div>" * 100_000 + "x" + "</div>" * 100_000, "<div><b>" * 50_000 + "x" + "</i>" * 100_000, '<p a="' * 170_000 + "x", "<iframe>" * 100_000 + "x", "<" * 300_000, '<div class="a1"><p>hello</p>' * 30_000, 'x<y a="' * 100_000])
+def test_html_is_read_in_linear_time(source):
+    import time
+
+    began = time.process_time()
+    page = html_extract.parse(source)
+    page.text()
+    page.said()
+    assert time.process_time() - began < 20
+
+
+def test_html_winners_that_stay_where_they_are(spark, monkeypatch, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    want = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
+    monkeypatch.setattr(html_extract, "SENT", 0)
+    assert {r.page_id: r.text for r in html_extract.extract(pages).collect()} == want
