@@ -12,8 +12,9 @@ The SQL of op9_mixing starts every sum at one half, where errors of a stratum ar
 one sign in all strata of a source; that query follows its SQL (`spread=False`), the pipeline doesn't.
 
 Defined results. A null text has size 0. A null source is a source of its own, the last. Repeated rows are separate
-documents. Documents of size 0 may get copies but take no words. No documents: no rows. Clashing column names: the input
-keeps all its columns; names that the operator makes mustn't be among them.
+documents. Documents of size 0 may get copies but take no words. No documents: no rows. Ties of size go by id; rows that tie in both
+are alike. Clashing column names: the input keeps all its columns, but for those named as the operator's own (MADE), which take their
+place; inner names begin with "_mix_".
 """
 
 from __future__ import annotations
@@ -36,6 +37,10 @@ STEPS = 60
 PARTS = 1_000_000
 
 
+#: Columns that the operator adds.
+MADE = ("size", "source_size", "target", "rate", "copies")
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
@@ -106,31 +111,40 @@ def _salt(id_col: Column, n: Column) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(F.coalesce(id_col.cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long"), n)
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: int = CAP, spread: bool = True) -> DataFrame:
-    """docs with size, source_size, target, rate and copies; taken words are copies * size. spread: offsets of a source's strata."""
-    sized = docs.withColumn("size", word_count(F.col(text_col)))
-    slim = materialize(sized.groupBy(F.col(source_col).alias("source")).agg(F.sum("size").alias("words"), F.count("*").alias("n")), "mix-cells")
+def mix(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size_col: str | None = None, cap: int = CAP, spread: bool = True
+) -> DataFrame:
+    """docs with size, source_size, target, rate and copies; taken words are copies * size. spread: offsets of a source's strata.
+    size_col: a column of sizes, where they are known; else words are counted, once for the sums and once for the rows."""
+    size = F.col(size_col) if size_col else word_count(F.col(text_col))
+    own = [c for c in docs.columns if c not in MADE]
+    sized = docs.select(*own, size.cast("long").alias("_mix_size"))
+    slim = sized.groupBy(F.col(source_col).alias("source")).agg(F.sum("_mix_size").alias("words"), F.count("*").alias("n"))
+    slim = materialize(slim, "mix-cells")
     targets = targets_by_weight(slim.select("source", F.col("words").alias("source_size")), cap=cap)
     rates = balance(slim, {"source": targets}, cap=cap)
     plan = rates.join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "words")
-    plan = materialize(plan.withColumn("_parts", F.round(F.col("rate") * PARTS).cast("long")).withColumnRenamed("source", "_source"), "mix-plan")
-    joined = sized.join(plan, F.col(source_col).eqNullSafe(F.col("_source")))
-    strata = F.ceil(F.col("n") / STRATUM).cast("long")
-    dealt = joined.withColumn("_stratum", _salt(F.col(id_col), strata))
-    run = Window.partitionBy("_source", "_stratum").orderBy(F.desc("size"), F.col(id_col).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    upto = F.sum("_parts").over(run)
+    plan = plan.withColumn("parts", F.round(F.col("rate") * PARTS).cast("long"))
+    plan = materialize(plan.select(*(F.col(c).alias(f"_mix_{c}") for c in ("source", "source_size", "target", "rate", "n", "parts"))), "mix-plan")
+    joined = sized.join(plan, F.col(source_col).eqNullSafe(F.col("_mix_source")))
+    strata = F.ceil(F.col("_mix_n") / STRATUM).cast("long")
+    dealt = joined.withColumn("_mix_stratum", _salt(F.col(id_col), strata))
+    run = Window.partitionBy("_mix_source", "_mix_stratum").orderBy(F.desc("_mix_size"), F.col(id_col).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    upto = F.sum("_mix_parts").over(run)
     start = F.lit(PARTS // 2)
     if spread:
-        start = F.pmod(_salt(F.col("_source"), F.lit(PARTS)) + F.floor(F.col("_stratum") * PARTS / strata), F.lit(PARTS))
-    copies = F.floor((F.col("_upto") + start) / PARTS) - F.floor((F.col("_upto") - F.col("_parts") + start) / PARTS)
-    return dealt.withColumn("_upto", upto).withColumn("copies", F.least(F.lit(cap), copies).cast("int")).drop("_source", "_stratum", "_upto", "_parts", "n")
+        start = F.pmod(_salt(F.col("_mix_source"), F.lit(PARTS)) + F.floor(F.col("_mix_stratum") * PARTS / strata), F.lit(PARTS))
+    copies = F.floor((F.col("_mix_upto") + start) / PARTS) - F.floor((F.col("_mix_upto") - F.col("_mix_parts") + start) / PARTS)
+    found = dealt.withColumn("_mix_upto", upto).withColumn("_mix_copies", F.least(F.lit(cap), copies).cast("int"))
+    return found.select(*own, *(F.col(f"_mix_{c}").alias(c) for c in MADE))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    # counted once and written: the rounding sorts ids and sizes, not texts
-    sized = docs.select("doc_id", "source", "text")
-    return mix(sized, spread=False).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    docs = table(spark, sf_dir, "documents")
+    # counted once and written: the sums and the rounding read ids and sizes, not texts
+    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("words")), "mix-sizes")
+    found = mix(sized, size_col="words", spread=False)
+    return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
 #: DuckDB SQL for op9_mixing: the dual has a closed form where each document is in one group.
