@@ -210,7 +210,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["license"])))
     return found.select(
         "doc_id", F.size("matches").cast("long").alias("n_matches"), F.array_join(names, ",").alias("licenses"),
-        F.coalesce(F.array_max(F.transform("matches", lambda m: m["contained"])), F.lit(0.0)).alias("best"),
+        F.coalesce(F.array_max(F.transform("matches", lambda m: m["contained"])), F.lit(0.0)).alias("best"), "matches",
     )
 
 
