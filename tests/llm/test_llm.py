@@ -618,3 +618,27 @@ def test_html_winners_that_stay_where_they_are(spark, monkeypatch, sf):
     want = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
     monkeypatch.setattr(html_extract, "SENT", 0)
     assert {r.page_id: r.text for r in html_extract.extract(pages).collect()} == want
+
+
+def test_mixing_ties_and_clashing_names(spark):
+    df = docs(spark, ["a b c"] * 40 + [None, ""]).unionByName(docs(spark, ["d e f g"] * 30, 100, "t"))
+    plain = {r.doc_id: (r["size"], r.target, r.copies) for r in mixing.mix(df).collect()}
+    names = ("size", "source_size", "target", "rate", "copies", "n", "words", "parts", "source_", "stratum", "upto", "w", "_s", "_value", "_parts", "_upto")
+    odd = mixing.mix(df.select("*", *(F.lit("x").alias(c) for c in names)))
+    assert {r.doc_id: (r["size"], r.target, r.copies) for r in odd.collect()} == plain
+    assert {r.words for r in odd.collect()} == {"x"} and len(set(odd.columns)) == len(odd.columns)
+    assert mixing.mix(docs(spark, [])).count() == 0
+    twice = mixing.mix(df.unionByName(df)).collect()
+    assert len(twice) == 144 and sum(r.copies * r["size"] for r in twice) == pytest.approx(2 * (120 + 120), abs=12)
+
+
+def test_pipeline_judges_rows_of_one_id_by_their_texts(spark):
+    import corpus_pipeline as P
+
+    rng = random.Random(33)
+    a, b, c = (prose(rng, 30) for _ in range(3))
+    rows = [(1, a), (1, b), (1, a), (2, b), (None, c), (None, c), (3, None), (3, ""), (4, a + " tail"), (None, a)]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    got = sorted(((r.doc_id, r.text) for r in P.drop_near_copies(spark, df, "").collect()), key=str)
+    assert got == sorted([(1, a), (1, b), (None, c), (3, None), (3, "")], key=str)
+    assert P.drop_near_copies(spark, df.limit(0), "").count() == 0
