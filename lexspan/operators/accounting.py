@@ -16,6 +16,16 @@ def cost(input_tokens: Column, output_tokens: Column, input_per_million: str, ou
     return (whole / F.lit(MILLION).cast("decimal(7,0)")).cast("decimal(34,13)")
 
 
+def priced(traces: DataFrame, prices: DataFrame, by: str = "provider") -> DataFrame:
+    """traces with cost by a price list (by, input_price, output_price: decimal(12,6) a million tokens); one without a price fails the
+    job. A price list has a row for each provider, and Spark decides how it travels."""
+    priced_ = traces.drop("cost").join(prices.select(by, "input_price", "output_price"), by, "left")
+    whole = F.col("input_tokens").cast("decimal(12,0)") * F.col("input_price") + F.col("output_tokens").cast("decimal(12,0)") * F.col("output_price")
+    exact = (whole / F.lit(MILLION).cast("decimal(7,0)")).cast("decimal(34,13)")
+    known = F.when(F.col("input_price").isNull() | F.col("output_price").isNull(), F.raise_error(F.concat(F.lit("no price for "), F.coalesce(by, F.lit("null")))).cast("decimal(34,13)"))
+    return priced_.withColumn("cost", known.otherwise(exact)).drop("input_price", "output_price")
+
+
 def provider_metrics(traces: DataFrame, by: str = "provider") -> DataFrame:
     """traces: by, refusal_verdict, citation_verdict (0 or 1), input_tokens, output_tokens, cost (decimal), elapsed_ms."""
     return traces.groupBy(by).agg(

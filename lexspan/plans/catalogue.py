@@ -602,3 +602,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+from lexspan.plans import evidence as _evidence  # noqa: E402, F401  # registers its queries with query()

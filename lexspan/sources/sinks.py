@@ -32,3 +32,13 @@ def markdown_table(report: DataFrame, *columns: str, limit: int = 200) -> str:
         raise ValueError(f"the report has more than {limit} rows")
     line = lambda xs: "| " + " | ".join(f"{x:.4f}" if isinstance(x, float) else str(x) for x in xs) + " |"
     return "\n".join([line(columns), "|" + "---|" * len(columns), *(line(r) for r in rows)])
+
+
+def write_or_check(report: DataFrame, path: str, *, check: bool) -> None:
+    """Writes a report, or checks that the one that is there has just its rows."""
+    if not check:
+        report.write.mode("overwrite").parquet(path)
+        return
+    there = report.sparkSession.read.parquet(path).select(*report.columns)
+    if not there.exceptAll(report).isEmpty() or not report.exceptAll(there).isEmpty():
+        raise ValueError(f"what is at {path} isn't what would be written")

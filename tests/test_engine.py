@@ -407,3 +407,46 @@ def test_gold_of_short_questions(spark, tmp_path):
     spark.createDataFrame([(1, "one two three four five six"), (2, "中文 問題 here"), (3, None), (4, "three")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, "three four"), (2, "問題"), (3, "two three four five six"), (4, "three five")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert sorted((r.qid, r.doc) for r in catalogue._gold(spark, str(tmp_path)).collect()) == [(1, 1), (2, 2), (3, 1)]
+
+
+def test_evidence_fails_closed(spark, tmp_path):
+    from lexspan.operators import evidence
+
+    rows = "qid string, answerable boolean, rank int, top_score double, elapsed_ms double"
+    good, bad = [("a", True, 1, 0.5, 2.0)], [("b", True, 0, 0.5, 2.0), ("c", None, 1, float("nan"), float("inf")), (None, True, None, 1.5, -1.0)]
+    assert [tuple(r) for r in evidence.private_trace(spark.createDataFrame(good, rows), 0.6).collect()] == [("a", True, 1, 0.5, True, 2.0)]
+    for r in bad:
+        with pytest.raises(Exception, match="trace breaks rule"):
+            evidence.private_trace(spark.createDataFrame([r], rows), 0.6).collect()
+    found = checks.violations(spark.createDataFrame(bad, rows), evidence.reliability_rules(), "qid").collect()
+    assert sorted((str(r.qid), r.violation) for r in found) == [("None", "elapsed_ms"), ("None", "qid"), ("None", "top_score"), ("b", "rank"), ("c", "answerable"), ("c", "elapsed_ms"), ("c", "top_score")]
+    texts = [(1, '{"qid":1}'), (2, "[1]"), (3, None), (4, '{"answerable":1,"cited_sources":["x",{"doc":1}],"elapsed_ms":1,"judge":{"relevancy":1},"q_type":1,"qid":1,"refusal_stage":1,"refused":1,"top_score":1}')]
+    issues = evidence.field_issues(spark.createDataFrame(texts, "k int, j string"), "e2e", key="k", json="j").collect()
+    own = lambda k: sorted(r.problem for r in issues if r.k == k)
+    assert len(own(1)) == 8 and own(2) == own(3) == ["not_an_object"] and own(4) == ["judge_missing:faithfulness", "source_missing:article", "source_not_an_object"]
+    call = spark.createDataFrame([("p", 10, 20)], "provider string, input_tokens int, output_tokens int")
+    price = lambda p: spark.sql(f"select '{p}' as provider, cast(0.3 as decimal(12,6)) as input_price, cast(2.5 as decimal(12,6)) as output_price")
+    assert accounting.priced(call, price("p")).first().cost == Decimal("0.000053")
+    with pytest.raises(Exception, match="no price"):
+        accounting.priced(call, price("q")).collect()
+    a, b = (spark.createDataFrame([(x, "m", v)], "d string, metric string, value double") for x, v in (("x", 1.0), ("y", None)))
+    assert sorted((r.d, r.problem) for r in evidence.mismatches(a, b, "d").collect()) == [("x", "missing"), ("y", "unpublished")] and evidence.mismatches(b, b, "d").isEmpty()
+    sinks.write_or_check(a, str(tmp_path / "r"), check=False)
+    sinks.write_or_check(a, str(tmp_path / "r"), check=True)
+    with pytest.raises(ValueError):
+        sinks.write_or_check(a.unionByName(a), str(tmp_path / "r"), check=True)
+
+
+def test_case_scores(spark):
+    from lexspan.operators import evidence
+
+    cases = spark.createDataFrame(
+        [("a", True, ["x", "y"], ["z"], ["r"], ["s"], False), ("b", True, ["x"], ["z"], [], [], False), ("c", False, [], ["z"], [], [], True), ("d", True, ["x"], [], [], [], False)],
+        "qid string, answerable boolean, sources array<string>, prohibited array<string>, required_routes array<string>, prohibited_routes array<string>, expect_refusal boolean",
+    )
+    hits = spark.createDataFrame([("a", "x", 1), ("a", "y", 5), ("b", "x", 6), ("b", "z", 2), ("c", "q", 1)], "qid string, source string, rank int")
+    seen = spark.createDataFrame([("a", ["r"], False, 0.9), ("b", [], False, 0.9), ("c", [], True, 0.1)], "qid string, routes array<string>, threshold_refused boolean, top_score double")
+    got = {r.qid: r for r in evidence.case_scores(cases, hits, seen).collect()}
+    assert [got[k].passed for k in "abcd"] == [True, False, True, False] and (got["b"].n_found, got["b"].n_prohibited) == (0, 1)
+    s = evidence.case_summary(evidence.case_scores(cases, hits, seen)).first()
+    assert (s.total, s.source_recall_at_5, s.answerable_pass_rate, s.threshold_refusal_accuracy, s.passed) == (4, 0.5, 0.333333, 0.75, False)
