@@ -6,16 +6,24 @@ are counts of distinct terms that Spark adds up before it shuffles.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lexspan.functions.text import word_tokens
+from lexspan.scratch import materialize
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 FORMAT = "lexical-index-2"
+#: Queries in a block; scores that a task holds.
+BLOCK, CELLS = 2000, 1 << 22
 
 
 def tokenized(docs: DataFrame, id_col: str, text_col: str, tokens: Callable[[Column], Column] = word_tokens) -> DataFrame:
@@ -54,19 +62,77 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select(F.col("doc").alias("qid"), F.explode("tokens").alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, *, k: int = 20, k1: float = K1, b: float = B, epsilon: float = EPSILON, digits: int | None = None) -> DataFrame:
-    """qid, doc, score, rank of each query's k best documents of positive score; ties go to the smaller doc. docs are read three
-    times: tokens that are costly to make are better written first.
+def bm25(docs: DataFrame, queries: DataFrame, *, k: int = 20, k1: float = K1, b: float = B, epsilon: float = EPSILON, digits: int | None = None, block: int = BLOCK) -> DataFrame:
+    """qid, doc, score, rank of each query's k best documents of positive score; ties go to the smaller doc.
 
-    digits: scores are rounded to so many before they are ranked, which makes ranks comparable between engines.
+    docs: tokenized(), which are read three times, so that tokens that are costly to make are better written first. queries: a stated set,
+    tokenized. Their terms' weights are sent in blocks of queries; a task scores batches of documents and keeps k for each query, so that
+    what is shuffled is not a row for each document and query that share a term. digits: scores are rounded to so many before they are
+    ranked, which makes ranks comparable between engines.
     """
     wanted = query_terms(queries)
-    found = postings(docs, wanted.select("term").distinct())
-    return scored(found, document_frequencies(docs), corpus_stats(docs), wanted, k=k, k1=k1, b=b, epsilon=epsilon, digits=digits)
+    known = inverse_frequencies(document_frequencies(docs), corpus_stats(docs), epsilon)
+    weights = materialize(wanted.join(known, "term").select("qid", "term", (F.col("qtf") * F.col("idf")).alias("weight")), "weights")
+    avgdl = corpus_stats(docs).first().avgdl or 1.0
+    count = max(1, -(-queries.count() // block))
+    found = None
+    for i in range(count):
+        own = weights.where(F.pmod(F.xxhash64("qid"), F.lit(count)) == i) if count > 1 else weights
+        part = _scored_block(docs, own, queries.schema["doc"].dataType, avgdl, k, k1, b, digits)
+        found = part if found is None else found.unionByName(part)
+    return top_k(found, k)
+
+
+def _scored_block(docs: DataFrame, weights: DataFrame, kind: T.DataType, avgdl: float, k: int, k1: float, b: float, digits: int | None) -> DataFrame:
+    rows = weights.orderBy("term", "qid").collect()
+    qids, terms = list(dict.fromkeys(r.qid for r in rows)), list(dict.fromkeys(r.term for r in rows))
+    place = {q: i for i, q in enumerate(qids)}
+    number = {x: i for i, x in enumerate(terms)}
+    # the queries of term t and their weights are at first[t] : first[t + 1]
+    per = np.bincount([number[r.term] for r in rows], minlength=len(terms)) if rows else np.empty(0, np.int64)
+    lists = np.array([place[r.qid] for r in rows], np.int64), np.array([r.weight for r in rows], float), np.concatenate(([0], np.cumsum(per))).astype(np.int64)
+    sent, own_type = docs.sparkSession.sparkContext.broadcast((qids, terms, lists)), to_arrow_type(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, terms, (query, weight, first) = sent.value
+        vocabulary, nq = pa.array(terms, pa.string()), len(qids)
+        for batch in batches:
+            if not nq:
+                return
+            for at in range(0, batch.num_rows, step := max(1, CELLS // nq)):
+                part = batch.slice(at, step)
+                tokens = part["tokens"]
+                size = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy().astype(np.int64)
+                term = pc.index_in(pc.cast(tokens.flatten(), pa.string()), value_set=vocabulary)
+                has = term.is_valid().to_numpy(zero_copy_only=False)
+                pair, tf = np.unique(np.repeat(np.arange(len(size)), size)[has] * len(terms) + term.drop_null().to_numpy().astype(np.int64), return_counts=True)
+                row, t = pair // len(terms), pair % len(terms)
+                share = tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[row] / avgdl))
+                scores = np.zeros(nq * len(size))
+                for lo in range(0, len(pair), CELLS // 64):
+                    r, x, s = row[lo : lo + CELLS // 64], t[lo : lo + CELLS // 64], share[lo : lo + CELLS // 64]
+                    n = first[x + 1] - first[x]
+                    j = np.repeat(first[x], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    np.add.at(scores, query[j] * len(size) + np.repeat(r, n), weight[j] * np.repeat(s, n))
+                q, d, s = best(scores.reshape(nq, -1), k, digits, positive=True)
+                yield pa.RecordBatch.from_arrays([pa.array([qids[i] for i in q.tolist()], own_type), part["doc"].take(pa.array(d)), pa.array(s)], names=["qid", "doc", "score"])
+
+    return docs.select("doc", "tokens").mapInArrow(run, f"qid {kind.simpleString()}, doc {docs.schema['doc'].dataType.simpleString()}, score double")
+
+
+def best(scores: np.ndarray, k: int, digits: int | None, *, positive: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and score of each row's k best, and whatever ties with the k-th."""
+    if digits is not None:
+        scores = np.round(scores, digits)
+    keep = np.ones(scores.shape, bool)
+    if scores.shape[1] > k:
+        keep = scores >= -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+    row, col = np.nonzero(keep & (scores > 0) if positive else keep)
+    return row, col, scores[row, col]
 
 
 def scored(found: DataFrame, df: DataFrame, stats: DataFrame, wanted: DataFrame, *, k: int, k1: float = K1, b: float = B, epsilon: float = EPSILON, digits: int | None = None) -> DataFrame:
-    """The same from postings(), document_frequencies(), corpus_stats() and query_terms()."""
+    """The same from postings(), document_frequencies(), corpus_stats() and query_terms(), where postings of few terms are all that is read."""
     known = inverse_frequencies(df, stats, epsilon)
     matched = found.join(wanted.join(known, "term"), "term").crossJoin(F.broadcast(stats))  # stats is one row
     norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))

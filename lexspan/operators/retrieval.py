@@ -13,7 +13,7 @@ from lexspan.functions.text import word_tokens
 from lexspan.operators.answers import gate
 from lexspan.operators.chunking import chunked
 from lexspan.operators.lexical import bm25, tokenized, top_k
-from lexspan.operators.vectors import cosine_top_k, dense, hashed_counts
+from lexspan.operators.vectors import cosine_top_k, hashed_vectors
 from lexspan.scratch import materialize
 
 RRF_K = 60
@@ -122,7 +122,7 @@ def retrieve_grid(docs: DataFrame, questions: DataFrame, grid: Mapping[str, Retr
         key = (mode, n, k if mode == "hybrid" else 0)
         if key not in known:
             if mode == "vector":
-                found = cosine_top_k(dense(hashed_counts(corpus)), dense(hashed_counts(query)).withColumnRenamed("doc", "qid"), k=n, digits=digits)
+                found = cosine_top_k(hashed_vectors(corpus), hashed_vectors(query).withColumnRenamed("doc", "qid"), k=n, digits=digits)
             elif mode == "bm25":
                 found = bm25(corpus, query, k=n, digits=digits)
             else:

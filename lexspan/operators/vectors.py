@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from lexspan.operators.lexical import top_k
+from lexspan.operators.lexical import best, top_k
 
 DIMENSIONS = 256
 #: Query vectors in one block; each block goes to every executor and scans the store once.
@@ -31,6 +33,25 @@ def dense(sparse: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
     return sparse.groupBy("doc").agg(filled.alias("m")).select("doc", F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.try_element_at("m", i.cast("long")).cast("double"), zero)).alias("vector"))
 
 
+def hashed_vectors(docs: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
+    """doc, vector: dense(hashed_counts(docs)) of documents (doc, tokens) that have tokens, made batch by batch without a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                b = batch.slice(at, 1000)
+                size = pc.fill_null(pc.list_value_length(b["tokens"]), 0).to_numpy().astype(np.int64)
+                words = b["tokens"].flatten().dictionary_encode()
+                bucket = np.array([int(hashlib.md5(w.encode(), usedforsecurity=False).hexdigest()[:8], 16) % dimensions for w in words.dictionary.to_pylist()], np.int64)
+                row = np.repeat(np.arange(len(size)), size)
+                made = np.bincount(row * dimensions + bucket[words.indices.to_numpy()], minlength=len(size) * dimensions).astype(float)
+                some = pa.array(size > 0)
+                vector = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1) * dimensions, pa.int32()), pa.array(made))
+                yield pa.RecordBatch.from_arrays([b["doc"].filter(some), vector.filter(some)], names=["doc", "vector"])
+
+    return docs.select("doc", "tokens").mapInArrow(run, f"doc {docs.schema['doc'].dataType.simpleString()}, vector array<double>")
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -70,15 +91,8 @@ def _block(vectors: DataFrame, queries: DataFrame, n: int, i: int, block: int, k
             x = b["vector"].flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)
             with np.errstate(invalid="ignore", divide="ignore"):
                 s = (q @ x.T) / length[:, None] / np.sqrt((x * x).sum(1))[None, :]
-            s = np.nan_to_num(s)
-            if digits is not None:
-                s = np.round(s, digits)
-            if b.num_rows > k:  # whatever ties with the k-th stays
-                limit = -np.partition(-s, k - 1, axis=1)[:, k - 1]
-                row, col = np.nonzero(s >= limit[:, None])
-            else:
-                row, col = np.nonzero(np.ones_like(s, bool))
-            yield pa.RecordBatch.from_arrays([pa.array([ids[r] for r in row.tolist()], own_type), b["doc"].take(pa.array(col)), pa.array(s[row, col])], names=["qid", "doc", "score"])
+            row, col, s = best(np.nan_to_num(s), k, digits)  # whatever ties with the k-th stays
+            yield pa.RecordBatch.from_arrays([pa.array([ids[r] for r in row.tolist()], own_type), b["doc"].take(pa.array(col)), pa.array(s)], names=["qid", "doc", "score"])
 
     return vectors.select("doc", "vector").mapInArrow(run, f"qid {kind.simpleString()}, doc {doc.simpleString()}, score double")
 
