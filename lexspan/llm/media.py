@@ -1,7 +1,8 @@
 """Audio columns: 8-bit WAV clips, polyphase resampling, overlapped log-mel filterbanks and segments by hysteresis of energy,
 stored as fixed-shape Arrow tensors with time spans.
 
-A clip is resampled by L/M with one matrix product: M inputs and the filter's tails give L outputs, one filter phase each.
+Three tables are written in turn to the shared folder: the clips; each clip's tensors and segments, from the clip as it is read back;
+and, from the tensors as they are read back, its features are made. A clip is resampled by L/M with one matrix product: M inputs and the filter's tails give L outputs, one filter phase each.
 Frames overlap by half. A segment is a run of frames above the lower threshold that rises above the upper one. The log-mel
 frames of a clip are dealt into patches of FRAMES x MELS (the last padded with silence, its span says where it ends) as an
 Arrow IPC stream of a `fixed_shape_tensor` column with start and end in seconds.
@@ -21,8 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from lexspan.llm.common import materialize, table, text_slices
+from lexspan.llm.common import materialize, table, text_slices, tidy
 
 RATE, UP, DOWN, TAPS = 8000, 4, 5, 16
 FRAME, HOP, MELS, FRAMES = 256, 128, 32, 64
@@ -124,15 +127,17 @@ def segments(energy: np.ndarray, high: float = HIGH_DB, low: float = LOW_DB) ->
     return [(int(a), int(b)) for a, b in edge if loud[b] > loud[a]]
 
 
-TENSOR = pa.fixed_shape_tensor(pa.float32(), (FRAMES, MELS), dim_names=["frame", "mel"])
+#: Log-mel values are stored as whole steps from the floor on, so many to a unit of the natural logarithm.
+STEPS = 6
+TENSOR = pa.fixed_shape_tensor(pa.uint8(), (FRAMES, MELS), dim_names=["frame", "mel"])
 PATCH = pa.schema([("patch", TENSOR), ("start_s", pa.float64()), ("end_s", pa.float64())])
 
 
 def tensors(rows: np.ndarray, rate: float) -> bytes:
     """Arrow IPC stream of the patches of a clip."""
     n = -(-len(rows) // FRAMES)
-    full = np.full((n * FRAMES, MELS), np.log(FLOOR), np.float32)
-    full[: len(rows)] = rows
+    full = np.zeros((n * FRAMES, MELS), np.uint8)
+    full[: len(rows)] = np.clip(np.round((rows - np.log(FLOOR)) * STEPS), 0, 255)
     start = np.arange(n) * FRAMES * HOP / rate
     end = np.minimum((np.arange(1, n + 1)) * FRAMES, len(rows)) * HOP / rate
     patch = pa.ExtensionArray.from_storage(TENSOR, pa.FixedSizeListArray.from_arrays(pa.array(full.reshape(-1)), FRAMES * MELS))
@@ -143,28 +148,36 @@ def tensors(rows: np.ndarray, rate: float) -> bytes:
 
 
 def read_tensors(raw: bytes) -> tuple[np.ndarray, list[tuple[float, float]]]:
-    """Patches (n, FRAMES, MELS) and spans of what tensors() wrote."""
+    """Patches (n, FRAMES, MELS) of logarithms and spans of what tensors() wrote."""
     t = pa.ipc.open_stream(raw).read_all().combine_chunks()
     patches = t["patch"].combine_chunks().to_numpy_ndarray()
-    return patches, list(zip(t["start_s"].to_pylist(), t["end_s"].to_pylist(), strict=True))
+    return patches / np.float32(STEPS) + np.float32(np.log(FLOOR)), list(zip(t["start_s"].to_pylist(), t["end_s"].to_pylist(), strict=True))
 
 
-def clip_features(media: bytes) -> tuple[bytes, list[tuple[float, float]], str]:
-    """Tensors, segments in seconds and a short description of a stored clip."""
+def clip_tensors(media: bytes) -> tuple[bytes, list[tuple[float, float]]]:
+    """Tensors and segments in seconds of a stored clip."""
     samples, rate = unwav(media)
     x = (np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128
     y, at = resample(x), rate * UP / DOWN
     rows, energy = log_mel(y, at)
-    spans = [(a * HOP / at, b * HOP / at) for a, b in segments(energy)]
-    mean = rows.mean(0, dtype=np.float64).reshape(8, -1).mean(1)
-    loud = sum(b - a for a, b in spans)
-    said = f"frames={len(rows)};segments={len(spans)};loud={loud:.3f};energy={float(energy.mean(dtype=np.float64)):.2f};mel={','.join(f'{v:.2f}' for v in mean)}"
-    return tensors(rows, at), spans, said
+    return tensors(rows, at), [(a * HOP / at, b * HOP / at) for a, b in segments(energy)]
+
+
+def described(stored: bytes, spans: list[tuple[float, float]], rate: float = RATE * UP / DOWN) -> str:
+    """A short description of a clip from its stored tensors and segments."""
+    patches, places = read_tensors(stored)
+    n = round(places[-1][1] * rate / HOP)
+    rows = patches.reshape(-1, MELS)[:n].astype(np.float64)
+    energy = 10 * np.log10(np.exp(rows).mean(1)).mean()
+    mean = rows.mean(0).reshape(8, -1).mean(1)
+    loud = sum(b - a for a, b in spans) * rate / HOP
+    return f"frames={n};segments={len(spans)};loud={loud:.0f};energy={energy:.2f};mel={','.join(f'{v:.2f}' for v in mean)}"
 
 
 def store_audio(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_bytes and media: each text's padded UTF-8 bytes as a WAV file. Written to the shared folder."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, media = [], []
@@ -177,37 +190,47 @@ def store_audio(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return materialize(wanted.mapInArrow(run, "id long, n_bytes long, media binary"), "media")
 
 
-FEATURES = "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, segments array<struct<start_s:double,end_s:double>>"
-
+STORED = "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, segments array<struct<start_s:double,end_s:double>>, tensors binary"
 
-def audio_features(stored: DataFrame, *, with_tensors: bool = True) -> DataFrame:
-    """What is read back from stored clips, and their features; `tensors` is an Arrow IPC stream (see read_tensors)."""
-    schema = FEATURES + (", tensors binary" if with_tensors else "")
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
+def store_tensors(stored: DataFrame) -> DataFrame:
+    """What is read back from stored clips, their segments, and their tensors (see read_tensors). Written to the shared folder."""
+    arrow = to_arrow_schema(StructType.fromDDL(STORED))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, sizes = b["id"].to_pylist(), b["n_bytes"].to_pylist()
-            for at in range(0, b.num_rows, 64):  # tensors are larger than clips
+            for at in range(0, b.num_rows, 64):
                 rows = []
                 for i in range(at, min(at + 64, b.num_rows)):
                     media = b["media"][i].as_buffer().to_pybytes()
                     samples, _ = unwav(media)
-                    made, spans, said = clip_features(media)
-                    row = {
+                    made, spans = clip_tensors(media)
+                    rows.append({
                         "id": ids[i], "n_bytes": sizes[i], "payload_bytes": len(samples), "payload_sha256": hashlib.sha256(samples).hexdigest(),
-                        "tail_crc32": zlib.crc32(samples[-32:]), "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "feature": said,
-                        "segments": [{"start_s": x, "end_s": y} for x, y in spans],
-                    }
-                    rows.append(row | ({"tensors": made} if with_tensors else {}))
+                        "tail_crc32": zlib.crc32(samples[-32:]), "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(),
+                        "segments": [{"start_s": x, "end_s": y} for x, y in spans], "tensors": made,
+                    })
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    return stored.mapInArrow(run, schema)
+    return materialize(stored.mapInArrow(run, STORED), "media-tensors")
+
+
+def audio_features(stored: DataFrame) -> DataFrame:
+    """store_tensors() of stored clips, and feature, a description of each made from its stored tensors."""
+    schema = StructType.fromDDL(f"{STORED}, feature string")
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            spans = ([(s["start_s"], s["end_s"]) for s in x] for x in b["segments"].to_pylist())
+            said = [described(x.as_buffer(), y) for x, y in zip(b["tensors"], spans, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in schema.names[:-1]), pa.array(said, pa.string())], schema=to_arrow_schema(schema))
+
+    return store_tensors(stored).mapInArrow(run, schema)
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = audio_features(store_audio(table(spark, sf_dir, "documents")), with_tensors=False)
-    return found.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    found = audio_features(store_audio(table(spark, sf_dir, "documents")))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "segments")

@@ -642,3 +642,36 @@ def test_pipeline_judges_rows_of_one_id_by_their_texts(spark):
     got = sorted(((r.doc_id, r.text) for r in P.drop_near_copies(spark, df, "").collect()), key=str)
     assert got == sorted([(1, a), (1, b), (None, c), (3, None), (3, "")], key=str)
     assert P.drop_near_copies(spark, df.limit(0), "").count() == 0
+
+
+def test_log_mel_equals_a_plain_transform():
+    """Frames, windows, power spectra and triangles written out, against what is stored."""
+    rng = np.random.default_rng(34)
+    y, rate = rng.normal(size=1000).astype(np.float32), 6400.0
+    rows, energy = media.log_mel(y, rate)
+    n = np.arange(media.FRAME)
+    edges = 700 * (10 ** (np.linspace(0, 2595 * np.log10(1 + rate / 2 / 700), media.MELS + 2) / 2595) - 1)
+    for f in range(len(rows)):
+        x = np.zeros(media.FRAME)
+        own = y[f * media.HOP : f * media.HOP + media.FRAME]
+        x[: len(own)] = own
+        x = x * (0.5 - 0.5 * np.cos(2 * np.pi * n / (media.FRAME - 1)))
+        power = np.array([abs((x * np.exp(-2j * np.pi * k * n / media.FRAME)).sum()) ** 2 for k in range(media.FRAME // 2 + 1)])
+        assert energy[f] == pytest.approx(10 * np.log10(power.mean()), abs=1e-3)
+        for m in range(media.MELS):
+            lo, mid, hi = edges[m : m + 3]
+            w = [max(0, min((k * rate / media.FRAME - lo) / (mid - lo), (hi - k * rate / media.FRAME) / (hi - mid))) for k in range(len(power))]
+            assert rows[f, m] == pytest.approx(np.log(max(power @ w, media.FLOOR)), abs=1e-2)
+    patches, spans = media.read_tensors(media.tensors(rows, rate))
+    assert np.abs(patches.reshape(-1, media.MELS)[: len(rows)] - rows).max() <= 0.5 / media.STEPS + 1e-4 and spans[-1][1] == pytest.approx(len(rows) * media.HOP / rate)
+
+
+def test_media_of_equal_and_repeated_texts(spark):
+    texts = ["same text " * 300, "same text " * 300, "x" * 200_000, None, ""]
+    df = docs(spark, texts)
+    rows = media.audio_features(media.store_audio(df.unionByName(df))).collect()
+    said = {}
+    for r in rows:
+        said.setdefault((r.payload_sha256, r.media_sha256), set()).add((r.feature, bytes(r.tensors)))
+    assert len(rows) == 10 and len(said) == 3 and all(len(x) == 1 for x in said.values())
+    assert all(r.feature.startswith("frames=") and all(0 <= s.start_s < s.end_s for s in r.segments) for r in rows)
