@@ -187,7 +187,7 @@ def store_audio(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([b["id"], pa.array(n, pa.int64()), pa.array(media, pa.binary())], names=["id", "n_bytes", "media"])
 
     wanted = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return materialize(wanted.mapInArrow(run, "id long, n_bytes long, media binary"), "media")
+    return materialize(wanted.mapInArrow(run, "id long, n_bytes long, media binary"), "media", "zstd")
 
 
 STORED = "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, segments array<struct<start_s:double,end_s:double>>, tensors binary"
@@ -214,7 +214,7 @@ def store_tensors(stored: DataFrame) -> DataFrame:
                     })
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    return materialize(stored.mapInArrow(run, STORED), "media-tensors")
+    return materialize(stored.mapInArrow(run, STORED), "media-tensors", "zstd")
 
 
 def audio_features(stored: DataFrame) -> DataFrame:
