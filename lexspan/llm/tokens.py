@@ -15,7 +15,7 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,9 +29,9 @@ from lexspan.llm.common import materialize, runs, scratch_path, table, tidy, utf
 SEQUENCE = 2048
 #: Sequences in a record batch.
 BATCH = 64
-#: Bytes of words and ids, with what a dictionary takes for each, that a task remembers since it last put what it knew aside; it
-#: looks there, too, until it next does. All is forgotten when the task ends.
-REMEMBERED, EACH = 8 << 20, 160
+#: Bytes of words and ids, with what a dictionary takes for each, that a Python worker remembers. Beyond that it forgets what it
+#: hasn't met again since it last did, which most words of a corpus aren't.
+REMEMBERED, EACH = 64 << 20, 160
 #: New words that are encoded together; bytes of texts whose words are looked up together.
 TOGETHER, CHUNK = 500, 1 << 20
 MANIFEST = "part long, path string, n_docs long, n_tokens long"
@@ -59,7 +59,7 @@ def filesystem(uri: str):
 class Encoder:
     """Ids of texts as little-endian bytes of the narrowest width that holds the vocabulary.
 
-    The tokenizer is kept for a process, the words it has encoded for a task."""
+    The tokenizer and the words it has encoded are kept for a process, of words as many as REMEMBERED allows."""
 
     made: dict[Format, Encoder] = {}
 
@@ -70,10 +70,15 @@ class Encoder:
         self.model, self.form = Tokenizer.from_file(form.tokenizer), form
         self.kind = np.dtype("<u2" if max(self.model.get_vocab_size(), form.end_id + 1) <= 1 << 16 else "<u4")
         self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self.again: set[bytes] = set()
         self.size = 0
         special = sorted((i, t.content) for i, t in self.model.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.normalized))
         self.parting = (special[0][1], special[0][0]) if special else None
+        #: Whether an id ends a word, for tokenizers that mark that.
+        suffix, self.ends = getattr(self.model.model, "end_of_word_suffix", None), None
+        if suffix:
+            self.ends = np.zeros(self.model.get_vocab_size(), bool)
+            self.ends[[i for t, i in self.model.get_vocab().items() if t.endswith(suffix)]] = True
         self.stops = dict(zip((b",", b"."), self.whole([",", "."]), strict=True))
         self.end = np.array([form.end_id], self.kind).tobytes()
 
@@ -84,12 +89,34 @@ class Encoder:
             cls.made[form] = cls(form)
         return cls.made[form]
 
+    def taken(self, words: Iterable[bytes]) -> int:
+        return sum(len(w) + len(self.known[w]) + EACH for w in words)
+
     def forget(self) -> None:
-        self.known, self.older, self.size = {}, {}, 0
+        """Keeps the words met again, unless they are most of what may be remembered."""
+        self.known = {w: self.known[w] for w in self.again}
+        self.size, self.again = self.taken(self.known), set()
+        if self.size > REMEMBERED * 3 // 4:
+            self.known, self.size = {}, 0
 
     def whole(self, texts: Sequence[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.model.encode_batch_fast(list(texts), add_special_tokens=False)]
 
+    def letters(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word of letters alone. Many go in one text, with blanks between them. Each gives at least one id that ends a
+        word; where there are more, as letters that are taken apart give, the words are encoded as others are."""
+        n, out = self.kind.itemsize, []
+        parts = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
+        for part, e in zip(parts, self.model.encode_batch_fast([b" ".join(p).decode() for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.kind)
+            cut = ((np.flatnonzero(self.ends[ids]) + 1) * n).tolist()
+            if len(cut) != len(part):
+                out += self.words(part)
+                continue
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *cut], cut, strict=False)]
+        return out
+
     def words(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word. Many words go in one text, with a special token between them to cut the ids at."""
         if self.parting is None:
@@ -111,24 +138,21 @@ class Encoder:
     def learn(self, words: set[bytes]) -> None:
         """Puts the ids of new words among the known ones. A comma or full stop after an ASCII letter is a token of its own, so
         that words are encoded without it."""
-        old, new, ended = self.older, set(), []
+        new, ended = set(), []
         for w in words:
-            if (found := old.get(w)) is not None:
-                self.known[w] = found
-            elif w[-1] in b",." and w[-2:-1].isalpha():
+            if w[-1] in b",." and w[-2:-1].isalpha():
                 ended.append(w)
-                if (stem := w[:-1]) not in self.known:
-                    if (found := old.get(stem)) is not None:
-                        self.known[stem] = found
-                    else:
-                        new.add(stem)
+                if w[:-1] not in self.known:
+                    new.add(w[:-1])
             else:
                 new.add(w)
-        listed = sorted(new)
+        plain = sorted(w for w in new if w.decode().isalpha()) if self.ends is not None else []
+        listed = sorted(new.difference(plain))
+        self.known.update(zip(plain, self.letters(plain), strict=True))
         self.known.update(zip(listed, self.words(listed), strict=True))
         for w in ended:
             self.known[w] = self.known[w[:-1]] + self.stops[w[-1:]]
-        self.size += sum(len(w) + len(self.known[w]) + EACH for w in words)
+        self.size += self.taken(new) + self.taken(ended)
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         if not self.form.by_word:
@@ -137,9 +161,11 @@ class Encoder:
         # special tokens are found before letters are lowered, so a text that may have one is left as it is
         split = [t.lower().split() if self.form.lower_case and b"<|" not in t else t.split() for t in texts]
         if self.size > REMEMBERED:
-            self.older, self.known, self.size = self.known, {}, 0
-        if missing := set().union(*split) - self.known.keys():
-            self.learn(missing)
+            self.forget()
+        words = set().union(*split)
+        missing = words.difference(self.known)  # which looks up words, and doesn't go through all that is known
+        self.learn(missing)
+        self.again |= words.difference(missing)
         get = self.known.__getitem__
         for words in split:
             yield b"".join(map(get, words)) + self.end
@@ -225,7 +251,6 @@ def write_tokens(docs: DataFrame, folder: str, form: Format, *, id_col: str = "d
         system, base = filesystem(folder)
         part = TaskContext.get().partitionId()
         name, writer, ids, sizes, encoder = f"part-{part:06d}-{uuid.uuid4().hex}", None, [], [], Encoder.of(form)
-        encoder.forget()  # what a task that failed has left
         for b in batches:
             if writer is None and b.num_rows:
                 system.create_dir(base, recursive=True)
@@ -241,7 +266,6 @@ def write_tokens(docs: DataFrame, folder: str, form: Format, *, id_col: str = "d
             return
         writer.close()
         sink.close()
-        encoder.forget()
         n = np.array(sizes, np.int64)
         with system.open_output_stream(f"{base}/{name}.index") as side, pa.ipc.new_file(side, INDEX) as out:
             out.write_table(pa.table([pa.chunked_array(ids, pa.int64()), pa.array(np.cumsum(n) - n), pa.array(n)], schema=INDEX))
