@@ -146,8 +146,8 @@ class Encoder:
                     new.add(w[:-1])
             else:
                 new.add(w)
-        plain = sorted(w for w in new if w.decode().isalpha()) if self.ends is not None else []
-        listed = sorted(new.difference(plain))
+        plain = [w for w in new if w.decode().isalpha()] if self.ends is not None else []
+        listed = list(new.difference(plain))
         self.known.update(zip(plain, self.letters(plain), strict=True))
         self.known.update(zip(listed, self.words(listed), strict=True))
         for w in ended:
@@ -163,12 +163,15 @@ class Encoder:
         if self.size > REMEMBERED:
             self.forget()
         words = set().union(*split)
-        missing = words.difference(self.known)  # which looks up words, and doesn't go through all that is known
-        self.learn(missing)
+        # each distinct word is looked up once among all that is known; its repetitions in a small table of these texts
+        own = dict(zip(words, map(self.known.get, words), strict=True))
+        if missing := {w for w, ids in own.items() if ids is None}:
+            self.learn(missing)
+            own |= {w: self.known[w] for w in missing}
         self.again |= words.difference(missing)
-        get = self.known.__getitem__
-        for words in split:
-            yield b"".join(map(get, words)) + self.end
+        get = own.__getitem__
+        for row in split:
+            yield b"".join(map(get, row)) + self.end
 
 
 def sequence_schema(kind: np.dtype, length: int) -> pa.Schema:
