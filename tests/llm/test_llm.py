@@ -428,6 +428,18 @@ def test_whole_texts_give_the_same_ids(spark, tmp_path):
     assert crc[0] == crc[1]
 
 
+def test_words_of_odd_letters_and_forgetting(monkeypatch):
+    rng, odd = random.Random(3), [c for c in map(chr, range(0x80, 0x30000)) if c.isalpha()]
+    encoder = tokens.Encoder(tokens.default_format())
+    letters = [*odd[:5000], *("".join(rng.choice("abcéßİǅﬁक़각가ʰ𝒜" if rng.random() < 0.8 else odd) for _ in range(rng.randint(1, 9))) for _ in range(5000))]
+    monkeypatch.setattr(tokens, "TOGETHER", 20)
+    assert encoder.letters([w.encode() for w in letters]) == encoder.whole(letters)
+    monkeypatch.setattr(tokens, "REMEMBERED", 1 << 16)
+    texts = [" ".join(rng.choice(letters[-900:]) + rng.choice(["", ",", ".", "'s"]) for _ in range(60)) for _ in range(200)]
+    got = [ids for i in range(0, 200, 10) for ids in encoder.encode([x.encode() for x in texts[i : i + 10]])]
+    assert got == [ids + encoder.end for ids in encoder.whole(texts)] and len(encoder.known) < 1800
+
+
 # --- 9: mixing ---
 
 
