@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lexspan.llm import decontaminate, html_extract, jaccard, licenses, line_dedup, media, mixing, tokens, toxicity, warc
+from lexspan.llm import bpe, decontaminate, divergence, fim, html_extract, jaccard, licenses, line_dedup, media, mixing, tokens, toxicity, warc
 
 
 def queries() -> dict:
@@ -18,6 +18,9 @@ def queries() -> dict:
         "op8_token_ids": tokens.op8_token_ids,
         "op9_mixing": mixing.op9_mixing,
         "op10_licenses": licenses.op10_licenses,
+        "op11_divergence": divergence.op11_divergence,
+        "op12_bpe": bpe.op12_bpe,
+        "op13_fim": fim.op13_fim,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -29,4 +32,6 @@ def oracle_sql() -> dict:
         "op3_line_dedup": line_dedup.ORACLE_SQL,
         "op7_warc_revisits": warc.ORACLE_SQL,
         "op9_mixing": mixing.ORACLE_SQL,
+        "op11_divergence": divergence.ORACLE_SQL,
+        "op13_fim": fim.ORACLE_SQL,
     }

@@ -40,7 +40,8 @@ MANIFEST = "part long, path string, n_docs long, n_tokens long"
 @dataclass(frozen=True)
 class Format:
     tokenizer: str
-    end_id: int = 2
+    #: What ends each document; None: nothing.
+    end_id: int | None = 2
     sequence: int = SEQUENCE
     batch: int = BATCH
     #: The tokenizer drops white space and no token crosses it, so words can be encoded one by one and remembered.
@@ -61,14 +62,14 @@ class Encoder:
 
     The tokenizer and the words it has encoded are kept for a process, of words as many as REMEMBERED allows."""
 
-    made: dict[Format, Encoder] = {}
+    made: dict[tuple[type, Format], Encoder] = {}
 
     def __init__(self, form: Format):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.model, self.form = Tokenizer.from_file(form.tokenizer), form
-        self.kind = np.dtype("<u2" if max(self.model.get_vocab_size(), form.end_id + 1) <= 1 << 16 else "<u4")
+        self.kind = np.dtype("<u2" if max(self.model.get_vocab_size(), (form.end_id or 0) + 1) <= 1 << 16 else "<u4")
         self.known: dict[bytes, bytes] = {}
         self.again: set[bytes] = set()
         self.size = 0
@@ -80,14 +81,14 @@ class Encoder:
             self.ends = np.zeros(self.model.get_vocab_size(), bool)
             self.ends[[i for t, i in self.model.get_vocab().items() if t.endswith(suffix)]] = True
         self.stops = dict(zip((b",", b"."), self.whole([",", "."]), strict=True))
-        self.end = np.array([form.end_id], self.kind).tobytes()
+        self.end = b"" if form.end_id is None else np.array([form.end_id], self.kind).tobytes()
 
     @classmethod
     def of(cls, form: Format) -> Encoder:
         """One for each format and Python worker."""
-        if form not in cls.made:
-            cls.made[form] = cls(form)
-        return cls.made[form]
+        if (cls, form) not in cls.made:
+            cls.made[cls, form] = cls(form)
+        return cls.made[cls, form]
 
     def taken(self, words: Iterable[bytes]) -> int:
         return sum(len(w) + len(self.known[w]) + EACH for w in words)
