@@ -604,4 +604,5 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-from lexspan.plans import evidence as _evidence  # noqa: E402, F401  # registers its queries with query()
+from lexspan.plans import evidence as _evidence  # noqa: E402, F401  # these register their queries with query()
+from lexspan.plans import language as _language  # noqa: E402, F401
