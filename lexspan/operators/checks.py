@@ -32,6 +32,15 @@ def require_none(found: DataFrame) -> None:
         raise ValueError(f"violations, the first of them: {[r.asDict() for r in rows]}")
 
 
+def held(rows: DataFrame, rules: Mapping[str, Column], what: str) -> DataFrame:
+    """rows, all of which keep the rules; one that breaks a rule fails the job, whichever columns are read later. The rules stand in
+    filters, which no projection drops, and can't be moved before what rows went through so far, for which they needn't hold."""
+    stays = F.spark_partition_id() < 0  # never; but such a filter isn't moved
+    for name, ok in rules.items():
+        rows = rows.where(F.assert_true(F.coalesce(ok, F.lit(False)) | stays, F.lit(f"{what} breaks rule {name}")).isNull())
+    return rows
+
+
 def privacy_scan(texts: DataFrame, *, key: str, text: str, structured: bool = False) -> DataFrame:
     """key, category of each kind of private content in a text. structured: JSON, whose keys and addresses count, too."""
     t = F.col(text)
@@ -55,32 +64,6 @@ def coverage(left: DataFrame, right: DataFrame, key: str, *same: str) -> DataFra
     return both.select(key, problem.alias("problem")).where("problem is not null").unionByName(repeated).distinct()
 
 
-def tree_diff(old: DataFrame, new: DataFrame, *, key: str, tolerance: float = 1e-12) -> DataFrame:
-    """key, path, kind of each difference of two flattened trees (key, path, value): numbers within a tolerance are the same."""
-    both = old.select(key, "path", F.col("value").alias("_o"), F.lit(1).alias("_l")).join(new.select(key, "path", F.col("value").alias("_n"), F.lit(1).alias("_r")), [key, "path"], "full_outer")
-    o, n = F.expr("try_cast(_o as double)"), F.expr("try_cast(_n as double)")
-    near = F.coalesce(F.abs(o - n) <= F.greatest(F.lit(tolerance), tolerance * F.greatest(F.abs(o), F.abs(n))), F.lit(False))
-    same = F.col("_o").eqNullSafe(F.col("_n")) | near
-    kind = F.when(F.col("_l").isNull(), "added").when(F.col("_r").isNull(), "removed").when(~same, "changed")
-    return both.select(key, "path", kind.alias("kind")).where("kind is not null")
-
-
-def flatten_json(rows: DataFrame, *, key: str, json: str, depth: int = 4) -> DataFrame:
-    """key, path, value: leaves of JSON objects, as far down as depth."""
-    level = rows.select(key, F.lit("$").alias("path"), F.col(json).alias("value"))
-    leaves = None
-    for _ in range(depth):
-        keys = F.json_object_keys("value")
-        inner = level.where(F.substring(F.ltrim("value"), 1, 1) == "{").select(key, "path", "value", F.explode(keys).alias("k"))
-        child = inner.select(
-            key, F.concat(F.col("path"), F.lit("."), F.col("k")).alias("path"), F.element_at(F.from_json("value", "map<string,string>"), F.col("k")).alias("value")
-        )
-        own = level.where((F.substring(F.ltrim("value"), 1, 1) != "{") | F.col("value").isNull())
-        leaves = own if leaves is None else leaves.unionByName(own)
-        level = child
-    return leaves.unionByName(level).where("path <> '$'")
-
-
 def payload_contract(chunks: DataFrame, *, required: Sequence[str], prefix: str) -> DataFrame:
     """Chunks whose required fields are blank, whose id isn't of their document, or whose dates aren't eight digits."""
     rules = {f"{c}_is_blank": F.trim(F.col(c)) != "" for c in required}

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexspan.operators import accounting, evaluation
-from lexspan.operators.checks import violations
+from lexspan.operators.checks import held, violations
 
 FINDING = ("artifact", "subject", "problem")
 
@@ -74,6 +74,50 @@ def case_rules() -> dict[str, Column]:
     }
 
 
+def compact_case_rules() -> dict[str, Column]:
+    """case_rules() and the rest of what a reviewed case keeps. Cases also have question, category, rationale, expected_stage,
+    required_routes, prohibited_routes and style_tags."""
+    refuses, stage, answerable = F.col("expect_refusal"), F.col("expected_stage"), F.col("answerable")
+    filled = lambda c: F.size(F.col(c)) > 0
+    names = lambda c: ~F.exists(F.col(c), blank) & (F.size(F.array_distinct(F.transform(F.col(c), lambda x: F.trim(x)))) == F.size(F.col(c)))
+    texts = {c: ~blank(F.col(c)) for c in ("question", "category", "rationale")}
+    return case_rules() | texts | {
+        "answerable": answerable.isNotNull() & refuses.isNotNull(),
+        "stage": F.when(answerable, stage.isNull()).otherwise(F.coalesce(stage.isin("threshold", "llm"), F.lit(False)) & (refuses == (stage == "threshold"))),
+        "routes": names("required_routes") & names("prohibited_routes"), "route_overlap": ~F.arrays_overlap("required_routes", "prohibited_routes"),
+        "prohibited": F.size(F.array_distinct("prohibited")) == F.size("prohibited"), "style_tags": filled("style_tags") & names("style_tags"),
+    }
+
+
+def route_case_rules(*sources: str) -> dict[str, Column]:
+    """Rules for cases of one route: qid, question, expect_expansion, sources (just these where the route should fire), style_tags."""
+    want = F.when(F.col("expect_expansion"), F.array(*map(F.lit, sources)).cast("array<string>")).otherwise(F.array().cast("array<string>"))
+    tags = F.col("style_tags")
+    return {
+        "qid": ~blank(F.col("qid")), "question": ~blank(F.col("question")), "expect_expansion": F.col("expect_expansion").isNotNull(), "sources": F.col("sources") == want,
+        "style_tags": (F.size(tags) > 0) & ~F.exists(tags, blank),
+    }
+
+
+def dataset_findings(artifact: str, rows: DataFrame, expected: DataFrame, key: str = "qid") -> DataFrame:
+    """Ids that repeat, that the stated set (a table of the same key) doesn't have, and that it has alone."""
+    n = rows.groupBy(F.col(key).alias("_k")).agg(F.count("*").alias("_n"))
+    want = expected.select(F.col(key).alias("_w")).distinct()
+    both = n.join(want, F.col("_k").eqNullSafe(F.col("_w")), "full_outer")
+    problem = F.filter(F.array(F.when(F.col("_n") > 1, "repeated"), F.when(F.col("_n").isNotNull() & F.col("_w").isNull(), "unexpected"), F.when(F.col("_n").isNull(), "missing")), lambda x: x.isNotNull())
+    return findings(artifact, both.select(F.coalesce("_k", "_w").alias("_k"), F.explode(problem).alias("_p")), F.col("_k"), F.col("_p"))
+
+
+def class_findings(artifact: str, traces: DataFrame, by: str) -> DataFrame:
+    """Groups that have no answerable, or no unanswerable, question: their rates say nothing. No traces at all is a finding, too."""
+    a = F.col("answerable")
+    n = traces.groupBy(by).agg(F.count(F.when(a, 1)).alias("_yes"), F.count(F.when(~a, 1)).alias("_no"))
+    problem = F.filter(F.array(F.when(F.col("_yes") == 0, "no_answerable"), F.when(F.col("_no") == 0, "no_unanswerable")), lambda x: x.isNotNull())
+    each = findings(artifact, n.select(by, F.explode(problem).alias("_p")), F.col(by), F.col("_p"))
+    none = traces.agg(F.count("*").alias("_n")).where("_n = 0").select(F.lit(artifact).alias("artifact"), F.lit(None).cast("string").alias("subject"), F.lit("no_rows").alias("problem"))
+    return each.unionByName(none)
+
+
 def threshold_rules(threshold: float) -> dict[str, Column]:
     """What refusal_stage says of top_score: none without hits; else finite, and below the threshold just where that refused."""
     score, nothing = F.col("top_score"), F.coalesce(F.col("refusal_stage") == "no_hits", F.lit(False))
@@ -92,32 +136,41 @@ def field_difference(found: Column, expected: Sequence[str]) -> Column:
     return F.concat(told("unexpected", F.array_except(found, want)), told("missing", F.array_except(want, found)))
 
 
-def field_issues(rows: DataFrame, kind: Sequence[str] | str, *, key: str, json: str) -> DataFrame:
-    """key, problem: fields that a JSON object has beyond the list of its kind, or lacks; for e2e traces also those of the judge and
-    of each cited source. What isn't an object is one problem."""
+def field_issues_at(rows: DataFrame, kind: Sequence[str] | str, *, key: str, json: str) -> DataFrame:
+    """key, place, problem: fields that a JSON object has beyond the list of its kind, or lacks; for e2e traces also those of the judge
+    and of each cited source. What isn't an object is one problem. The place is empty, `judge` or `cited_sources[i]`."""
     keys = lambda c: F.coalesce(F.json_object_keys(c), F.array().cast("array<string>"))
-    own = F.when(F.json_object_keys(json).isNull(), F.array(F.lit("not_an_object"))).otherwise(field_difference(keys(F.col(json)), FIELDS[kind] if isinstance(kind, str) else kind))
-    parts = [own]
+    at = lambda place, c: F.transform(c, lambda x: F.struct(place.alias("place"), x.alias("problem")))
+    parts = [at(F.lit(""), F.when(F.json_object_keys(json).isNull(), F.array(F.lit("not_an_object"))).otherwise(field_difference(keys(F.col(json)), FIELDS[kind] if isinstance(kind, str) else kind)))]
     if kind == "e2e":
         judge, cited = F.get_json_object(json, "$.judge"), F.from_json(F.get_json_object(json, "$.cited_sources"), "array<string>")
         told = lambda prefix, c: F.transform(c, lambda x: F.concat(F.lit(prefix), x))
         shaped = lambda prefix, c, names: F.when(F.json_object_keys(c).isNull(), F.array(F.lit(f"{prefix}not_an_object"))).otherwise(told(prefix, field_difference(keys(c), names)))
-        parts.append(F.when(judge.isNotNull(), shaped("judge_", judge, JUDGE_FIELDS)))
-        parts.append(F.flatten(F.transform(cited, lambda s: shaped("source_", s, SOURCE_FIELDS))))
-    none = F.array().cast("array<string>")
-    return rows.select(key, F.explode(F.array_distinct(F.concat(*(F.coalesce(p, none) for p in parts)))).alias("problem"))
+        parts.append(F.when(judge.isNotNull(), at(F.lit("judge"), shaped("judge_", judge, JUDGE_FIELDS))))
+        place = lambda i: F.concat(F.lit("cited_sources["), i.cast("string"), F.lit("]"))
+        parts.append(F.flatten(F.transform(cited, lambda s, i: at(place(i), shaped("source_", s, SOURCE_FIELDS)))))
+    none = F.array().cast("array<struct<place:string,problem:string>>")
+    return rows.select(key, F.explode(F.concat(*(F.coalesce(p, none) for p in parts))).alias("_x")).select(key, "_x.place", "_x.problem")
+
+
+def field_issues(rows: DataFrame, kind: Sequence[str] | str, *, key: str, json: str) -> DataFrame:
+    """key, problem: each kind of field_issues_at() once for each row's key."""
+    return field_issues_at(rows, kind, key=key, json=json).select(key, "problem").distinct()
 
 
 def private_trace(rows: DataFrame, threshold: float) -> DataFrame:
-    """The public fields of reliability rows and nothing else; rows that break a rule fail the job."""
-    for name, ok in reliability_rules().items():
-        rows = rows.withColumn("qid", F.when(F.coalesce(ok, F.lit(False)), F.col("qid")).otherwise(F.raise_error(F.lit(f"trace breaks rule {name}")).cast("string")))
+    """The public fields of reliability rows and nothing else; rows that break a rule fail the job, whatever is read of them."""
+    if not 0 <= threshold <= 1:
+        raise ValueError("a threshold lies between 0 and 1")
     refused = F.col("top_score") < threshold
-    return rows.select("qid", "answerable", "rank", F.round("top_score", 4).alias("top_score"), refused.alias("threshold_refused"), F.round("elapsed_ms", 1).alias("elapsed_ms"))
+    kept = held(rows, reliability_rules(), "trace")
+    return kept.select("qid", "answerable", "rank", F.round("top_score", 4).alias("top_score"), refused.alias("threshold_refused"), F.round("elapsed_ms", 1).alias("elapsed_ms"))
 
 
 def private_provider_trace(rows: DataFrame) -> DataFrame:
-    """The public fields of provider rows with their verdicts: refused just where there is no answer; cited just where not refused."""
+    """The public fields of provider rows with their verdicts: refused just where there is no answer; cited just where not refused.
+    Rows that break a rule fail the job."""
+    rows = held(rows, provider_rules(), "provider trace")
     refused, cited = F.col("refused"), F.col("citation_count") > 0
     return rows.select(
         "qid", "answerable", "requested_provider", "actual_provider", "model", "refused", "citation_count", "input_tokens", "output_tokens", "cost",
@@ -148,6 +201,27 @@ def case_scores(cases: DataFrame, hits: DataFrame, observed: DataFrame, *, top:
     )
 
 
+def case_results(cases: DataFrame, hits: DataFrame, observed: DataFrame, *, top: int = 5) -> DataFrame:
+    """case_scores() with what they rest on: source_ranks, applied_routes, refusal stages, whether generation is allowed. Hits of a
+    question are a retriever's list. A blank source, a rank below 1 or a source twice in a list fails the job, as does a score that
+    is missing, negative or not finite, a blank or repeated route, or a verdict that is missing."""
+    hits = held(hits, {"source": ~blank(F.col("source").cast("string")), "rank": F.col("rank") >= 1}, "hit")
+    lists = hits.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct(F.trim(F.col("source").cast("string")).alias("source"), "rank"))).alias("_hits"))
+    lists = held(lists, {"repeated": F.size(F.array_distinct(F.transform("_hits", lambda x: x["source"]))) == F.size("_hits")}, "hit list")
+    routes = F.transform("routes", lambda x: F.trim(x))
+    seen = held(observed, {
+        "routes": ~F.exists("routes", blank) & (F.size(F.array_distinct(routes)) == F.size("routes")), "threshold_refused": F.col("threshold_refused").isNotNull(),
+        "top_score": finite(F.col("top_score")) & (F.col("top_score") >= 0),
+    }, "observation").withColumn("routes", F.array_sort(routes))
+    scores = case_scores(cases, hits, seen, top=top)
+    more = cases.select("qid", F.col("expect_refusal").alias("threshold_expected"), "expected_stage").join(seen.select("qid", F.col("routes").alias("applied_routes"), "threshold_refused"), "qid", "left")
+    ranks = F.coalesce(F.map_from_entries("_hits"), F.create_map().cast("map<string,int>"))
+    joined = scores.join(more, "qid").join(lists, "qid", "left")
+    return joined.withColumns({
+        "source_ranks": ranks, "refusal_stage": F.when(F.col("threshold_refused"), "threshold"), "generation_allowed": ~F.col("threshold_refused"),
+    }).drop("_hits")
+
+
 def case_summary(results: DataFrame) -> DataFrame:
     """One row over case_scores(): recall is over all expected sources together."""
     a = F.col("answerable")
@@ -161,7 +235,7 @@ def case_summary(results: DataFrame) -> DataFrame:
 
 
 def route_summary(cases: DataFrame) -> DataFrame:
-    """One row. cases: expected (a route should fire), fired, rank."""
+    """One row. cases: expected (a route should fire), fired, rank. Nothing has passed without cases of both kinds."""
     yes, fired = F.col("expected"), F.col("fired")
     n = lambda c: F.count(F.when(c, 1))
     found = cases.agg(
@@ -169,7 +243,7 @@ def route_summary(cases: DataFrame) -> DataFrame:
         n(yes & (F.col("rank") == 1)).alias("positive_hit_at_1"), n(yes).alias("_yes"), n(~yes).alias("_no"),
     )
     all_ok = (F.col("positive_routes") == F.col("_yes")) & (F.col("collision_routes_avoided") == F.col("_no")) & (F.col("positive_hit_at_5") == F.col("_yes"))
-    return found.withColumn("passed", all_ok).drop("_yes", "_no")
+    return found.withColumn("passed", all_ok & (F.col("_yes") > 0) & (F.col("_no") > 0)).drop("_yes", "_no")
 
 
 def unanswerable_scores(traces: DataFrame, *by: str) -> DataFrame:
@@ -203,13 +277,16 @@ def mismatches(published: DataFrame, recomputed: DataFrame, *by: str, tolerance:
     return a.join(b, [*by, "metric"], "full_outer").select(*by, "metric", "published", "recomputed", problem.alias("problem")).where("problem is not null")
 
 
-def reliability_metrics(traces: DataFrame, thresholds: Sequence[float], by: str) -> DataFrame:
-    """by, metric, value: retrieval metrics, and the sweep's under names that begin with their threshold."""
+def reliability_metrics(traces: DataFrame, thresholds: Sequence[float], by: str, *, complete: bool = True) -> DataFrame:
+    """by, metric, value: retrieval metrics, and the sweep's under names that begin with their threshold. A group without questions
+    of both kinds fails the job; if not `complete`, a kind without questions has rates of 0 (see class_findings)."""
     a = F.col("answerable")
     whole = traces.groupBy(by).agg(
         F.count("*").alias("questions"), F.count(F.when(a, 1)).alias("answerable"), F.count(F.when(~a, 1)).alias("unanswerable"),
         evaluation.hit_at(5, a).alias("hit_at_5"), evaluation.mrr_at(10, a).alias("mrr_at_10"), F.round(F.avg("elapsed_ms"), 1).alias("avg_latency_ms"),
     )
+    if complete:
+        whole = held(whole, {"both_kinds": (F.col("answerable") > 0) & (F.col("unanswerable") > 0)}, "group of traces")
     swept = unpivoted(evaluation.threshold_sweep(traces, thresholds, by), by, "threshold")
     named = swept.select(by, F.concat_ws(":", F.col("threshold").cast("string"), "metric").alias("metric"), "value")
     return unpivoted(whole, by).unionByName(named)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexspan.functions import text as X
-from lexspan.operators import accounting, answers, audit, checks, chunking, evaluation, lexical, retrieval, vectors
+from lexspan.operators import accounting, answers, audit, checks, chunking, evaluation, ledger, lexical, retrieval, trees, vectors
 from lexspan.operators.retrieval import RetrievalConfig, Rule
 from lexspan.scratch import materialize
 
@@ -467,6 +467,29 @@ def budget_running_spend(spark, sf):
     return found.select("account", "seq", (F.col("spent_before") * 10_000_000).cast("long").alias("spent_before"), "can_start")
 
 
+#: Turns of conversations as calls of 16 accounts, in order: a turn's bytes bound its tokens, its characters are those it takes.
+#: A unit is a hundredth of a millionth: input 0.30 and output 2.50 a million tokens.
+CALLS = """
+ca AS (SELECT conv_id % 16 AS account, row_number() OVER (PARTITION BY conv_id % 16 ORDER BY conv_id, turn) AS n, conv_id, turn,
+              (1024 + strlen(coalesce(text, ''))) * 30 + 500 * 250 AS most, length(coalesce(text, '')) * 30 + (conv_id * 7 + turn) % 500 * 250 AS cost FROM conversations),
+le AS (SELECT account, 0::BIGINT AS n, NULL::BIGINT AS conv_id, NULL::BIGINT AS turn, 0::BIGINT AS before, false AS admitted, 0::BIGINT AS spent FROM (SELECT DISTINCT account FROM ca)
+       UNION ALL SELECT le.account, ca.n, ca.conv_id, ca.turn, le.spent, ca.most <= 1000000 - le.spent, le.spent + CASE WHEN ca.most <= 1000000 - le.spent THEN ca.cost ELSE 0 END FROM le JOIN ca ON ca.account = le.account AND ca.n = le.n + 1)
+"""
+
+
+@query("budget_admission", f"WITH RECURSIVE {CALLS} SELECT account, conv_id, turn, before AS spent_before, admitted FROM le WHERE n > 0")
+def budget_admission(spark, sf):
+    c = t(spark, sf, "conversations")
+    text, key = F.coalesce("text", F.lit("")), F.col("conv_id") * 1_000_000 + F.col("turn")
+    price = lambda i, o: accounting.cost(i, o, "0.30", "2.50")
+    calls = c.select(
+        (F.col("conv_id") % 16).alias("account"), "conv_id", "turn", key.alias("seq"), price(ledger.prompt_bound(text), F.lit(500)).alias("max_cost"),
+        price(F.char_length(text), (F.col("conv_id") * 7 + F.col("turn")) % 500).alias("cost"),
+    )
+    found = ledger.admission(calls, "0.01", span=256)
+    return found.select("account", "conv_id", "turn", (F.col("spent_before") * 100_000_000).cast("long").alias("spent_before"), "admitted")
+
+
 @query(
     "crosscheck_selection",
     """WITH e AS (SELECT doc_id AS qid, quality = 1 AS a FROM labels WHERE doc_id % 7 <> 0), f AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY qid) AS k FROM e),
@@ -569,13 +592,38 @@ def validation_violations(spark, sf):
     return checks.violations(t(spark, sf, "lineitem"), rules, "l_orderkey", "l_linenumber")
 
 
-@query("tree_diff")
+#: Events as trees, and the same with properties moved, a tag more, a tag that is another, values that differ by less than the tolerance.
+TREES = """
+tr AS (SELECT event_id, '{"id":' || event_id || ',"tags":["' || event_type || '",' || (event_id % 7) || '.5],"user":{"props":' || props || ',"deep":[{"a":[' || (event_id % 5) || ']}]}}' AS old,
+              '{"id":' || event_id || CASE WHEN event_id % 11 = 0 THEN '' ELSE ',"tags":["' || CASE WHEN event_id % 6 = 0 THEN 'other' ELSE event_type END || '",' || (event_id % 7) || CASE WHEN event_id % 4 = 0 THEN '.50' ELSE '.5000000000000001' END ||
+              CASE WHEN event_id % 9 = 0 THEN ',null' ELSE '' END || ']' END || ',"user":{"props":' || CASE WHEN event_id % 10 = 0 THEN replace(props, ': ', ': 7') ELSE props END || ',"deep":[{"a":' ||
+              CASE WHEN event_id % 13 = 0 THEN '{"b":1}' ELSE '[' || (event_id % 5) || ']' END || '}]}' || CASE WHEN event_id % 8 = 0 THEN ',"more":[1,2]' ELSE '' END || '}' AS new FROM events)
+"""
+
+
+@query(
+    "tree_diff",
+    f"""WITH {TREES}, o AS (SELECT event_id, j.fullkey, j.path, j.type, j.atom, json_array_length(old, j.fullkey) AS n FROM tr, json_tree(old) j),
+    n AS (SELECT event_id, j.fullkey, j.path, j.type, j.atom, json_array_length(new, j.fullkey) AS n FROM tr, json_tree(new) j),
+    b AS (SELECT coalesce(o.event_id, n.event_id) AS event_id, coalesce(o.fullkey, n.fullkey) AS k, coalesce(o.path, n.path) AS p, o.type AS ot, n.type AS nt, o.atom AS oa, n.atom AS na, o.n AS os, n.n AS ns
+          FROM o FULL JOIN n ON o.event_id = n.event_id AND o.fullkey = n.fullkey),
+    q AS (SELECT event_id, fullkey AS p FROM o JOIN n USING (event_id, fullkey) WHERE o.type = 'OBJECT' AND n.type = 'OBJECT'),
+    f AS (SELECT b.event_id, k, CASE WHEN ot IS NULL AND q.p IS NOT NULL THEN 'added' WHEN nt IS NULL AND q.p IS NOT NULL THEN 'removed' WHEN ot IS NULL OR nt IS NULL THEN NULL WHEN ot = 'ARRAY' AND nt = 'ARRAY' THEN CASE WHEN os <> ns THEN 'length' END
+          WHEN ot = 'OBJECT' AND nt = 'OBJECT' THEN NULL WHEN coalesce(abs(try_cast(oa AS DOUBLE) - try_cast(na AS DOUBLE)) <= 1e-12 * greatest(1, abs(try_cast(oa AS DOUBLE))), oa = na, false) THEN NULL ELSE 'changed' END AS kind
+          FROM b LEFT JOIN q ON q.event_id = b.event_id AND q.p = b.p)
+    SELECT event_id, substr(k, 3) || CASE WHEN kind = 'length' THEN '.length' ELSE '' END AS path, kind FROM f WHERE kind IS NOT NULL""",
+)
 def tree_diff(spark, sf):
-    """Events' properties against the same with one number moved."""
-    e = t(spark, sf, "events").select("event_id", "props")
-    flat = checks.flatten_json(e, key="event_id", json="props", depth=2)
-    moved = flat.withColumn("value", F.when((F.col("event_id") % 10 == 0) & F.expr("try_cast(value as double) is not null"), (F.expr("try_cast(value as double)") + 1).cast("string")).otherwise(F.col("value")))
-    return checks.tree_diff(flat, moved, key="event_id")
+    e, i = t(spark, sf, "events"), F.col("event_id")
+    text = lambda *xs: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in xs))
+    some = lambda c, x, y="": F.when(c, x if not isinstance(x, str) else F.lit(x)).otherwise(y if not isinstance(y, str) else F.lit(y))
+    number = lambda c: c.cast("string")
+    five = text("[", number(i % 5), "]")
+    old = text('{"id":', number(i), ',"tags":["', F.col("event_type"), '",', number(i % 7), '.5],"user":{"props":', F.col("props"), ',"deep":[{"a":', five, "}]}}")
+    tags = text(',"tags":["', some(i % 6 == 0, "other", F.col("event_type")), '",', number(i % 7), some(i % 4 == 0, ".50", ".5000000000000001"), some(i % 9 == 0, ",null"), "]")
+    props = some(i % 10 == 0, F.replace("props", F.lit(": "), F.lit(": 7")), F.col("props"))
+    new = text('{"id":', number(i), some(i % 11 == 0, "", tags), ',"user":{"props":', props, ',"deep":[{"a":', some(i % 13 == 0, '{"b":1}', five), "}]}", some(i % 8 == 0, ',"more":[1,2]'), "}")
+    return trees.tree_diff(e.select("event_id", old.alias("j")), e.select("event_id", new.alias("j")), key="event_id", json="j")
 
 
 @query("embedding_cache_misses", "SELECT DISTINCT sha256('m@r' || chr(10) || text) AS key FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE doc_id % 3 = 0 AND text IS NOT NULL)")

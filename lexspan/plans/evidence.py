@@ -107,7 +107,7 @@ sc AS (SELECT qid, answerable, n_expected, n_found, n_prohibited, n_found = n_ex
 """
 
 
-def _scores(spark, sf):
+def _cases(spark, sf):
     k = F.col("o_orderkey")
     none, route = F.array().cast("array<string>"), F.array(F.lit("r"))
     o = t(spark, sf, "orders")
@@ -118,12 +118,12 @@ def _scores(spark, sf):
     score = (k * 7 % 100) / F.lit(100.0)
     seen = o.select(k.alias("qid"), F.when(k % 8 == 0, route).otherwise(none).alias("routes"), (score < 0.2).alias("threshold_refused"), score.alias("top_score"))
     hits = t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("qid"), (F.col("l_partkey") % 10).alias("source"), F.col("l_linenumber").alias("rank"))
-    return cases, evidence.case_scores(cases, hits, seen)
+    return cases, evidence.case_scores(cases, hits, seen), hits, seen
 
 
 @query("case_scores", f"WITH {CASES} SELECT * FROM sc")
 def case_scores(spark, sf):
-    return _scores(spark, sf)[1]
+    return _cases(spark, sf)[1]
 
 
 SUMMARY = """
@@ -135,7 +135,24 @@ su AS (SELECT count(*) AS total, count(*) FILTER (WHERE answerable) AS answerabl
 
 @query("case_summary", f"WITH {CASES}, {SUMMARY} SELECT * FROM su")
 def case_summary(spark, sf):
-    return evidence.case_summary(_scores(spark, sf)[1])
+    return evidence.case_summary(_cases(spark, sf)[1])
+
+
+@query(
+    "case_results",
+    f"""WITH {CASES}, rk AS (SELECT qid, list(s || '@' || rank ORDER BY s) AS ranks FROM (SELECT l_orderkey AS qid, (l_partkey % 10)::VARCHAR AS s, min(l_linenumber) AS rank FROM lineitem GROUP BY 1, 2) GROUP BY qid)
+    SELECT sc.*, array_to_string(coalesce(ranks, []), ',') AS source_ranks, CASE WHEN ca.fired THEN 'r' ELSE '' END AS applied_routes, ca.expect AS threshold_expected, CASE WHEN NOT ca.answerable THEN 'threshold' END AS expected_stage,
+           CASE WHEN ca.refused THEN 'threshold' END AS refusal_stage, NOT ca.refused AS generation_allowed, ca.refused AS threshold_refused FROM sc JOIN ca USING (qid) LEFT JOIN rk USING (qid)""",
+)
+def case_results(spark, sf):
+    """Of the orders' first line item for each source."""
+    cases, _, hits, seen = _cases(spark, sf)
+    first = hits.groupBy("qid", F.col("source").cast("string").alias("source")).agg(F.min("rank").alias("rank"))
+    text = lambda c: F.col(c).cast("array<string>").alias(c)
+    named = cases.select("qid", "answerable", text("sources"), text("prohibited"), "required_routes", "prohibited_routes", "expect_refusal", F.when(~F.col("answerable"), "threshold").alias("expected_stage"))
+    found = evidence.case_results(named, first, seen)
+    ranks = F.transform(F.map_entries("source_ranks"), lambda e: F.concat_ws("@", e["key"], e["value"].cast("string")))
+    return found.withColumns({"source_ranks": F.array_join(ranks, ","), "applied_routes": F.array_join("applied_routes", ",")})
 
 
 @query(
@@ -154,6 +171,27 @@ def case_violations(spark, sf):
     return violations(cases, evidence.case_rules(), "qid").select(F.col("qid").cast("long").alias("qid"), "violation")
 
 
+@query(
+    "class_findings",
+    f"""WITH {ROWS}, g AS (SELECT event_type, count(*) FILTER (WHERE answerable) AS yes, count(*) FILTER (WHERE NOT answerable) AS no FROM ev GROUP BY event_type)
+    SELECT 'reliability' AS artifact, event_type AS subject, problem FROM (SELECT event_type, unnest([CASE WHEN yes = 0 THEN 'no_answerable' END, CASE WHEN no = 0 THEN 'no_unanswerable' END]) AS problem FROM g) WHERE problem IS NOT NULL""",
+)
+def class_findings(spark, sf):
+    """Types of events whose rows are all answerable, or none."""
+    return evidence.class_findings("reliability", _rows(spark, sf), "event_type")
+
+
+@query(
+    "dataset_findings",
+    """SELECT 'orders' AS artifact, k::VARCHAR AS subject, unnest(list_filter([CASE WHEN n > 1 THEN 'repeated' END, CASE WHEN n > 0 AND c IS NULL THEN 'unexpected' END, CASE WHEN n IS NULL THEN 'missing' END], lambda x: x IS NOT NULL)) AS problem
+    FROM (SELECT coalesce(o_custkey, c) AS k, n, c FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) FULL JOIN (SELECT c_custkey AS c FROM customer WHERE c_custkey % 10 <> 0) ON o_custkey = c)""",
+)
+def dataset_findings(spark, sf):
+    """Customers of orders against a stated set of customers."""
+    have = t(spark, sf, "orders").select(F.col("o_custkey").alias("qid"))
+    return evidence.dataset_findings("orders", have, t(spark, sf, "customer").where("c_custkey % 10 <> 0").select(F.col("c_custkey").alias("qid")))
+
+
 ROUTES = "ro AS (SELECT c_nationkey % 2 = 0 AS expected, c_nationkey % 2 = 0 OR c_custkey % 9 = 0 AS fired, CASE WHEN c_custkey % 4 > 0 THEN c_custkey % 7 END AS rank FROM customer)"
 
 
@@ -194,7 +232,7 @@ mt AS (SELECT event_type, unnest([{{'m': 'questions', 'v': count(*)::DOUBLE}}, {
 
 def _reliability(spark, sf):
     """Metrics by type of event as they are and as they are said to be: hits by a tenth too high, questions of views unsaid."""
-    made = evidence.reliability_metrics(_good(spark, sf), THRESHOLDS, "event_type")
+    made = evidence.reliability_metrics(_good(spark, sf), THRESHOLDS, "event_type", complete=False)
     made = materialize(made, "metrics")
     said = made.where("not (event_type = 'view' and metric = 'questions')").withColumn("value", F.when((F.col("metric") == "hit_at_5") & (F.col("event_type") == "click"), F.col("value") + 0.1).otherwise(F.col("value")))
     return said, made
@@ -227,7 +265,7 @@ def route_evidence(spark, sf):
 
 @query("regression_evidence", f"WITH {CASES}, {SUMMARY} SELECT 'total' AS metric, NULL::DOUBLE AS published, total::DOUBLE AS recomputed, 'unpublished' AS problem FROM su UNION ALL SELECT 'cases', 5, NULL, 'missing'")
 def regression_evidence(spark, sf):
-    made = evidence.unpivoted(evidence.case_summary(_scores(spark, sf)[1]))
+    made = evidence.unpivoted(evidence.case_summary(_cases(spark, sf)[1]))
     said = made.withColumn("value", F.when(F.col("metric") == "total", 5.0).otherwise(F.col("value"))).withColumn("metric", F.when(F.col("metric") == "total", "cases").otherwise(F.col("metric")))
     return evidence.mismatches(said, made)
 
