@@ -5,12 +5,16 @@ path: tags with their classes from the root, numbers in classes blanked. It also
 paths. Spark counts the votes of each host and path, and finds the paths where most pages of the host say the same. Each page is
 then read again: the smallest container around its own text and its host's winning path, or the best-placed one it has.
 
-What counts as boilerplate is told by tag (menus, footers, asides, scripts, ...) and role, by class or id, or by the host: a path
-with one and the same text on most of its pages, which is a small part of each. A class or id names boilerplate if all its words
-do, or place and shape it ("site-footer", "comment-list"; not "has-sidebar" or "comments-open"). Forms and elements that are
-boilerplate by class or id alone are nevertheless read where they are wrapped around the page's article, main part or first heading, no
-such stands outside of them, and they hold more text than what does. Blocks that are mostly links don't count as text when the container
-is chosen, and are read where they stand in it. Nothing else is left out.
+What counts as boilerplate is told by tag (menus, footers, asides, scripts, ...; a header of the page's body) and role, or by class or id. A
+class or id names boilerplate if all its words do, or place and shape it ("site-footer", "comment-list"; not "has-sidebar" or
+"comments-open"); words that name menus need links, half of the element's text or more. Forms and elements that are boilerplate by
+class or id alone are nevertheless read where they are wrapped around the page's article, main part or first heading, no such stands
+outside of them, and they hold more text than what does.
+
+Some blocks have no say in which container is chosen, but are read where they stand in it: headers inside the page's body, lists of
+links (a block that is mostly a link, if it isn't a paragraph or heading, or one of LIST or more in a row), and blocks at a
+path where most of the host's pages say one and the same, which is a small part of each. So a host confirms: of blocks in the
+container, only headers and lists of links that are the same on its pages are left out. Nothing else is.
 
 Pages are read in time that grows with their length: tags are found from left to right, and paths are numbers, a hash of the path above
 and the element's own name.
@@ -41,8 +45,10 @@ from lexspan.llm.common import batch, materialize, table, tidy
 
 #: Winning paths kept for a host; bytes of hosts and their paths that go to every executor; tasks for a host's pages beyond.
 PLACES, SENT, SALTS = 3, 16 << 20, 16
-#: A host's path is boilerplate where more than half of its pages, and so many, have the same text, such a share of theirs at most.
+#: A host's path says the same where more than half of its pages, and so many, have the same text, such a share of theirs at most.
 ALIKE, SMALL = 3, 0.1
+#: Blocks of links in a row that are a list of links, whatever elements they are.
+LIST = 3
 
 # Names of HTML elements, and words that name boilerplate.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -51,7 +57,12 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 CONTAINER = frozenset("article body div main section td".split())
+#: Elements whose texts hosts are compared on, too, but which hold no article.
+COMPARED = frozenset("header ol ul".split())
 WHOLE = frozenset("article main".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption caption".split())
+#: Words that name menus.
+MENUS = frozenset("breadcrumb breadcrumbs menu nav navbar navigation pagination toolbar".split())
 DROPPED = frozenset("nav footer aside button dialog menu head".split())
 INLINE = frozenset(
     "a abbr acronym applet audio b bdi bdo big blink cite code data datalist del dfn em fieldset font frame frameset i ins kbd label legend map mark marquee math meter nobr optgroup option output picture progress q rb rp rt ruby s samp slot small span strike strong sub sup time tt u var video".split()
@@ -83,33 +94,54 @@ class Container:
     soft: int
     last: int = -1
     dropped: bool = False
+    compared: bool = False
 
 
 @dataclass
 class Page:
     blocks: list[str] = field(default_factory=list)
     links: list[int] = field(default_factory=list)
+    #: Whether each is a paragraph or heading; whether it stands in a header inside the page's body.
+    prose: list[bool] = field(default_factory=list)
+    heads: list[bool] = field(default_factory=list)
     containers: list[Container] = field(default_factory=list)
 
     def chars(self, c: Container) -> int:
         return sum(len(b) for b in self.blocks[c.first : c.last]) - sum(self.links[c.first : c.last])
 
+    def link_lists(self) -> list[bool]:
+        """Whether each block is part of a list of links."""
+        linked = [2 * n > len(b) for b, n in zip(self.blocks, self.links, strict=True)]
+        found, k = [], 0
+        while k < len(linked):
+            j = k
+            while j < len(linked) and linked[j] == linked[k]:
+                j += 1
+            found += [linked[k] and (j - k >= LIST or not prose) for prose in self.prose[k:j]]
+            k = j
+        return found
+
     def around(self, paths: Sequence[int] = (), same: Collection[int] = ()) -> tuple[Container | None, list[int]]:
         """The smallest container around the page's text and the first of the paths that it has text in, and its blocks.
 
-        Blocks at the paths of `same` are left out, unless nothing else is there. No container: all of the page.
+        Blocks at the paths of `same` aren't text here, unless nothing else is there. No container: all of the page.
         """
         inside = [0] * (len(self.blocks) + 1)
         for c in self.containers if same else ():
             if c.path in same:
                 inside[c.first] += 1
                 inside[c.last] -= 1
-        kept = [k for k, n in enumerate(accumulate(inside[:-1])) if not n] or list(range(len(self.blocks)))
-        need = [k for k in kept if 2 * self.links[k] <= len(self.blocks[k])]
+        alike = [n > 0 for n in accumulate(inside[:-1])]
+        if all(alike):
+            alike = [False] * len(alike)
+        lists = self.link_lists()
+        gone = [x and (y or z) for x, y, z in zip(alike, lists, self.heads, strict=True)]
+        kept = [k for k, x in enumerate(gone) if not x]
+        need = [k for k in kept if not (alike[k] or lists[k] or self.heads[k])]
         own = {c.path for c in self.containers if not c.dropped and c.first < c.last} if paths else set()
         for path in paths:
             if path in own:
-                mine = [k for c in self.containers if c.path == path and not c.dropped for k in kept[bisect_left(kept, c.first) : bisect_left(kept, c.last)]]
+                mine = [k for c in self.containers if c.path == path and not c.dropped for k in kept[bisect_left(kept, c.first) : bisect_left(kept, c.last)] if not alike[k]]
                 if mine:
                     need += mine
                     break
@@ -118,7 +150,7 @@ class Page:
         first, last = min(need), max(need)
         at = None
         for c in self.containers:
-            if not c.dropped and c.first <= first and last < c.last and (at is None or c.last - c.first <= at.last - at.first):
+            if not (c.dropped or c.compared) and c.first <= first and last < c.last and (at is None or c.last - c.first <= at.last - at.first):
                 at = c
         return at, [k for k in kept if at.first <= k < at.last] if at else kept
 
@@ -160,20 +192,24 @@ def names_boilerplate(token: str) -> bool:
     return bool(named) and all(w in WORDS or w in PLACED or (w == "content" and k > named[0]) for k, w in enumerate(words))
 
 
-def _attributes(raw: str) -> tuple[str, bool, bool]:
-    """Generalised classes; whether the element is boilerplate by role or hidden; whether it is by class or id."""
+@lru_cache(1 << 16)
+def names_menu(token: str) -> bool:
+    """Of a class or id that names boilerplate: whether by words for menus alone."""
+    return all(w in MENUS for w in _WORD.findall(_CAMEL.sub(r"\1 \2", token).lower()) if w in WORDS)
+
+
+def _attributes(raw: str) -> tuple[str, bool, int]:
+    """Generalised classes; whether the element is boilerplate by role; whether it is by class or id (2), or if it has links (1)."""
     if not raw or raw.isspace():
-        return "", False, False
-    classes, hard, soft = "", False, False
+        return "", False, 0
+    classes, hard, soft = "", False, 0
     for name, value in _ATTR.findall(raw):
         name, value = name.lower(), html.unescape(value.strip("\"'")) if value else ""
-        if name == "hidden":
-            hard = True
-        elif name == "role":
+        if name == "role":
             hard = hard or value.strip().lower() in ROLES
         elif name in ("class", "id"):
             own = value.split()
-            soft = soft or any(map(names_boilerplate, own))
+            soft = max([soft, *(1 if names_menu(x) else 2 for x in own if names_boilerplate(x))])
             if name == "class":
                 classes = "".join("." + re.sub(r"\d+", "0", c) for c in sorted(set(own)))
     return classes, hard, soft
@@ -196,9 +232,10 @@ def parse(source: str) -> Page:
     a tag, has no name of HTML and no end is text."""
     page, buffer, linked = Page(), [], 0
     owners: list[int] = []  # of each block: the element around it that may be boilerplate, or -1
-    softs: list[tuple[int, int]] = []  # of each such element: the one around it, where its blocks begin
+    softs: list[tuple[int, bool]] = []  # of each such element: the one around it, whether only links make it that
     anchors: list[int] = []  # of each article, main part and first heading: such an element around it, or -1
-    stack: list[tuple[str, int, bool, int, int]] = [("", 0, False, -1, -1)]  # tag, path, dropped, container, such an element
+    # tag, path, dropped, container, such an element, in a header inside the body, nearest block
+    stack: list[tuple[str, int, bool, int, int, bool, str]] = [("", 0, False, -1, -1, False, "")]
     opened: Counter[str] = Counter()
     unclosed: set[str] = set()
 
@@ -209,11 +246,13 @@ def parse(source: str) -> Page:
                 page.blocks.append(text)
                 page.links.append(min(linked, len(text)))
                 owners.append(stack[-1][4])
+                page.heads.append(stack[-1][5])
+                page.prose.append(stack[-1][6] in PROSE)
             buffer.clear()
         linked = 0
 
     def close() -> None:
-        tag, _, _, own, _ = stack[-1]
+        tag, own = stack[-1][0], stack[-1][3]
         if tag in BLOCK:
             flush()
         stack.pop()
@@ -290,22 +329,24 @@ def parse(source: str) -> Page:
             end("p", P_SCOPE)
         if tag in SCOPE:
             end(tag, SCOPE[tag].split())
-        _, path, dropped, own, soft = stack[-1]
+        _, path, dropped, own, soft, head, nearest = stack[-1]
         classes, hard, named = _attributes(attributes)
         path = below(path, tag + classes) if tag in BLOCK else path
-        page_header = tag == "header" and not opened["article"] and not opened["main"]
-        dropped = dropped or hard or tag in DROPPED or page_header
+        if tag == "header" and not opened["article"] and not opened["main"]:
+            head = True
+            dropped = dropped or not any(opened[x] > 0 for x in ("div", "section", "td"))
+        dropped = dropped or hard or tag in DROPPED
         if (named or tag == "form") and tag not in ("html", "body") and not dropped:
-            softs.append((soft, len(page.blocks)))
+            softs.append((soft, named == 1 and tag != "form"))
             soft = len(softs) - 1
         if not dropped and (tag in WHOLE or tag == "h1" or "role" in attributes and re.search(r"""role\s*=\s*["']?main\b""", attributes)):
             anchors.append(soft)
-        if tag in CONTAINER:
-            page.containers.append(Container(path, len(page.blocks), soft, dropped=dropped))
+        if tag in CONTAINER or tag in COMPARED:
+            page.containers.append(Container(path, len(page.blocks), soft, dropped=dropped, compared=tag in COMPARED))
             own = len(page.containers) - 1
         if attributes.endswith("/") and tag not in BLOCK:
             continue
-        stack.append((tag, path, dropped, own, soft))
+        stack.append((tag, path, dropped, own, soft, head, tag if tag in BLOCK else nearest))
         opened[tag] += 1
     while len(stack) > 1:
         close()
@@ -316,18 +357,20 @@ def parse(source: str) -> Page:
     return _without(page, owners, softs, anchors) if softs else page
 
 
-def _without(page: Page, owners: list[int], softs: list[tuple[int, int]], anchors: list[int]) -> Page:
+def _without(page: Page, owners: list[int], softs: list[tuple[int, bool]], anchors: list[int]) -> Page:
     """The page without the blocks of elements that are boilerplate by class or id."""
-    held = [0] * len(softs)  # characters in each, with those within it
+    held, linked = [0] * len(softs), [0] * len(softs)  # characters in each, with those within it; those of links
     outside = 0
-    for text, own in zip(page.blocks, owners, strict=True):
+    for text, n, own in zip(page.blocks, page.links, owners, strict=True):
         if own < 0:
             outside += len(text)
         else:
             held[own] += len(text)
+            linked[own] += n
     for k in range(len(softs) - 1, -1, -1):
         if softs[k][0] >= 0:
             held[softs[k][0]] += held[k]
+            linked[softs[k][0]] += linked[k]
     cleared: set[int] = set()
     if anchors and min(anchors) >= 0:
         for k in anchors:
@@ -340,13 +383,14 @@ def _without(page: Page, owners: list[int], softs: list[tuple[int, int]], anchor
                 break  # the first such is the article's; others may be comments
     # an element within one that is dropped is dropped, too
     gone = []
-    for k, (around, _) in enumerate(softs):
-        gone.append(k not in cleared or (around >= 0 and gone[around]))
+    for k, (around, by_links) in enumerate(softs):
+        text_alone = by_links and 2 * linked[k] < held[k]
+        gone.append(k not in cleared and not text_alone or (around >= 0 and gone[around]))
     keep = [own < 0 or not gone[own] for own in owners]
     place = [0, *accumulate(keep)]
-    made = Page([b for b, x in zip(page.blocks, keep, strict=True) if x], [n for n, x in zip(page.links, keep, strict=True) if x])
+    made = Page(*([v for v, x in zip(values, keep, strict=True) if x] for values in (page.blocks, page.links, page.prose, page.heads)))
     for c in page.containers:
-        made.containers.append(Container(c.path, place[c.first], c.soft, place[c.last], c.dropped or (c.soft >= 0 and gone[c.soft])))
+        made.containers.append(Container(c.path, place[c.first], c.soft, place[c.last], c.dropped or (c.soft >= 0 and gone[c.soft]), c.compared))
     return made
 
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from test_llm import EDGES, clashing, docs, prose
 
-from lexspan.llm import bpe, divergence, fim
+from lexspan.llm import bpe, divergence, fim, html_extract
 
 # --- 11: source divergence ---
 
@@ -173,3 +173,47 @@ def test_fim_edges(spark):
             fim.Form(*marks)
     with pytest.raises(ValueError, match="begins another"):
         fim.Form("<a<", "<b>", "<c>")
+
+
+# --- 6: whole articles of hosts without <article> ---
+
+
+def _host(spark, pages):
+    rows = [(i, f"http://h.org/{i}", f"<html><body>{p}</body></html>") for i, p in enumerate(pages)]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return [r.text for r in sorted(got, key=lambda r: r.page_id)]
+
+
+STORY = [f"Story {i} " + "and so on and on, " * (20 + i) for i in range(6)]
+
+
+@pytest.mark.parametrize(
+    "page,lines",
+    [
+        ('<div class="post"><h1>T {i}</h1><div class="byline">By Jane Doe</div><div class="story"><p>{s}</p></div></div>', ["T {i}", "By Jane Doe", "{s}"]),
+        ('<div class="post"><div class="story"><p>{s}</p></div><p><a href="/x">Read the original announcement</a></p></div>', ["{s}", "Read the original announcement"]),
+        ('<div class="post"><div class="story"><p>{s}</p></div><p><a href="/x">Read original {i}</a></p></div>', ["{s}", "Read original {i}"]),
+        ('<div class="post"><div class="kicker">Economy</div><div hidden>More of it {i}</div><div class="story"><p>{s}</p></div></div>', ["Economy", "More of it {i}", "{s}"]),
+        ('<div class="post"><header><h1>Title {i}</h1></header><div class="story"><p>{s}</p><p>End {i}</p></div><p>Last {i}</p></div>', ["Title {i}", "{s}", "End {i}", "Last {i}"]),
+        ('<div class="post"><h1>Cafe {i}</h1><div class="menu"><p>Soup of the day, bread {i}</p></div><p>{s}</p></div>', ["Cafe {i}", "Soup of the day, bread {i}", "{s}"]),
+        ('<div class="top"><ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li></ul></div><div class="post"><p>{s}</p><p>Source: wire</p></div><div class="bottom"><p>All rights reserved by us</p></div>', ["{s}", "Source: wire"]),
+        ('<header><h1>The Site</h1></header><div class="menu"><a href="/">Home</a> <a href="/b">Blog</a></div><div class="post"><h2>T {i}</h2><p>{s}</p></div><footer>f</footer>', ["T {i}", "{s}"]),
+        ('<div class="page"><header><p>The Site</p></header><h2>T {i}</h2><p>{s}</p><ul><li><a href="/">Home</a></li><li><a href="/b">Blog</a></li><li><a href="/c">Shop</a></li></ul></div>', ["T {i}", "{s}"]),
+        ('<div class="page"><header><p>Issue {i}</p></header><h2>T {i}</h2><p>{s}</p><ul><li><a href="/{i}">Part {i}</a></li><li>and more</li></ul></div>', ["Issue {i}", "T {i}", "{s}", "Part {i}", "and more"]),
+    ],
+)
+def test_html_keeps_the_article_whole(spark, page, lines):
+    fill = lambda t, i: t.replace("{i}", str(i)).replace("{s}", STORY[i])
+    got = _host(spark, [fill(page, i) for i in range(6)])
+    want = ["\n".join(" ".join(fill(x, i).split()) for x in lines) for i in range(6)]
+    assert got == want
+
+
+def test_html_leaves_out_what_the_host_confirms(spark):
+    page = '<div class="page"><header><div class="brand"><p>The Site</p></div></header><h2>T {0}</h2><p>{1}</p><div class="links"><a href="/">Home page</a><div><a href="/b">Blog</a></div><div><a href="/c">Shop</a></div></div></div>'
+    assert _host(spark, [page.format(i, STORY[i]) for i in range(6)]) == [f"T {i}\n{' '.join(STORY[i].split())}" for i in range(6)]
+
+
+def test_html_repeated_pages(spark):
+    page = '<div class="post"><h1>T</h1><div class="x">By Jane Doe</div><p>{}</p></div>'
+    assert set(_host(spark, [page.format(STORY[0])] * 7)) == {"T\nBy Jane Doe\n" + " ".join(STORY[0].split())}
