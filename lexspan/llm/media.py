@@ -127,17 +127,15 @@ def segments(energy: np.ndarray, high: float = HIGH_DB, low: float = LOW_DB) ->
     return [(int(a), int(b)) for a, b in edge if loud[b] > loud[a]]
 
 
-#: Log-mel values are stored as whole steps from the floor on, so many to a unit of the natural logarithm.
-STEPS = 6
-TENSOR = pa.fixed_shape_tensor(pa.uint8(), (FRAMES, MELS), dim_names=["frame", "mel"])
+TENSOR = pa.fixed_shape_tensor(pa.float16(), (FRAMES, MELS), dim_names=["frame", "mel"])
 PATCH = pa.schema([("patch", TENSOR), ("start_s", pa.float64()), ("end_s", pa.float64())])
 
 
 def tensors(rows: np.ndarray, rate: float) -> bytes:
     """Arrow IPC stream of the patches of a clip."""
     n = -(-len(rows) // FRAMES)
-    full = np.zeros((n * FRAMES, MELS), np.uint8)
-    full[: len(rows)] = np.clip(np.round((rows - np.log(FLOOR)) * STEPS), 0, 255)
+    full = np.full((n * FRAMES, MELS), np.log(FLOOR), np.float16)
+    full[: len(rows)] = rows
     start = np.arange(n) * FRAMES * HOP / rate
     end = np.minimum((np.arange(1, n + 1)) * FRAMES, len(rows)) * HOP / rate
     patch = pa.ExtensionArray.from_storage(TENSOR, pa.FixedSizeListArray.from_arrays(pa.array(full.reshape(-1)), FRAMES * MELS))
@@ -151,7 +149,7 @@ def read_tensors(raw: bytes) -> tuple[np.ndarray, list[tuple[float, float]]]:
     """Patches (n, FRAMES, MELS) of logarithms and spans of what tensors() wrote."""
     t = pa.ipc.open_stream(raw).read_all().combine_chunks()
     patches = t["patch"].combine_chunks().to_numpy_ndarray()
-    return patches / np.float32(STEPS) + np.float32(np.log(FLOOR)), list(zip(t["start_s"].to_pylist(), t["end_s"].to_pylist(), strict=True))
+    return patches.astype(np.float32), list(zip(t["start_s"].to_pylist(), t["end_s"].to_pylist(), strict=True))
 
 
 def clip_tensors(media: bytes) -> tuple[bytes, list[tuple[float, float]]]:

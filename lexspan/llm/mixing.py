@@ -5,11 +5,11 @@ least relative entropy are wanted; they are exponential tilts, rate = exp(sum of
 higher than the cap. The convex dual is solved by Newton steps, block by block where there are several constraint
 columns: a step needs a gradient (words taken less target) and a curvature for each group, which are sums that Spark
 aggregates over cells, the distinct combinations of the constraint columns with their exact word counts. Rates then
-become whole copies by systematic rounding: documents of a cell are dealt into strata by a hash of their id, sorted by
-size, and the running sum of rates is rounded. A source's strata start their sums at evenly spaced offsets, from one drawn by a
-hash of the source, so that the errors of their largest documents cancel; a stratum's error is less than its largest document.
-The SQL of op9_mixing starts every sum at one half, where errors of a stratum are at most half its largest document but have
-one sign in all strata of a source; that query follows its SQL (`spread=False`), the pipeline doesn't.
+become whole copies by systematic rounding: a source's documents are put in the order of their sizes, and the running sum of rates
+is rounded, so that whatever is rounded away from one document goes to the next of about its size. No task sorts a source:
+documents are dealt into size classes (16 to an octave) and within these by a hash of their id into cells, whose sizes are
+known first; a document's place is the number of documents in the cells before its own and its place in that. Where the running sum
+starts is one of STARTS evenly spaced values, the one that brings the source's words nearest to its target.
 
 Defined results. A null text has size 0. A null source is a source of its own, the last. Repeated rows are separate
 documents. Documents of size 0 may get copies but take no words. No documents: no rows. Ties of size go by id; rows that tie in both
@@ -28,8 +28,8 @@ from lexspan.llm.common import materialize, table
 
 CYCLE = (5, 2, 1)
 CAP = 3
-#: Documents in a stratum, about.
-STRATUM = 128
+#: Documents in a cell, about; values at which a running sum may start.
+CELL, STARTS = 4096, 32
 #: Newton ends when every group's words are within this share of its target.
 CLOSE = 1e-11
 STEPS = 60
@@ -111,31 +111,55 @@ def _salt(id_col: Column, n: Column) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(F.coalesce(id_col.cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long"), n)
 
 
-def mix(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size_col: str | None = None, cap: int = CAP, spread: bool = True
-) -> DataFrame:
-    """docs with size, source_size, target, rate and copies; taken words are copies * size. spread: offsets of a source's strata.
-    size_col: a column of sizes, where they are known; else words are counted, once for the sums and once for the rows."""
+def _size_class(size: Column) -> Column:
+    """32 times the number of bits and the first five of them: sizes of a class differ by a sixteenth at most."""
+    bits = F.length(F.bin(size))
+    shift = lambda name, n: F.call_function(name, size, n.cast("int"))
+    return bits * 32 + F.when(bits > 5, shift("shiftright", bits - 5)).otherwise(shift("shiftleft", 5 - bits))
+
+
+def _copies(start: Column, cap: int) -> Column:
+    """Of a document, by its source's parts and its place in the source."""
+    upto = F.col("_mix_place") * F.col("_mix_parts") + start
+    return F.least(F.lit(cap), F.floor(upto / PARTS) - F.floor((upto - F.col("_mix_parts")) / PARTS)).cast("int")
+
+
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size_col: str | None = None, cap: int = CAP) -> DataFrame:
+    """docs with size, source_size, target, rate and copies; taken words are copies * size. size_col: a column of sizes, where they are
+    known; else words are counted, once for the plan and once for the rows."""
     size = F.col(size_col) if size_col else word_count(F.col(text_col))
     own = [c for c in docs.columns if c not in MADE]
-    sized = docs.select(*own, size.cast("long").alias("_mix_size"))
-    slim = sized.groupBy(F.col(source_col).alias("source")).agg(F.sum("_mix_size").alias("words"), F.count("*").alias("n"))
-    slim = materialize(slim, "mix-cells")
-    targets = targets_by_weight(slim.select("source", F.col("words").alias("source_size")), cap=cap)
-    rates = balance(slim, {"source": targets}, cap=cap)
+    key = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n")).alias("_mix_key")
+    # the plan is made from ids and sizes alone, written once
+    slim = materialize(docs.select(F.col(id_col).alias("_mix_id"), F.col(source_col).alias("_mix_source"), key, size.cast("long").alias("_mix_size")), "mix-sizes")
+    classes = slim.groupBy("_mix_source", "_mix_key", _size_class(F.col("_mix_size")).alias("_mix_class")).agg(F.sum("_mix_size").alias("words"), F.count("*").alias("n"))
+    classes = materialize(classes, "mix-classes")
+    cells = materialize(classes.groupBy(F.col("_mix_source").alias("source")).agg(F.sum("words").alias("words")), "mix-cells")
+    targets = targets_by_weight(cells.select("source", F.col("words").alias("source_size")), cap=cap)
+    rates = balance(cells, {"source": targets}, cap=cap)
     plan = rates.join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "words")
-    plan = plan.withColumn("parts", F.round(F.col("rate") * PARTS).cast("long"))
-    plan = materialize(plan.select(*(F.col(c).alias(f"_mix_{c}") for c in ("source", "source_size", "target", "rate", "n", "parts"))), "mix-plan")
-    joined = sized.join(plan, F.col(source_col).eqNullSafe(F.col("_mix_source")))
-    strata = F.ceil(F.col("_mix_n") / STRATUM).cast("long")
-    dealt = joined.withColumn("_mix_stratum", _salt(F.col(id_col), strata))
-    run = Window.partitionBy("_mix_source", "_mix_stratum").orderBy(F.desc("_mix_size"), F.col(id_col).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    upto = F.sum("_mix_parts").over(run)
-    start = F.lit(PARTS // 2)
-    if spread:
-        start = F.pmod(_salt(F.col("_mix_source"), F.lit(PARTS)) + F.floor(F.col("_mix_stratum") * PARTS / strata), F.lit(PARTS))
-    copies = F.floor((F.col("_mix_upto") + start) / PARTS) - F.floor((F.col("_mix_upto") - F.col("_mix_parts") + start) / PARTS)
-    found = dealt.withColumn("_mix_upto", upto).withColumn("_mix_copies", F.least(F.lit(cap), copies).cast("int"))
+    plan = plan.withColumn("parts", F.round(F.col("rate") * PARTS).cast("long")).select("source", *(F.col(c).alias(f"_mix_{c}") for c in ("source_size", "target", "rate", "parts")))
+    plan = classes.join(plan, F.col("_mix_source").eqNullSafe(F.col("source"))).withColumn("_mix_cells", F.ceil(F.col("n") / CELL).cast("long")).drop("_mix_source", "source", "words", "n")
+    plan = materialize(plan, "mix-plan")
+    cell = ["_mix_key", "_mix_class", "_mix_cell"]
+
+    def dealt(rows: DataFrame, id_: str) -> DataFrame:
+        found = rows.withColumn("_mix_class", _size_class(F.col("_mix_size"))).join(plan, ["_mix_key", "_mix_class"])
+        return found.withColumn("_mix_cell", _salt(F.col(id_), F.col("_mix_cells")))
+
+    before = F.sum("count").over(Window.partitionBy("_mix_key").orderBy(F.desc("_mix_class"), "_mix_cell").rowsBetween(Window.unboundedPreceding, -1))
+    bases = materialize(dealt(slim, "_mix_id").groupBy(*cell).count().select(*cell, F.coalesce(before, F.lit(0)).alias("_mix_before")), "mix-bases")
+
+    def placed(rows: DataFrame, id_: str) -> DataFrame:
+        inside = F.row_number().over(Window.partitionBy(*cell).orderBy(F.desc("_mix_size"), F.col(id_).asc_nulls_last()))
+        return dealt(rows, id_).join(bases, cell).withColumn("_mix_place", F.col("_mix_before") + inside)
+
+    tried = [F.sum(_copies(F.lit(u * PARTS // STARTS), cap) * F.col("_mix_size")).alias(f"_{u}") for u in range(STARTS)]
+    sums = placed(slim, "_mix_id").groupBy("_mix_key").agg(F.round(F.first("_mix_target")).cast("long").alias("t"), *tried)
+    gaps = F.array_min(F.array(*(F.struct(F.abs(F.col(f"_{u}") - F.col("t")).alias("gap"), F.lit(u).alias("u")) for u in range(STARTS))))
+    starts = materialize(sums.select("_mix_key", (gaps["u"] * (PARTS // STARTS)).cast("long").alias("_mix_start")), "mix-starts")
+    whole = docs.select(*own, key, size.cast("long").alias("_mix_size"))
+    found = placed(whole, id_col).join(starts, "_mix_key").withColumn("_mix_copies", _copies(F.col("_mix_start"), cap))
     return found.select(*own, *(F.col(f"_mix_{c}").alias(c) for c in MADE))
 
 
@@ -143,7 +167,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     # counted once and written: the sums and the rounding read ids and sizes, not texts
     sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("words")), "mix-sizes")
-    found = mix(sized, size_col="words", spread=False)
+    found = mix(sized, size_col="words")
     return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
@@ -157,10 +181,16 @@ WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^
                   sum(source_size) OVER () AS whole FROM r WINDOW before AS (ORDER BY ratio, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
      lv AS (SELECT min_by((whole - held)::DOUBLE / wt, ratio) AS level FROM c WHERE (whole - held)::DOUBLE / wt < ratio),
      t AS (SELECT source, source_size, n, CASE WHEN level IS NULL OR 3 * source_size <= w * level THEN (3 * source_size)::DOUBLE ELSE w * level END AS target FROM r, lv),
-     p AS (SELECT d.doc_id, d.source, d.size, source_size, target,
+     b AS (SELECT *, length(bin(size)) * 32 + CASE WHEN length(bin(size)) > 5 THEN size >> (length(bin(size)) - 5) ELSE size << (5 - length(bin(size))) END AS class FROM d),
+     m AS (SELECT source, class, ceil(count(*) / 4096.0)::BIGINT AS cells FROM b GROUP BY ALL),
+     p AS (SELECT b.doc_id, b.source, b.size, b.class, source_size, target,
                   CASE WHEN source_size = 0 THEN 1000000 ELSE round(least(3.0::DOUBLE, target / source_size) * 1000000) END::BIGINT AS parts,
-                  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % ceil(n / 128.0)::BIGINT AS stratum
-           FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-     u AS (SELECT *, sum(parts) OVER (PARTITION BY source, stratum ORDER BY size DESC, doc_id NULLS LAST ROWS UNBOUNDED PRECEDING)::BIGINT AS upto FROM p)
-SELECT doc_id, size, source_size, target, (size * least(3, (upto + 500000) // 1000000 - (upto - parts + 500000) // 1000000))::BIGINT AS taken FROM u
+                  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % cells AS cell
+           FROM b JOIN t ON b.source IS NOT DISTINCT FROM t.source JOIN m ON m.source IS NOT DISTINCT FROM b.source AND m.class = b.class),
+     k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY class DESC, cell, size DESC, doc_id NULLS LAST) AS place FROM p),
+     g AS (SELECT source, u, abs(sum(size * least(3, (place * parts + u * 31250) // 1000000 - ((place - 1) * parts + u * 31250) // 1000000)) - any_value(round(target)::BIGINT)) AS gap
+           FROM k, range(32) AS x(u) GROUP BY source, u),
+     h AS (SELECT source, u * 31250 AS start FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY gap, u) AS r FROM g) WHERE r = 1)
+SELECT doc_id, size, source_size, target, (size * least(3, (place * parts + start) // 1000000 - ((place - 1) * parts + start) // 1000000))::BIGINT AS taken
+FROM k JOIN h ON h.source IS NOT DISTINCT FROM k.source
 """

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from test_llm import EDGES, clashing, docs, prose
 
-from lexspan.llm import bpe, divergence, fim, html_extract
+from lexspan.llm import bpe, divergence, fim, html_extract, media, mixing
 
 # --- 11: source divergence ---
 
@@ -217,3 +217,27 @@ def test_html_leaves_out_what_the_host_confirms(spark):
 def test_html_repeated_pages(spark):
     page = '<div class="post"><h1>T</h1><div class="x">By Jane Doe</div><p>{}</p></div>'
     assert set(_host(spark, [page.format(STORY[0])] * 7)) == {"T\nBy Jane Doe\n" + " ".join(STORY[0].split())}
+
+
+# --- 4, 9 ---
+
+
+def test_tensors_keep_half_precision():
+    rng = np.random.default_rng(1)
+    rows, _ = media.log_mel(rng.normal(size=40_000).astype(np.float32), 6400.0)
+    patches, spans = media.read_tensors(media.tensors(rows, 6400.0))
+    got = patches.reshape(-1, media.MELS)[: len(rows)]
+    assert np.abs(got - rows).max() <= 2.0**-10 * np.abs(rows).max() and len(spans) == len(patches)
+    assert media.TENSOR.value_type == "halffloat"
+
+
+def test_mixing_comes_near_every_target_on_a_heavy_tail(spark):
+    rng = random.Random(12)
+    rows = []
+    for k, (source, n) in enumerate((("a", 3000), ("b", 9000), ("c", 6000), (None, 2000))):
+        sizes = [min(4000, int(3 / (1 - rng.random()) ** 0.9)) for _ in range(n)]
+        rows += [(k * 100_000 + i, "w " * s, "en", source, 0) for i, s in enumerate(sizes)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)).groupBy("source").agg({"target": "max", "*": "count"}).collect()
+    taken = {r.source: r.t for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).selectExpr("source", "copies * size AS x").groupBy("source").agg({"x": "sum"}).withColumnRenamed("sum(x)", "t").collect()}
+    for r in got:
+        assert abs(taken[r.source] - r["max(target)"]) < 0.01 * r["max(target)"], r.source
