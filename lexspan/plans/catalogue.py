@@ -654,3 +654,4 @@ def oracle_sql() -> dict[str, str]:
 
 from lexspan.plans import evidence as _evidence  # noqa: E402, F401  # these register their queries with query()
 from lexspan.plans import language as _language  # noqa: E402, F401
+from lexspan.plans import lexical as _lexical  # noqa: E402, F401
