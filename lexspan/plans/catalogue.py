@@ -256,7 +256,26 @@ def structure_chunks_all(spark, sf):
     return chunking.structure_chunks(_units(spark, sf)).select("chunk_id", "doc_id", "seq", "article_label", "content")
 
 
-@query("fixed_chunks")
+#: Sentences of documents without full-width marks: slices of 400 characters of each paragraph. Of each, where a chunk starts whose
+#: first new sentence it is (s), and the next chunk's first new sentence (nx).
+FIXED = """
+pa AS (SELECT row_number() OVER () AS r, doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS text, unnest(range(0, len(string_split(coalesce(text, ''), chr(10))))) AS u FROM documents),
+sl AS (SELECT doc_id, source, u, unnest(range(0, (length(text) - 1) // 400 + 1)) AS part, text FROM pa WHERE regexp_matches(text, '[^\\s\\p{Z}]')),
+se AS (SELECT doc_id, source, u, substr(text, part * 400 + 1, 400) AS t, row_number() OVER w - 1 AS i, length(substr(text, part * 400 + 1, 400)) AS n,
+              coalesce(sum(length(substr(text, part * 400 + 1, 400))) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS p FROM sl WINDOW w AS (PARTITION BY doc_id ORDER BY u, part)),
+st AS (SELECT f.doc_id, f.i, CASE WHEN f.i = 0 THEN 0 ELSE coalesce(s.i, 0) END AS s, CASE WHEN f.i = 0 THEN 0 ELSE coalesce(s.p, 0) END AS sp FROM se f ASOF LEFT JOIN se s ON s.doc_id = f.doc_id AND s.p <= f.p - 80),
+nx AS (SELECT st.doc_id, st.i, st.s, greatest(st.i + 1, e.i + CASE WHEN st.sp + 400 >= e.p + e.n THEN 1 ELSE 0 END) AS nx FROM st ASOF JOIN se e ON e.doc_id = st.doc_id AND e.p <= st.sp + 400),
+ch AS (SELECT doc_id, i, s, nx FROM nx WHERE i = 0 UNION ALL SELECT nx.doc_id, nx.i, nx.s, nx.nx FROM ch JOIN nx ON nx.doc_id = ch.doc_id AND nx.i = ch.nx),
+bo AS (SELECT ch.doc_id, ch.i, regexp_replace(string_agg(t, '' ORDER BY se.i), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') AS content, min(u) AS a, max(u) AS b FROM ch JOIN se ON se.doc_id = ch.doc_id AND se.i BETWEEN ch.s AND ch.nx - 1 GROUP BY ch.doc_id, ch.i),
+nu AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS seq FROM bo WHERE content <> '')
+"""
+
+
+@query(
+    "fixed_chunks",
+    f"""WITH RECURSIVE {FIXED} SELECT 'd' || doc_id || '#f' || CASE WHEN seq < 10000 THEN lpad(seq::VARCHAR, 4, '0') ELSE seq::VARCHAR END AS chunk_id, 'd' || doc_id AS doc_id, seq::INT AS seq,
+    'A' || a || CASE WHEN a = b THEN '' ELSE '～A' || b END AS article_label, content FROM nu""",
+)
 def fixed_chunks(spark, sf):
     return chunking.fixed_chunks(_units(spark, sf)).select("chunk_id", "doc_id", "seq", "article_label", "content")
 
