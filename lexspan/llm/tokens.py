@@ -12,11 +12,14 @@ are read; others, whatever their names, are left out.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspan.llm.common import materialize, runs, scratch_path, table, tidy, utf8
+from lexspan.llm.merges import Merges
 
 SEQUENCE = 2048
 #: Sequences in a record batch.
@@ -34,6 +38,8 @@ BATCH = 64
 REMEMBERED, EACH = 64 << 20, 160
 #: New words that are encoded together; bytes of texts whose words are looked up together.
 TOGETHER, CHUNK = 500, 1 << 20
+#: Words of letters that are merged together.
+MERGED = 10_000
 MANIFEST = "part long, path string, n_docs long, n_tokens long"
 
 
@@ -48,6 +54,14 @@ class Format:
     by_word: bool = True
     #: The tokenizer takes A-Z for a-z.
     lower_case: bool = True
+    #: A run of ASCII punctuation but apostrophes at a side of a word of letters is a word of its own to the tokenizer.
+    marks_apart: bool = True
+
+
+_MARKS = rb"[!-&(-/:-@\[-`{-~]*"
+#: Letters that are letters to every version of Unicode, and stay one letter each when they are made small.
+_SURE = rb"(?:[a-zA-Z]|\xc3[\x80-\xb6\xb8-\xbf])"
+_EDGED = re.compile(rb"(%s)(%s(?:[a-zA-Z\x80-\xff]*%s)?)(%s)" % (_MARKS, _SURE, _SURE, _MARKS))
 
 
 def filesystem(uri: str):
@@ -80,9 +94,38 @@ class Encoder:
         if suffix:
             self.ends = np.zeros(self.model.get_vocab_size(), bool)
             self.ends[[i for t, i in self.model.get_vocab().items() if t.endswith(suffix)]] = True
-        self.stops = dict(zip((b",", b"."), self.whole([",", "."]), strict=True))
+        self.merges = self._merges()
         self.end = b"" if form.end_id is None else np.array([form.end_id], self.kind).tobytes()
 
+    def _merges(self) -> Merges | None:
+        """The vocabulary as arrays, if it is a byte-level BPE."""
+        with open(self.form.tokenizer, encoding="utf-8") as f:
+            made = json.load(f)
+        cutters = made.get("pre_tokenizer") or {}
+        kinds = {cutters.get("type"), *(x["type"] for x in cutters.get("pretokenizers", []))}
+        return Merges(made["model"]) if made["model"].get("type") == "BPE" and "ByteLevel" in kinds else None
+
+    def merged(self, raw: np.ndarray, last: np.ndarray, owner: np.ndarray, n: int) -> list[bytes]:
+        """Ids of n words. raw: their bytes; last: the byte ends one of the parts that a word is cut into; owner: each byte's word."""
+        symbols = np.where(last, self.merges.last[raw], self.merges.inner[raw])
+        ids, at = self.merges.merge(symbols, self.merges.cuts(raw, last))
+        ends = np.cumsum(np.bincount(owner[at], minlength=n)) * self.kind.itemsize
+        data = ids.astype(self.kind).tobytes()
+        return [data[a:b] for a, b in pairwise([0, *ends.tolist()])]
+
+    def ascii_letters(self, words: list[bytes]) -> list[bytes]:
+        """Words of ASCII letters alone, merged many at a time: no part of the tokenizer but its merges has anything to do with them."""
+        out: list[bytes] = []
+        for i in range(0, len(words), MERGED):
+            part = words[i : i + MERGED]
+            n = np.array([len(w) for w in part], np.int64)
+            raw = b"".join(part)
+            raw = np.frombuffer(raw.lower() if self.form.lower_case else raw, np.uint8)
+            last = np.zeros(len(raw), bool)
+            last[np.cumsum(n) - 1] = True
+            out += self.merged(raw, last, np.repeat(np.arange(len(n)), n), len(n))
+        return out
+
     @classmethod
     def of(cls, form: Format) -> Encoder:
         """One for each format and Python worker."""
@@ -137,23 +180,31 @@ class Encoder:
         return out
 
     def learn(self, words: set[bytes]) -> None:
-        """Puts the ids of new words among the known ones. A comma or full stop after an ASCII letter is a token of its own, so
-        that words are encoded without it."""
-        new, ended = set(), []
+        """Puts the ids of new words among the known ones. Letters with marks at their sides are put together from the ids of these,
+        which most often are known."""
+        new, put = set(), []
+        apart = self.form.marks_apart
         for w in words:
-            if w[-1] in b",." and w[-2:-1].isalpha():
-                ended.append(w)
-                if w[:-1] not in self.known:
-                    new.add(w[:-1])
-            else:
+            if w.isalpha():
                 new.add(w)
-        plain = [w for w in new if w.decode().isalpha()] if self.ends is not None else []
-        listed = list(new.difference(plain))
-        self.known.update(zip(plain, self.letters(plain), strict=True))
+                continue
+            if apart and w[-1] in b",." and w[-2:-1].isalpha():
+                parts = [w[:-1], w[-1:]]
+            else:
+                m = _EDGED.fullmatch(w) if apart and b"<|" not in w else None
+                parts = [x for x in m.groups() if x] if m and m[2].decode().isalpha() else [w]
+            if len(parts) > 1:
+                put.append((w, parts))
+            new.update(x for x in parts if x not in self.known)
+        plain, letters, listed = [], [], []
+        for w in new:
+            (plain if self.merges and w.isalpha() else letters if self.ends is not None and w.decode().isalpha() else listed).append(w)
+        self.known.update(zip(plain, self.ascii_letters(plain), strict=True))
+        self.known.update(zip(letters, self.letters(letters), strict=True))
         self.known.update(zip(listed, self.words(listed), strict=True))
-        for w in ended:
-            self.known[w] = self.known[w[:-1]] + self.stops[w[-1:]]
-        self.size += self.taken(new) + self.taken(ended)
+        for w, parts in put:
+            self.known[w] = b"".join([self.known[x] for x in parts])
+        self.size += self.taken(new) + self.taken(w for w, _ in put)
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         if not self.form.by_word:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from test_llm import EDGES, clashing, docs, prose
 
-from lexspan.llm import bpe, divergence, fim, html_extract, media, mixing
+from lexspan.llm import bpe, divergence, fim, html_extract, media, merges, mixing
 
 # --- 11: source divergence ---
 
@@ -108,7 +108,7 @@ def test_bpe_of_a_vocabulary_without_word_ends(spark):
 
 def test_cuts_are_certain():
     codec = bpe.Codec.of(bpe.default_format())
-    letters = bpe.byte_letters()
+    letters = merges.byte_letters()
     for token in random.Random(9).sample(sorted(codec.model.get_vocab()), 3000):
         word = token.removesuffix("</w>")
         raw = np.array([letters.index(c) for c in word], np.uint8) if all(c in letters for c in word) else np.empty(0, np.uint8)
@@ -129,7 +129,7 @@ def test_rounds_and_heap_agree(monkeypatch, rounds):
     texts = [t for t in _odd_texts(random.Random(10), 60) if t]
     form = bpe.default_format()
     want = bpe.Codec(form).whole(texts)
-    monkeypatch.setattr(bpe, "ROUNDS", rounds)
+    monkeypatch.setattr(merges, "ROUNDS", rounds)
     assert bpe.Codec(form).whole(texts) == want
 
 
