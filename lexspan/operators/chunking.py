@@ -19,13 +19,9 @@ MAX_CHARS, CHUNK_SIZE, OVERLAP = 1000, 400, 80
 def sentences(text: Column, limit: int) -> Column:
     """Pieces that end after a sentence mark or line end. A blank piece goes with the one before, or is dropped if there is
     none; a longer piece than the limit is cut."""
-    pieces = F.filter(F.split(text, r"(?<=[。！？；\n])"), lambda p: p != "")
-    blank = lambda p: strip(p) == ""
-    glued = F.aggregate(
-        pieces, F.array().cast("array<string>"),
-        lambda acc, p: F.when(~blank(p), F.concat(acc, F.array(p))).when(F.size(acc) == 0, acc)
-        .otherwise(F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.concat(F.element_at(acc, -1), p)))),
-    )
+    # not where only blanks follow up to a line end or the text's: those go with what is before; blanks that begin a text are a piece of their own
+    pieces = F.split(text, r"(?<=[。！？；\n])(?!(?U:[^\S\n]*)(?:\n|\z))")
+    glued = F.filter(pieces, lambda p: strip(p) != "")
     # what is glued on isn't cut: only a piece's own part counts
     own = lambda p: F.char_length(F.regexp_replace(p, r"(?<=[。！？；\n])(?U)\s+$", ""))
     cut = lambda p: F.when(own(p) <= limit, F.array(p)).otherwise(
