@@ -2,23 +2,85 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import json
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexspan.functions.text import DELETED, canonical_json_sha256, strip
 
 
+META = ("nature", "url", "last_amended", "effective_date")
+
+
 def law_snapshot(articles: DataFrame) -> DataFrame:
-    """name, number of articles and a hash of the law with its articles in order. articles: name, pos, no, chapter, content, and
-    nature, url, last_amended, effective_date, the same in all rows of a law. Deleted and empty articles don't count."""
-    meta = ["nature", "url", "last_amended", "effective_date"]
+    """name, META, number of articles and a hash of the law with its articles in order. articles: name, pos, no, chapter, content, and
+    META, the same in all rows of a law. Deleted and empty articles don't count.
+
+    The hash is that of the compact JSON object, keys sorted. Articles come sorted by law and place and pass through the hash one after
+    the other, so that a law is never held; articles at one place go by content, then number. A null name or field counts as ''.
+    """
+    text = lambda c: F.coalesce(strip(F.col(c)), F.lit("")).alias(c)
     live = articles.where((strip(F.col("content")) != "") & ~strip(F.col("content")).rlike(DELETED))
-    each = live.select("name", *meta, F.struct("pos", F.struct(strip(F.col("chapter")).alias("chapter"), strip(F.col("content")).alias("content"), strip(F.col("no")).alias("no")).alias("a")).alias("x"))
-    laws = each.groupBy("name", *meta).agg(F.count("*").cast("long").alias("num_articles"), F.transform(F.array_sort(F.collect_list("x")), lambda x: x["a"]).alias("articles"))
-    digest = canonical_json_sha256(articles=F.col("articles"), name=F.col("name"), **{m: F.col(m) for m in meta})
-    return laws.select("name", *meta, "num_articles", digest.alias("content_sha256"))
+    each = live.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("name", *META)), "pos", text("no"), text("chapter"), text("content"))
+    dealt = each.repartition("name", *META).sortWithinPartitions("name", *META, "pos", "content", "no")
+    schema = ", ".join(f"{c} string" for c in ("name", *META)) + ", num_articles long, content_sha256 string"
+    names = ["name", *META, "num_articles", "content_sha256"]
+    said = lambda x: json.dumps(x, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        law, n, digest = None, 0, hashlib.sha256()
+
+        def ended() -> tuple:
+            rest = said({"name": law[0], **dict(zip(META, law[1:], strict=True))})
+            digest.update(f"],{rest[1:]}".encode())
+            return (*law, n, digest.hexdigest())
+
+        for b in batches:
+            out = []
+            columns = [b[c].to_pylist() for c in ("name", *META, "chapter", "content", "no")]
+            for *own, chapter, content, no in zip(*columns, strict=True):
+                if (own := tuple(own)) != law:
+                    if law is not None:
+                        out.append(ended())
+                    law, n, digest = own, 0, hashlib.sha256(b'{"articles":[')
+                digest.update((("," if n else "") + said({"chapter": chapter, "content": content, "no": no})).encode())
+                n += 1
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], names=names)
+        if law is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in ended()], names=names)
+
+    return dealt.mapInArrow(run, schema)
+
+
+def snapshot_findings(published: DataFrame, header: DataFrame, articles: DataFrame, artifact: str = "snapshot") -> DataFrame:
+    """artifact, subject, problem: what a published snapshot says that isn't so. published: law_snapshot()'s columns and pos (0 on).
+    header: one row with snapshot_date, law_count, article_count. articles: as law_snapshot() takes them.
+
+    Laws stand in the order of their names, each once, without gaps; dates are eight digits of a day there is, or empty; totals add up;
+    numbers of articles and hashes are those of the articles; no law is missing or made up. A missing value is a finding."""
+    found = lambda df, subject, *problems: df.select(F.lit(artifact).alias("artifact"), subject.cast("string").alias("subject"), F.explode(F.filter(F.array(*problems), lambda x: x.isNotNull())).alias("problem"))
+    no = lambda ok, problem: F.when(~F.coalesce(ok, F.lit(False)), problem)
+    day = lambda c: (F.col(c) == "") | (F.col(c).rlike(r"^\d{8}$") & F.expr(f"try_to_timestamp({c}, 'yyyyMMdd')").isNotNull())
+    rows = found(published, F.col("name"), no(F.trim(F.col("name")) != "", "name"), *(no(day(c), c) for c in ("last_amended", "effective_date")), no(F.col("num_articles") >= 1, "num_articles"))
+    after = published.select((F.col("pos") - 1).alias("pos"), F.col("name").alias("_next"))
+    order = found(published.join(after, "pos").where(~(F.col("name") < F.col("_next"))), F.col("_next"), F.lit("order"))
+    times = lambda c, problem: found(published.groupBy(c).count().where("count > 1"), F.col(c), F.lit(problem))
+    totals = published.agg(F.count("*").alias("n"), F.sum("num_articles").alias("a"), F.min("pos").alias("low"), F.max("pos").alias("high"))
+    said = header.agg(F.count("*").alias("rows"), F.first("snapshot_date").alias("day"), F.first("law_count").alias("laws"), F.first("article_count").alias("arts"))
+    sums = found(
+        totals.crossJoin(F.broadcast(said)), F.lit(None), no(F.col("rows") == 1, "header"), no(F.col("day").rlike(r"^\d{4}-\d\d-\d\d$") & F.expr("try_to_date(day, 'yyyy-MM-dd')").isNotNull(), "snapshot_date"),
+        no(F.col("laws") == F.col("n"), "law_count"), no(F.col("arts") == F.coalesce("a", F.lit(0)), "article_count"), no((F.col("n") == 0) | (F.col("low") == 0) & (F.col("high") == F.col("n") - 1), "places"),
+    )  # fmt: skip  # both are one row
+    made = law_snapshot(articles).select("name", F.col("num_articles").alias("_n"), F.col("content_sha256").alias("_h"))
+    both = published.select("name", "num_articles", "content_sha256").withColumn("_said", F.lit(True)).join(made.withColumnRenamed("name", "_name"), F.col("name").eqNullSafe(F.col("_name")), "full_outer")
+    there, known = F.col("_name").isNotNull(), F.col("_said").isNotNull()
+    hashes = found(both, F.coalesce("name", "_name"), F.when(~known, "missing"), F.when(~there, "made_up"), F.when(known & there, no(F.col("num_articles") == F.col("_n"), "articles")), F.when(known & there, no(F.col("content_sha256") == F.col("_h"), "hash")))
+    return rows.unionByName(order).unionByName(times("name", "repeated")).unionByName(times("pos", "place")).unionByName(sums).unionByName(hashes)
 
 
 def article_fingerprints(articles: DataFrame) -> DataFrame:

@@ -8,10 +8,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from lexspan.operators.checks import held
 from lexspan.operators.lexical import best, top_k
 
 DIMENSIONS = 256
@@ -113,8 +114,10 @@ def encode(texts: DataFrame, cache: DataFrame, embed: Callable[[Iterator[pa.Reco
 
 
 def keyed_upsert(store: DataFrame, rows: DataFrame, *keys: str) -> DataFrame:
-    """store with rows put in, those with a key that it has in place of the old ones."""
-    return store.join(rows.select(*keys), list(keys), "left_anti").unionByName(rows)
+    """store with rows put in, those with a key that it has in place of the old ones. Two new rows of one key fail the job."""
+    once = F.count("*").over(Window.partitionBy(*keys))
+    new = held(rows.withColumn("_rows_of_key", once), {"one_row_a_key": F.col("_rows_of_key") == 1}, "upsert").drop("_rows_of_key")
+    return store.join(rows.select(*keys).distinct(), list(keys), "left_anti").unionByName(new)
 
 
 class VectorStore:

@@ -562,12 +562,42 @@ def row_fingerprints(spark, sf):
     return audit.fingerprint_diff(old, new, ["doc_id"])
 
 
-@query("snapshot_counts")
-def snapshot_counts(spark, sf):
+def _laws(spark, sf):
     """Sources as laws and their documents as articles."""
     d = t(spark, sf, "documents")
-    rows = d.select(F.col("source").alias("name"), F.col("doc_id").alias("pos"), F.col("doc_id").cast("string").alias("no"), F.col("lang").alias("chapter"), F.md5("text").alias("content"), *(F.lit("").alias(c) for c in ("nature", "url", "last_amended", "effective_date")))
-    return audit.law_snapshot(rows)
+    return d.select(F.col("source").alias("name"), F.col("doc_id").alias("pos"), F.col("doc_id").cast("string").alias("no"), F.col("lang").alias("chapter"), F.md5("text").alias("content"), *(F.lit("").alias(c) for c in audit.META))
+
+
+SNAPSHOT = """
+sn AS (SELECT source AS name, count(*) AS num_articles, sha256('{"articles":[' || string_agg('{"chapter":"' || lang || '","content":"' || md5(text) || '","no":"' || doc_id || '"}', ',' ORDER BY doc_id) ||
+              '],"effective_date":"","last_amended":"","name":"' || source || '","nature":"","url":""}') AS content_sha256 FROM documents WHERE text IS NOT NULL GROUP BY source)
+"""
+
+
+@query("snapshot_counts", f"WITH {SNAPSHOT} SELECT name, '' AS nature, '' AS url, '' AS last_amended, '' AS effective_date, num_articles, content_sha256 FROM sn")
+def snapshot_counts(spark, sf):
+    return audit.law_snapshot(_laws(spark, sf))
+
+
+@query(
+    "snapshot_findings",
+    f"""WITH {SNAPSHOT}, f AS (SELECT name, unnest(CASE name WHEN 'src1' THEN ['articles'] WHEN 'src2' THEN ['hash'] WHEN 'src4' THEN ['last_amended'] WHEN 'src6' THEN ['missing'] ELSE [] END) AS problem FROM sn)
+    SELECT 'snapshot' AS artifact, name AS subject, problem FROM f UNION ALL SELECT 'snapshot', 'none', 'made_up' UNION ALL SELECT 'snapshot', NULL, 'article_count' FROM (SELECT 1 FROM sn WHERE name = 'src1')""",
+)
+def snapshot_findings(spark, sf):
+    """A snapshot that is published with a number, a hash and a date that are wrong, without one law and with one that isn't there, and whose
+    totals are those of before. What is published is made by Spark's own JSON, not by what checks it."""
+    laws = _laws(spark, sf).where("content IS NOT NULL")
+    item = F.concat(F.lit('{"chapter":"'), "chapter", F.lit('","content":"'), "content", F.lit('","no":"'), "no", F.lit('"}'))
+    lists = laws.groupBy("name").agg(F.count("*").alias("num_articles"), F.transform(F.array_sort(F.collect_list(F.struct("pos", item.alias("a")))), lambda x: x["a"]).alias("a"))
+    body = F.concat(F.lit('{"articles":['), F.array_join("a", ","), F.lit('],"effective_date":"","last_amended":"","name":"'), "name", F.lit('","nature":"","url":""}'))
+    whole = materialize(lists.select("name", "num_articles", F.sha2(F.encode(body, "UTF-8"), 256).alias("content_sha256")), "published")
+    other = whole.withColumn("content_sha256", F.when(F.col("name") == "src2", F.reverse("content_sha256")).otherwise(F.col("content_sha256")))
+    said = other.where("name <> 'src6'").unionByName(whole.where("name = 'src6'").withColumn("name", F.lit("none")))
+    said = said.withColumn("num_articles", F.col("num_articles") + F.when(F.col("name") == "src1", 1).otherwise(0)).withColumn("last_amended", F.when(F.col("name") == "src4", "20241301").otherwise("")).withColumn("effective_date", F.lit(""))
+    placed = said.withColumn("pos", F.row_number().over(Window.orderBy("name")) - 1)  # a row for each source
+    totals = whole.agg(F.lit("2024-01-31").alias("snapshot_date"), F.count("*").alias("law_count"), F.sum("num_articles").alias("article_count"))
+    return audit.snapshot_findings(placed, totals, _laws(spark, sf))
 
 
 @query("duplicate_and_missing_keys", "SELECT 'duplicate' AS problem, c_nationkey::BIGINT AS k FROM customer GROUP BY c_nationkey HAVING count(*) > 1 UNION ALL SELECT 'missing', o_custkey FROM (SELECT DISTINCT o_custkey FROM orders) WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)")
