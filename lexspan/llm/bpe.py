@@ -61,10 +61,7 @@ class Codec(Encoder):
         self.spelt = [p.encode() if decoder is None or any(c not in byte_of for c in p) else bytes(byte_of[c] for c in p) for p in self.piece]
 
     def letters(self, words: list[bytes]) -> list[bytes]:
-        """Words of letters alone: those of ASCII are one part each, and need no more than small letters."""
-        plain = iter(self.ascii_letters([w for w in words if w.isascii()]))
-        rest = iter(self.words([w for w in words if not w.isascii()]))
-        return [next(plain if w.isascii() else rest) for w in words]
+        return self.words(words)
 
     def words(self, words: list[bytes]) -> list[bytes]:
         out: list[bytes] = []

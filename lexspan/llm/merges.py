@@ -36,6 +36,11 @@ class Merges:
         key = np.array([vocab[a] * self.size + vocab[b] for a, b in pairs], np.int64)
         order = np.argsort(key)
         self.key, self.rank, self.product = key[order], order.astype(np.int32), np.array([vocab[m] for m in made], np.int32)
+        #: Ranks of pairs of bytes that no merge has touched, [1] with the second at a word's end.
+        self.first = np.full((2, 256, 256), NEVER)
+        for end, symbols in enumerate((self.inner, self.last)):
+            a, b = np.meshgrid(self.inner, symbols, indexing="ij")
+            self.first[end] = self.look(a.ravel(), b.ravel()).reshape(256, 256)
         #: Whether bytes a, b stand side by side in some token: [0] inside a word, [1] with b at its end.
         self.joint = np.zeros((2, 256, 256), bool)
         for token in vocab:
@@ -67,13 +72,14 @@ class Merges:
         start[1:] = last[:-1] | ~self.joint[last[1:].view(np.int8), raw[:-1], raw[1:]]
         return start
 
-    def merge(self, symbols: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all fragments, and the place of the first byte of each."""
+    def merge(self, raw: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all fragments, and the place of the first byte of each. raw, last: as cuts() takes them."""
+        start = self.cuts(raw, last)
+        symbols = np.where(last, self.last[raw], self.inner[raw])
         at, frag = np.arange(len(symbols)), np.cumsum(start) - 1
         done: list[tuple[np.ndarray, np.ndarray]] = []
         rank = np.full(len(symbols), NEVER)
-        pair = np.flatnonzero(~start[1:])
-        rank[pair] = self.look(symbols[pair], symbols[pair + 1])
+        rank[:-1] = np.where(start[1:], NEVER, self.first[last[1:].view(np.int8), raw[:-1], raw[1:]])
         for _ in range(ROUNDS):
             if not len(symbols):
                 break

@@ -17,7 +17,7 @@ import os
 import re
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Collection, Iterator, Sequence
 from dataclasses import dataclass
 from itertools import pairwise
 
@@ -60,7 +60,8 @@ class Format:
 
 _MARKS = rb"[!-&(-/:-@\[-`{-~]*"
 #: Letters that are letters to every version of Unicode, and stay one letter each when they are made small.
-_SURE = rb"(?:[a-zA-Z]|\xc3[\x80-\xb6\xb8-\xbf])"
+_SURE = rb"(?:[a-zA-Z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])"
+_LETTERS = re.compile(_SURE + rb"+")
 _EDGED = re.compile(rb"(%s)(%s(?:[a-zA-Z\x80-\xff]*%s)?)(%s)" % (_MARKS, _SURE, _SURE, _MARKS))
 
 
@@ -95,6 +96,7 @@ class Encoder:
             self.ends = np.zeros(self.model.get_vocab_size(), bool)
             self.ends[[i for t, i in self.model.get_vocab().items() if t.endswith(suffix)]] = True
         self.merges = self._merges()
+        self.stops = self.whole([",", "."])
         self.end = b"" if form.end_id is None else np.array([form.end_id], self.kind).tobytes()
 
     def _merges(self) -> Merges | None:
@@ -107,20 +109,21 @@ class Encoder:
 
     def merged(self, raw: np.ndarray, last: np.ndarray, owner: np.ndarray, n: int) -> list[bytes]:
         """Ids of n words. raw: their bytes; last: the byte ends one of the parts that a word is cut into; owner: each byte's word."""
-        symbols = np.where(last, self.merges.last[raw], self.merges.inner[raw])
-        ids, at = self.merges.merge(symbols, self.merges.cuts(raw, last))
+        ids, at = self.merges.merge(raw, last)
         ends = np.cumsum(np.bincount(owner[at], minlength=n)) * self.kind.itemsize
         data = ids.astype(self.kind).tobytes()
         return [data[a:b] for a, b in pairwise([0, *ends.tolist()])]
 
-    def ascii_letters(self, words: list[bytes]) -> list[bytes]:
-        """Words of ASCII letters alone, merged many at a time: no part of the tokenizer but its merges has anything to do with them."""
+    def sure_letters(self, words: list[bytes]) -> list[bytes]:
+        """Words of such letters alone as every version of Unicode knows, merged many at a time: no part of the tokenizer but its merges
+        has anything to do with them."""
         out: list[bytes] = []
         for i in range(0, len(words), MERGED):
             part = words[i : i + MERGED]
             n = np.array([len(w) for w in part], np.int64)
-            raw = b"".join(part)
-            raw = np.frombuffer(raw.lower() if self.form.lower_case else raw, np.uint8)
+            raw = np.frombuffer(b"".join(part), np.uint8)
+            if self.form.lower_case:  # A to Z, and their like after the byte C3
+                raw = raw + np.where((raw >= 65) & (raw <= 90) | np.append(False, raw[:-1] == 0xC3) & (raw < 0x9F), np.uint8(32), np.uint8(0))
             last = np.zeros(len(raw), bool)
             last[np.cumsum(n) - 1] = True
             out += self.merged(raw, last, np.repeat(np.arange(len(n)), n), len(n))
@@ -133,8 +136,8 @@ class Encoder:
             cls.made[cls, form] = cls(form)
         return cls.made[cls, form]
 
-    def taken(self, words: Iterable[bytes]) -> int:
-        return sum(len(w) + len(self.known[w]) + EACH for w in words)
+    def taken(self, words: Collection[bytes]) -> int:
+        return sum(map(len, words)) + sum(map(len, map(self.known.__getitem__, words))) + EACH * len(words)
 
     def forget(self) -> None:
         """Keeps the words met again, unless they are most of what may be remembered."""
@@ -182,29 +185,36 @@ class Encoder:
     def learn(self, words: set[bytes]) -> None:
         """Puts the ids of new words among the known ones. Letters with marks at their sides are put together from the ids of these,
         which most often are known."""
-        new, put = set(), []
-        apart = self.form.marks_apart
+        known, apart = self.known, self.form.marks_apart
+        new: set[bytes] = set()
+        stopped, put = [], []  # words with a full stop or comma; words of more or other parts
         for w in words:
             if w.isalpha():
                 new.add(w)
                 continue
             if apart and w[-1] in b",." and w[-2:-1].isalpha():
-                parts = [w[:-1], w[-1:]]
+                stopped.append(w)
+                if w[:-1] not in known:
+                    new.add(w[:-1])
+                continue
+            m = _EDGED.fullmatch(w) if apart and b"<|" not in w else None
+            if m and (m[1] or m[3]) and m[2].decode().isalpha():
+                put.append((w, parts := [x for x in m.groups() if x]))
+                new.update([x for x in parts if x not in known])
             else:
-                m = _EDGED.fullmatch(w) if apart and b"<|" not in w else None
-                parts = [x for x in m.groups() if x] if m and m[2].decode().isalpha() else [w]
-            if len(parts) > 1:
-                put.append((w, parts))
-            new.update(x for x in parts if x not in self.known)
+                new.add(w)
         plain, letters, listed = [], [], []
         for w in new:
-            (plain if self.merges and w.isalpha() else letters if self.ends is not None and w.decode().isalpha() else listed).append(w)
-        self.known.update(zip(plain, self.ascii_letters(plain), strict=True))
-        self.known.update(zip(letters, self.letters(letters), strict=True))
-        self.known.update(zip(listed, self.words(listed), strict=True))
+            (plain if self.merges and (w.isalpha() or _LETTERS.fullmatch(w)) else letters if self.ends is not None and w.decode().isalpha() else listed).append(w)
+        known.update(zip(plain, self.sure_letters(plain), strict=True))
+        known.update(zip(letters, self.letters(letters), strict=True))
+        known.update(zip(listed, self.words(listed), strict=True))
+        stops = dict(zip(b",.", self.stops, strict=True))
+        for w in stopped:
+            known[w] = known[w[:-1]] + stops[w[-1]]
         for w, parts in put:
-            self.known[w] = b"".join([self.known[x] for x in parts])
-        self.size += self.taken(new) + self.taken(w for w, _ in put)
+            known[w] = b"".join([known[x] for x in parts])
+        self.size += self.taken(new) + self.taken(stopped) + self.taken([w for w, _ in put])
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         if not self.form.by_word:

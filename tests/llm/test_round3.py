@@ -241,3 +241,16 @@ def test_mixing_comes_near_every_target_on_a_heavy_tail(spark):
     taken = {r.source: r.t for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).selectExpr("source", "copies * size AS x").groupBy("source").agg({"x": "sum"}).withColumnRenamed("sum(x)", "t").collect()}
     for r in got:
         assert abs(taken[r.source] - r["max(target)"]) < 0.01 * r["max(target)"], r.source
+
+
+def test_words_put_together_from_parts():
+    from lexspan.llm import tokens
+
+    marks = ["", "!", "...", "(", '"', "&&&", ",!!", "'", "'s", "-", "×", "÷", "ª", "1", "́", "<|", "|>"]
+    cores = ["a", "Queoi", "ÉÀÞß", "ñadoñ", "ÿ", "x×y", "İ", "中文", "é", "ΑΣ", "ŒUVRE", "z" * 300, "qzjx" * 40]
+    texts = [f"{a}{c}{b} {c} {b}{a}" for a in marks for c in cores for b in marks]
+    form = tokens.default_format()
+    encoder = tokens.Encoder(form)
+    want = [ids + encoder.end for ids in encoder.whole(texts)]
+    assert list(encoder.encode([t.encode() for t in texts])) == want
+    assert [list(tokens.Encoder(form).encode([t.encode()]))[0] for t in texts[::97]] == want[::97]
