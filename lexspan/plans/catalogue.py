@@ -236,23 +236,22 @@ def _units(spark, sf):
 
 @query(
     "structure_chunks",
-    """WITH u AS (SELECT 'd' || doc_id AS doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS text, unnest(range(0, len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents),
-    w AS (SELECT doc_id, source, i, text, bool_or(length(text) > 1000) OVER (PARTITION BY doc_id) AS long FROM u WHERE text <> ''),
-    s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS seq FROM w WHERE NOT long)
+    """WITH u AS (SELECT row_number() OVER () AS r, doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS text, unnest(range(0, len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents),
+    c AS (SELECT doc_id, source, i, CASE WHEN length(text) <= 1000 THEN [text] ELSE list_transform(range(0, (length(text) - 1) // 1000 + 1), lambda k: regexp_replace(substr(text, k * 1000 + 1, 1000), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')) END AS parts FROM u WHERE text <> ''),
+    w AS (SELECT doc_id, source, i, unnest(parts) AS text, unnest(range(0, len(parts))) AS k FROM c),
+    s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1 AS seq FROM w WHERE text <> '')
     SELECT doc_id || '#s' || CASE WHEN seq < 10000 THEN lpad(seq::VARCHAR, 4, '0') ELSE seq::VARCHAR END AS chunk_id, 'A' || i AS article_label, seq::INT AS seq,
-           sha256(source || CASE WHEN i > 0 THEN ' body' ELSE '' END || ' A' || i || chr(10) || text) AS text_sha256 FROM s""",
+           sha256(source || CASE WHEN i > 0 THEN ' body' ELSE '' END || ' A' || i || chr(10) || text) AS text_sha256 FROM (SELECT * REPLACE ('d' || doc_id AS doc_id) FROM s)""",
 )
 def structure_chunks(spark, sf):
-    """Of documents whose paragraphs are all short, which SQL can express: a check. The whole job is structure_chunks_all."""
-    units = _units(spark, sf)
-    long = units.where(F.char_length("text") > chunking.MAX_CHARS).select("doc_id").distinct()
-    chunks = chunking.structure_chunks(units.join(long, "doc_id", "left_anti"))
-    return chunks.select("chunk_id", "article_label", "seq", F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"))
+    """Of all documents. The SQL packs slices: the tables have no full-width marks at which a paragraph would part into sentences; a test
+    compares with a plain packer where there are such."""
+    return chunking.structure_chunks(_units(spark, sf)).select("chunk_id", "article_label", "seq", F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"))
 
 
 @query("structure_chunks_all")
 def structure_chunks_all(spark, sf):
-    """Of all documents. SQL can't pack sentences; a test compares with a plain packer."""
+    """The chunks' contents; a test compares with a plain packer."""
     return chunking.structure_chunks(_units(spark, sf)).select("chunk_id", "doc_id", "seq", "article_label", "content")
 
 
