@@ -98,10 +98,17 @@ def bm25_corpus_stats(spark, sf):
     return stats.crossJoin(F.broadcast(terms))
 
 
-@query("bm25_idf", f"WITH {IDF} SELECT term, df, round(idf, 9) AS idf FROM idf")
+@query(
+    "bm25_idf",
+    f"""WITH each AS (SELECT unnest(list_distinct({TOK})) AS term FROM documents), df AS (SELECT term, count(*) AS df FROM each GROUP BY term), n AS (SELECT count(*) AS n FROM documents),
+    raw AS (SELECT term, df, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw FROM df, n), mean AS (SELECT avg(raw) AS mean FROM raw)
+    SELECT term, df, round(CASE WHEN raw < 0 THEN 0.25::DOUBLE * mean ELSE raw END, 9) AS idf FROM raw, mean""",
+)
 def bm25_idf(spark, sf):
-    docs = _tokens(spark, sf)
-    return lexical.inverse_frequencies(lexical.document_frequencies(docs), lexical.corpus_stats(docs)).withColumn("idf", F.round("idf", 9))
+    """Tokens are read once, by the counts, which are what is written."""
+    docs = lexical.tokenized(t(spark, sf, "documents"), "doc_id", "text")
+    counts = materialize(lexical.document_frequencies(docs), "frequencies")
+    return lexical.inverse_frequencies(counts, docs.agg(F.count("*").alias("n_docs"))).withColumn("idf", F.round("idf", 9))
 
 
 @query("hashed_tf_vectors", f"WITH {BM25}, {VECTORS} SELECT doc, bucket, v::BIGINT AS value FROM hd")
