@@ -1,11 +1,11 @@
-"""Registered queries of stored lexical indexes and their DuckDB SQL."""
+"""Registered queries of stored indexes, lexical and of vectors, and their DuckDB SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexspan.operators import lexical, pruned
-from lexspan.plans.catalogue import BM25, _tokens, query, t
+from lexspan.operators import lexical, nearest, pruned
+from lexspan.plans.catalogue import BM25, NEAR, _tokens, query, t
 from lexspan.scratch import scratch_path
 from lexspan.streaming.lexical import LexicalStream
 
@@ -34,3 +34,13 @@ def bm25_streamed_topk(spark, sf):
     index.merge(d.where("source = 'src3'").select(F.col("doc_id").alias("doc"), F.lit(None).cast("string").alias("text"), F.lit(3).alias("version")), "2")
     index.merge(half, "3")
     return index.search(lexical.tokenized(t(spark, sf, "benchmark"), "item_id", "text"), 10, digits=6)
+
+
+@query("cosine_pivot_topk", f"WITH {NEAR} SELECT qid, doc, score, rank FROM near")
+def cosine_pivot_topk(spark, sf):
+    """The rows of cosine_topk from vectors stored by pivot, of which a query reads the cells that can hold its neighbours."""
+    e = t(spark, sf, "embeddings")
+    path = scratch_path(spark, "pivots")
+    nearest.PivotIndex.save(e.select(F.col("vec_id").alias("doc"), F.col("embedding").alias("vector")), path)
+    queries = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+    return nearest.PivotIndex.load(spark, path).search(queries, 10, digits=6)

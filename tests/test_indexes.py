@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lexspan.operators import lexical, pruned
+from lexspan.operators import lexical, nearest, pruned, vectors
 from lexspan.streaming.lexical import LexicalStream
 
 
@@ -99,3 +99,40 @@ def test_streamed_ties_nulls_and_order(spark, tmp_path):
             index.merge(spark.createDataFrame(rows[k], "doc long, text string, version int").selectExpr("*", "1 AS sign", "2 AS hash", "3 AS live"), str(k))
         seen.append((sorted(map(str, index.postings().collect())), sorted(map(str, index.frequencies().collect())), index.stats().first()))
     assert seen[0] == seen[1] == seen[2] and seen[0][2].n_docs == 3
+
+
+# --- vectors by pivot ---
+
+
+def _vectors(rng, n, dims, centres):
+    import numpy as np
+
+    g = np.random.default_rng(rng.randint(0, 10**6))
+    c = g.normal(size=(centres, dims)) * 4
+    x = c[g.integers(0, centres, n)] + g.normal(size=(n, dims)) * 0.3
+    return [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+
+
+@pytest.mark.parametrize("settings", [{}, {"pivots": 3, "rings": 5, "cell": 20}, {"pivots": 1, "rings": 1, "cell": 7}])
+def test_pivot_search_equals_a_whole_scan(spark, tmp_path, settings):
+    rng = random.Random(7)
+    rows = _vectors(rng, 900, 12, 30) + [(1000 + i, [1.0] + [0.0] * 11) for i in range(60)] + [(2000, [0.0] * 12), (2001, [0.0] * 12), (2002, [float("nan")] + [1.0] * 11)]
+    asked = [(q, v) for q, v in rows[:900:45]] + [(5000, [-1.0] * 12), (5001, [0.0] * 12), (5002, [2.0] + [0.0] * 11)]
+    kind = "vector array<double>"
+    docs, queries = spark.createDataFrame(rows, f"doc long, {kind}").repartition(4), spark.createDataFrame(asked, f"qid long, {kind}")
+    nearest.PivotIndex.save(docs, str(tmp_path / "p"), **settings)
+    got, counted = nearest.PivotIndex.load(spark, str(tmp_path / "p")).searched(queries, 10, digits=6)
+    assert _rows(got) == _rows(vectors.cosine_top_k(docs, queries, k=10, digits=6))
+    n = {r.qid: (r.read, r.vectors) for r in counted.collect()}
+    assert all(a <= b == len(rows) for a, b in n.values())
+    if not settings:  # of 30 clusters a query reads few
+        assert sum(n[q][0] for q, _ in asked[:20]) < 0.4 * sum(n[q][1] for q, _ in asked[:20])
+
+
+def test_pivot_index_edges(spark, tmp_path):
+    kind = "vector array<float>"
+    queries = spark.createDataFrame([(1, [1.0, 0.0])], f"qid long, {kind}")
+    for name, rows in (("none", []), ("zeros", [(1, [0.0, 0.0]), (2, [0.0, 0.0])])):
+        nearest.PivotIndex.save(spark.createDataFrame(rows, f"doc long, {kind}"), str(tmp_path / name))
+        got = nearest.PivotIndex.load(spark, str(tmp_path / name)).search(queries, 5).collect()
+        assert [(r.doc, r.score) for r in got] == [(d, 0.0) for d, _ in rows]
