@@ -254,3 +254,39 @@ def test_words_put_together_from_parts():
     want = [ids + encoder.end for ids in encoder.whole(texts)]
     assert list(encoder.encode([t.encode() for t in texts])) == want
     assert [list(tokens.Encoder(form).encode([t.encode()]))[0] for t in texts[::97]] == want[::97]
+
+
+# --- edges of earlier operators ---
+
+
+def test_pipeline_over_nothing_and_clashing_columns(spark, tmp_path, sf):
+    import corpus_pipeline
+
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, docs_ in (("none", d.limit(0)), ("some", clashing(d.orderBy("doc_id").limit(40)).selectExpr("*", "1 AS _row", "2 AS copies", "3 AS rate", "4 AS _mix_size"))):
+        docs_.write.parquet(str(tmp_path / name / "documents.parquet"))
+        for t in ("labels", "benchmark"):
+            spark.read.parquet(f"{sf}/{t}.parquet").write.parquet(str(tmp_path / name / f"{t}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+    rows = corpus_pipeline.run(spark, str(tmp_path / "some")).collect()
+    assert rows and set(rows[0].asDict()) == {"doc_id", "start", "n_tokens", "ids_crc32"}
+
+
+def test_toxicity_of_nothing_and_repeated_rows(spark, sf):
+    from lexspan.llm import toxicity
+
+    d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.fit(d, labels)
+    assert toxicity.score(d.limit(0), model).count() == 0
+    some = clashing(d.orderBy("doc_id").limit(12)).drop("score")
+    twice = toxicity.score(some.unionByName(some), model).select("doc_id", "score").collect()
+    assert len(twice) == 24 and len({(r.doc_id, r.score) for r in twice}) == 12
+
+
+def test_licences_of_repeated_rows_and_very_long_texts(spark):
+    from lexspan.llm import licenses
+
+    template = next(iter(licenses.TEMPLATES.values()))
+    d = docs(spark, [None, "", "word " * 30_000 + template, template] * 2).selectExpr("doc_id % 4 AS doc_id", "text", "lang", "source", "n_chars")
+    rows = [str(r) for r in licenses.find_licenses(clashing(d)).collect()]
+    assert len(rows) == 8 and all(rows.count(r) == 2 for r in rows) and len(set(rows)) == 4
