@@ -6,6 +6,9 @@ Units have doc_id, unit_idx (their order in the document), doc_title, article_no
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,13 +64,64 @@ def _chunks(rows: DataFrame, kind: str, head: Column) -> DataFrame:
     )
 
 
-def fixed_chunks(units: DataFrame, *, size: int = CHUNK_SIZE, overlap: int = OVERLAP, block: int = fixed.BLOCK) -> DataFrame:
-    """Sentences of a document packed up to `size`; the next chunk begins with the last whole sentences of `overlap` or more."""
+def fixed_chunks_by_blocks(units: DataFrame, *, size: int = CHUNK_SIZE, overlap: int = OVERLAP, block: int = fixed.BLOCK) -> DataFrame:
+    """The rows of fixed_chunks() for documents of any length, each cut by many tasks (see fixed.py)."""
     each = units.select("doc_id", "unit_idx", "doc_title", "article_no", "chapter", *PROVENANCE, F.posexplode(sentences(F.col("text"), size)).alias("part", "sentence"))
     rows = fixed.cut(each, size=size, overlap=overlap, carried=("chapter", *PROVENANCE), block=block)
     return _chunks(rows, "f", F.col("doc_title"))
 
 
+def fixed_chunks(units: DataFrame, *, size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> DataFrame:
+    """Sentences of a document packed up to `size`; the next chunk begins with the last whole sentences of `overlap` or more.
+
+    What a chunk takes depends on the one before, so a document is a fold; documents are dealt over the cluster, sorted, and
+    each streams through its task with no more than a chunk of it held.
+    """
+    if overlap >= size:
+        raise ValueError("the overlap must be smaller than the chunk")
+    each = units.select("doc_id", "unit_idx", "doc_title", "article_no", "chapter", *PROVENANCE, F.posexplode(sentences(F.col("text"), size)).alias("part", "sentence"))
+    dealt = each.repartition("doc_id").sortWithinPartitions("doc_id", "unit_idx", "part")
+    kind = units.schema["doc_id"].dataType.simpleString()
+    made = "doc_id {0}, doc_title string, articles array<string>, chapter string, seq int, content string, {1}".format(kind, ", ".join(f"{c} string" for c in PROVENANCE))
+    names = ["doc_id", "doc_title", "articles", "chapter", "seq", "content", *PROVENANCE]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        doc, title, seq, held, fresh = None, "", 0, [], 0
+
+        def made_of() -> dict | None:
+            body = "".join(r.sentence for r in held).strip()
+            if not body:
+                return None
+            articles = list(dict.fromkeys(r.article_no for r in held if r.article_no))
+            return dict(zip(names, [doc, title, articles, held[0].chapter, seq, body, *(getattr(held[0], c) for c in PROVENANCE)], strict=True))
+
+        for b in batches:
+            out = []
+            for r in b.itertuples(index=False):
+                if r.doc_id != doc:
+                    if fresh and (row := made_of()):
+                        out.append(row)
+                    doc, title, seq, held, fresh = r.doc_id, r.doc_title, 0, [], 0
+                elif fresh and sum(len(x.sentence) for x in held) + len(r.sentence) > size:
+                    if row := made_of():
+                        out.append(row)
+                        seq += 1
+                    tail, total = len(held), 0
+                    while tail and total < overlap:
+                        tail -= 1
+                        total += len(held[tail].sentence)
+                    held, fresh = held[tail:], 0
+                held.append(r)
+                fresh += 1
+            if out:
+                yield pd.DataFrame(out, columns=names)
+        if fresh and (row := made_of()):
+            yield pd.DataFrame([row], columns=names)
+
+    rows = dealt.mapInPandas(run, made)
+    return _chunks(rows, "f", F.col("doc_title"))
+
+
 def chunked(units: DataFrame, strategy: str, *, size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> DataFrame:
     if strategy == "structure":
         return structure_chunks(units)

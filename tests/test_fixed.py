@@ -46,7 +46,7 @@ def test_fixed_chunks_equal_a_plain_fold(spark, size, overlap, block):
     rng = random.Random(size)
     docs = {f"d{k}": _document(rng, rng.choice([0, 1, 3, 30])) for k in range(25)} | {None: _document(rng, 20), "long": _document(rng, 400), "wide": [(0, "A", "c", "x。" + " " * 500 + "y。z")], "blank": [(0, "A", "c", "  \n ")]}
     rows = [(i, d, "T", a, c, t, "p", "", "", "") for d, us in docs.items() for i, a, c, t in us]
-    got = chunking.fixed_chunks(spark.createDataFrame(rows, UNITS).repartition(7), size=size, overlap=overlap, block=block).collect()
+    got = chunking.fixed_chunks_by_blocks(spark.createDataFrame(rows, UNITS).repartition(7), size=size, overlap=overlap, block=block).collect()
     found = {}
     for r in got:
         found.setdefault(r.doc_id, []).append((r.seq, r.content, r.articles, r.chapter))
@@ -78,4 +78,4 @@ def test_a_document_of_a_million_sentences_is_cut_by_many_tasks(spark):
 
 
 def test_fixed_chunks_of_nothing(spark):
-    assert chunking.fixed_chunks(spark.createDataFrame([], UNITS)).count() == 0
+    assert chunking.fixed_chunks_by_blocks(spark.createDataFrame([], UNITS)).count() == 0
