@@ -1,6 +1,7 @@
-"""A lexical index under a stream of documents. Each batch appends signed rows: a new version of a document adds its postings, its length
-and its terms' frequencies, and takes out those of the version that it replaces, so sums over batches are always those of the live
-documents alone, and an old version that comes late changes nothing. fold() adds all batches up into one.
+"""A lexical index under a stream of documents. Each batch appends signed rows: a new version of a document adds its length and its terms'
+frequencies, and takes out those of the version that it replaces, so sums over batches are always those of the live
+documents alone, and an old version that comes late changes nothing. Terms are kept by document and version, a row each, and count while
+that version is live; versions are told apart by keys, and texts move once, if they are taken. fold() adds all batches up into one.
 
 A batch is a folder of its own, whose last file says that it is complete; only complete batches count. One that is tried again is
 made anew from what was there before it. There is one writer.
@@ -18,11 +19,14 @@ from pyspark.sql import functions as F
 
 from lexspan.operators import lexical
 from lexspan.functions.text import word_tokens
+from lexspan.scratch import materialize
 
-#: Signed rows: of live versions, of postings, of terms' document frequencies.
+#: Signed rows of live versions; versions' terms; signed sums of terms' document frequencies.
 STATE = "doc {0}, version long, hash string, dl long, live boolean, sign int"
-POSTINGS = "term string, doc {0}, tf long, dl long, sign int"
+TERMS = "doc {0}, version long, hash string, terms array<string>, tfs array<int>, dl long"
 COUNTS = "term string, df long"
+#: A version's key without nulls.
+KEYS = ("_at", "_null", "_number", "_text")
 
 
 class LexicalStream:
@@ -59,38 +63,46 @@ class LexicalStream:
         version = F.coalesce(F.col("version").cast("long"), F.lit(0).cast("long")) if "version" in docs.columns else F.lit(0).cast("long")
         hashed = F.when(F.col("text").isNull(), "").otherwise(F.sha2(F.encode(F.col("text"), "UTF-8"), 256)).alias("hash")
         each = docs.select(F.col("doc").cast(self.kind).alias("doc"), version.alias("version"), hashed, "text")
-        best = each.groupBy("doc").agg(F.max(F.struct("version", "hash", "text")).alias("d"))
-        own = best.select("doc", "d.version", "d.text", "d.hash", F.col("d.text").isNotNull().alias("live"))
+        best = each.groupBy("doc").agg(F.max(F.struct("version", "hash")).alias("d"))
+        own = best.select("doc", "d.version", "d.hash", (F.col("d.hash") != "").alias("live"))
         old = self._live(name).select(F.col("doc").alias("_doc"), F.col("version").alias("_version"), F.col("hash").alias("_hash"), F.col("dl").alias("_dl"), F.col("live").alias("_live"))
-        both = own.join(old, F.col("doc").eqNullSafe(F.col("_doc")), "left")
+        both = own.join(old, F.col("doc").eqNullSafe(F.col("_doc")), "left").drop("_doc")
         later = F.col("_version").isNull() | (F.struct("version", "hash") > F.struct(F.col("_version").alias("version"), F.col("_hash").alias("hash")))
-        taken = both.where(later).withColumn("tokens", F.when(F.col("live"), self.tokens(F.col("text"))).otherwise(F.array().cast("array<string>")))
-        at = f"{self.root}/{name}"
-        replaced = taken.where(F.col("_version").isNotNull())
-        rows = taken.select("doc", "version", "hash", F.size("tokens").cast("long").alias("dl"), "live", F.lit(1).alias("sign"), "tokens")
-        self._write(rows.select("doc", "version", "hash", "dl", "live", "sign").unionByName(
-            replaced.select("doc", F.col("_version").alias("version"), F.col("_hash").alias("hash"), F.col("_dl").alias("dl"), F.col("_live").alias("live"), F.lit(-1).alias("sign"))
-        ), f"{at}/state")
-        added = lexical.postings(rows.select("doc", "tokens")).select("term", "doc", F.col("tf").cast("long").alias("tf"), F.col("dl").cast("long").alias("dl"), F.lit(1).alias("sign"))
-        gone = self._postings(name).join(replaced.select(F.col("doc").alias("_gone")), F.col("doc").eqNullSafe(F.col("_gone")), "left_semi").withColumn("sign", F.lit(-1))
-        self._write(added.unionByName(gone), f"{at}/postings")
-        written = self.spark.read.schema(POSTINGS.format(self.kind)).parquet(f"{at}/postings")
-        self._write(written.groupBy("term").agg(F.sum("sign").cast("long").alias("df")).where("df <> 0"), f"{at}/counts")
+        taken = materialize(both.where(later), "stream-taken")
+        at, live = f"{self.root}/{name}", taken.where("live")
+        # of an empty batch no text is moved
+        texts = self._of(each, live).dropDuplicates([*KEYS]) if not live.isEmpty() else each.limit(0)
+        made = lexical.counted(texts.select("doc", "version", "hash", self.tokens(F.col("text")).alias("tokens")))
+        self._write(made, f"{at}/terms")
+        written = self.spark.read.schema(TERMS.format(self.kind)).parquet(f"{at}/terms")
+        size = written.select(F.col("doc").alias("_doc"), F.col("dl").alias("_size"))
+        rows = taken.join(size, F.col("doc").eqNullSafe(F.col("_doc")), "left").select("doc", "version", "hash", F.coalesce("_size", F.lit(0).cast("long")).alias("dl"), "live", F.lit(1).alias("sign"))
+        replaced = taken.where(F.col("_version").isNotNull()).select("doc", F.col("_version").alias("version"), F.col("_hash").alias("hash"), F.col("_dl").alias("dl"), F.col("_live").alias("live"), F.lit(-1).alias("sign"))
+        self._write(rows.unionByName(replaced), f"{at}/state")
+        signed = written.select(F.explode("terms").alias("term"), F.lit(1).alias("sign"))
+        if not (gone := replaced.where("live")).isEmpty():
+            signed = signed.unionByName(self._of(self._read("terms", TERMS, name), gone).select(F.explode("terms").alias("term"), F.lit(-1).alias("sign")))
+        self._write(signed.groupBy("term").agg(F.sum("sign").cast("long").alias("df")).where("df <> 0"), f"{at}/counts")
+
+    @staticmethod
+    def _of(rows: DataFrame, keys: DataFrame) -> DataFrame:
+        """rows of these versions (doc, version, hash), with the columns KEYS."""
+        keyed = lambda df: df.withColumns({"_at": F.coalesce(F.col("doc").cast("string"), F.lit("")), "_null": F.col("doc").isNull(), "_number": F.col("version"), "_text": F.col("hash")})
+        return keyed(rows).join(keyed(keys).select(*KEYS), [*KEYS], "left_semi")
 
     @staticmethod
     def _write(rows: DataFrame, path: str) -> None:
         rows.write.mode("overwrite").parquet(path)
 
-    def _postings(self, without: str | None = None) -> DataFrame:
-        signed = self._read("postings", POSTINGS, without)
-        return signed.groupBy("term", "doc", "tf", "dl").agg(F.sum("sign").alias("n")).where("n > 0").drop("n")
+    def _terms(self) -> DataFrame:
+        """doc, version, hash, terms, tfs, dl of live documents."""
+        return self._of(self._read("terms", TERMS), self._live().where("live")).drop(*KEYS)
 
     def postings(self, terms: DataFrame | None = None) -> DataFrame:
         """term, doc, tf, dl of live documents; only of these terms, if given."""
-        signed = self._read("postings", POSTINGS)
-        if terms is not None:
-            signed = signed.join(terms, "term", "left_semi")
-        return signed.groupBy("term", "doc", "tf", "dl").agg(F.sum("sign").alias("n")).where("n > 0").drop("n")
+        each = self._terms().select("doc", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("x"))
+        each = each.select(F.col("x.terms").alias("term"), "doc", F.col("x.tfs").cast("long").alias("tf"), "dl")
+        return each if terms is None else each.join(terms, "term", "left_semi")
 
     def frequencies(self) -> DataFrame:
         """term, df."""
@@ -104,7 +116,7 @@ class LexicalStream:
     def search(self, queries: DataFrame, k: int = 20, *, digits: int | None = None) -> DataFrame:
         """lexical.bm25 over the live documents. queries: lexical.tokenized()."""
         wanted = lexical.query_terms(queries)
-        return lexical.scored(self.postings(wanted.select("term").distinct()), self.frequencies(), self.stats(), wanted, k=k, digits=digits)
+        return lexical.scored(self._terms(), self.frequencies(), self.stats(), wanted, k=k, digits=digits)
 
     def fold(self) -> None:
         """Writes the sums of all batches as one batch and deletes those; readers that began before may have to begin again."""
@@ -112,7 +124,7 @@ class LexicalStream:
             return
         at = f"{self.root}/batch-{uuid.uuid4().hex}"
         self._write(self._live().withColumn("sign", F.lit(1)), f"{at}/state")
-        self._write(self.postings().withColumn("sign", F.lit(1)), f"{at}/postings")
+        self._write(self._terms(), f"{at}/terms")
         self.spark.createDataFrame([(n,) for n in old], "name string").write.json(f"{at}/replaces")
         self._write(self.frequencies(), f"{at}/counts")  # from here on it counts, in place of the others
         fs, path = self._fs()
