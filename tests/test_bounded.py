@@ -27,3 +27,28 @@ def test_a_batch_that_changes_nothing_writes_no_terms(spark, tmp_path):
     index.merge(spark.createDataFrame([(1, "old", 1)], "doc long, text string, version int"), "1")
     assert spark.read.parquet(str(tmp_path / "i/batch-1/terms")).count() == 0
     assert sorted(map(str, index.postings().collect())) == sorted(["Row(term='a', doc=1, tf=2, dl=3)", "Row(term='b', doc=1, tf=1, dl=3)", "Row(term='c', doc=None, tf=1, dl=1)"])
+
+
+def test_a_task_hands_on_k_rows_a_query_whatever_ties(spark):
+    rows = [(i, [1.0, 0.0]) for i in range(3000)] + [(5000 + i, [1.0, i / 10]) for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc long, vector array<double>").orderBy(F.desc("doc")).coalesce(1)
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "qid long, vector array<double>")
+    part = vectors._block(docs, queries, 2, 0, 2000, 10, 6)
+    assert part.count() == 20 and sorted(r.doc for r in part.where("qid = 1").collect()) == list(range(10))
+
+
+def test_best_equals_a_whole_sort():
+    import numpy as np
+    import pyarrow as pa
+
+    g = np.random.default_rng(1)
+    for digits, positive, k in ((None, False, 3), (1, False, 7), (1, True, 5), (2, True, 400)):
+        scores, docs = np.round(g.normal(size=(6, 300)), 2), g.permutation(300)
+        scores[5] = -1
+        held = lexical.Best(6, k, digits, positive=positive)
+        for at in range(0, 300, 40):
+            held.add(scores[:, at : at + 40], pa.array(docs[at : at + 40]))
+        got = [tuple(r.values()) for b in held.rows(list(range(6)), pa.int64()) for r in b.to_pylist()]
+        s = scores if digits is None else np.round(scores, digits)
+        want = [(q, d, s[q, c]) for q in range(6) for d, c in [(int(docs[c]), c) for c in sorted(range(300), key=lambda c: (-s[q, c], docs[c])) if s[q, c] > 0 or not positive][:k]]
+        assert got == want
