@@ -1,10 +1,8 @@
 """What tasks hold, hand on and shuffle is bounded by queries and blocks, not by the input."""
 
-import random
-
 from pyspark.sql import functions as F
 
-from lexspan.operators import lexical, vectors
+from lexspan.operators import lexical, segment, vectors
 from lexspan.streaming.lexical import LexicalStream
 
 
@@ -52,3 +50,15 @@ def test_best_equals_a_whole_sort():
         s = scores if digits is None else np.round(scores, digits)
         want = [(q, d, s[q, c]) for q in range(6) for d, c in [(int(docs[c]), c) for c in sorted(range(300), key=lambda c: (-s[q, c], docs[c])) if s[q, c] > 0 or not positive][:k]]
         assert got == want
+
+
+def test_a_worker_remembers_runs_by_their_characters(spark):
+    words = spark.createDataFrame([("ab", 3), ("c", 2)], "word string, count long")
+    made = segment.segmenter(words, hidden=False, runs="[a-z]+", cut="[a-z]+", lower=True, stop=frozenset())
+    name = lambda i: "".join(chr(97 + int(d)) for d in f"{i:010d}")
+    for at in range(0, 100_000, 5000):
+        assert made.segment([name(i) for i in range(at, at + 5000)])[0] == ["ab" if w == "ab" else w for w in made.paths([name(at)])[0]]
+    assert sum(map(len, made.memory)) <= segment.REMEMBERED + 50_000
+    texts = [None, "", "abc" * 3] + ["abc ab " * 30_000] * 3  # a batch in several parts
+    got = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(segment.dictionary_tokens(made, spark)(F.col("t")).alias("x"))
+    assert [r.n for r in got.select(F.size("x").alias("n")).collect()] == [0, 0, 6] + [90_000] * 3
