@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MILLION = 1_000_000
+#: Rows of a price list that is sent whole.
+MOST_PRICES = 100_000
 
 
 def cost(input_tokens: Column, output_tokens: Column, input_per_million: str, output_per_million: str) -> Column:
@@ -18,8 +20,11 @@ def cost(input_tokens: Column, output_tokens: Column, input_per_million: str, ou
 
 def priced(traces: DataFrame, prices: DataFrame, by: str = "provider") -> DataFrame:
     """traces with cost by a price list (by, input_price, output_price: decimal(12,6) a million tokens); one without a price fails the
-    job. A price list has a row for each provider, and Spark decides how it travels."""
-    priced_ = traces.drop("cost").join(prices.select(by, "input_price", "output_price"), by, "left")
+    job. A price list has a row for each provider; up to MOST_PRICES of them go to the traces, which stay where they are, as all traces of
+    a few providers would else meet in as few tasks."""
+    listed = prices.select(by, "input_price", "output_price")
+    few = listed.limit(MOST_PRICES + 1).count() <= MOST_PRICES
+    priced_ = traces.drop("cost").join(F.broadcast(listed) if few else listed, by, "left")
     whole = F.col("input_tokens").cast("decimal(12,0)") * F.col("input_price") + F.col("output_tokens").cast("decimal(12,0)") * F.col("output_price")
     exact = (whole / F.lit(MILLION).cast("decimal(7,0)")).cast("decimal(34,13)")
     known = F.assert_true(F.col("input_price").isNotNull() & F.col("output_price").isNotNull() | (F.spark_partition_id() < 0), F.concat(F.lit("no price for "), F.coalesce(F.col(by).cast("string"), F.lit("null"))))

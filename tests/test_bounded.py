@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lexspan.operators import lexical, segment, vectors
+from lexspan.operators import accounting, lexical, segment, vectors
 from lexspan.streaming.lexical import LexicalStream
 
 
@@ -62,3 +62,11 @@ def test_a_worker_remembers_runs_by_their_characters(spark):
     texts = [None, "", "abc" * 3] + ["abc ab " * 30_000] * 3  # a batch in several parts
     got = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(segment.dictionary_tokens(made, spark)(F.col("t")).alias("x"))
     assert [r.n for r in got.select(F.size("x").alias("n")).collect()] == [0, 0, 6] + [90_000] * 3
+
+
+def test_prices_go_to_the_traces(spark):
+    traces = spark.createDataFrame([("a", 1_000_000, 0)] * 4 + [("b", 0, 1_000_000)], "provider string, input_tokens long, output_tokens long")
+    prices = spark.createDataFrame([("a", "1.5", "0"), ("b", "0", "2")], "provider string, i string, o string").selectExpr("provider", "cast(i as decimal(12,6)) input_price", "cast(o as decimal(12,6)) output_price")
+    got = accounting.priced(traces, prices)
+    assert "Exchange hashpartitioning" not in _plan(got) and "SortMergeJoin" not in _plan(got)
+    assert sorted(float(r.cost) for r in got.collect()) == [1.5] * 4 + [2.0]
