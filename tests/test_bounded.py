@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from lexspan.operators import accounting, lexical, pruned, segment, vectors
+from lexspan.plans import catalogue
 from lexspan.streaming.lexical import LexicalStream
 
 
@@ -80,3 +81,13 @@ def test_pruned_search_shuffles_no_row_for_each_query_document_and_term(spark, t
     assert "sum(" not in _plan(found) and "Generate" not in _plan(found)
     assert {r.qid: r.doc for r in found.where("rank = 1").collect()} == {q: q for q in range(5)}
     assert index.maxima.count() == index.postings.select("block").distinct().count()
+
+
+def test_gold_is_what_holds_a_question_even_inside_words(spark, tmp_path):
+    texts = [None, "", "xfoo bar baz quxy", "Foo bar baz qux", "foo bar baz-qux", "?!", "one", "a b c d e f g h"]
+    asked = ["foo bar baz qux", "ne", "", "?", "b c d e f g", None, "zz yy xx ww"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(asked)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = catalogue._gold(spark, str(tmp_path))
+    assert "SortMergeJoin" not in _plan(got) and "Generate" not in _plan(got)
+    assert sorted(map(tuple, got.collect())) == sorted((q, d) for q, a in enumerate(asked) for d, x in enumerate(texts) if a is not None and x is not None and a in x)
