@@ -33,8 +33,8 @@ from lexspan.llm.merges import Merges
 SEQUENCE = 2048
 #: Sequences in a record batch.
 BATCH = 64
-#: Bytes of words and ids, with what a dictionary takes for each, that a Python worker remembers. Beyond that it forgets what it
-#: hasn't met again since it last did, which most words of a corpus aren't.
+#: Bytes of words and ids, with what a dictionary takes for each, that a Python worker remembers. When half of that is full it forgets
+#: what it hasn't met since the half before, which most words of a corpus aren't.
 REMEMBERED, EACH = 64 << 20, 160
 #: New words that are encoded together; bytes of texts whose words are looked up together.
 TOGETHER, CHUNK = 500, 1 << 20
@@ -62,6 +62,9 @@ _MARKS = rb"[!-&(-/:-@\[-`{-~]*"
 #: Letters that are letters to every version of Unicode, and stay one letter each when they are made small.
 _SURE = rb"(?:[a-zA-Z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])"
 _LETTERS = re.compile(_SURE + rb"+")
+#: The same by byte: marks; letters of one byte, and the second bytes of those of two; what ends a word, or a text among others.
+_MARK, _LETTER, _SECOND, _PAST = (np.array([bool(re.fullmatch(r, bytes([b]))) for b in range(256)]) for r in (_MARKS, rb"[a-zA-Z]", rb"[\x80-\x96\x98-\xb6\xb8-\xbf]", rb"[\x09-\x0d \xff]"))
+_MARK_BYTES = bytes(np.flatnonzero(_MARK).tolist())
 _EDGED = re.compile(rb"(%s)(%s(?:[a-zA-Z\x80-\xff]*%s)?)(%s)" % (_MARKS, _SURE, _SURE, _MARKS))
 
 
@@ -86,7 +89,7 @@ class Encoder:
         self.model, self.form = Tokenizer.from_file(form.tokenizer), form
         self.kind = np.dtype("<u2" if max(self.model.get_vocab_size(), (form.end_id or 0) + 1) <= 1 << 16 else "<u4")
         self.known: dict[bytes, bytes] = {}
-        self.again: set[bytes] = set()
+        self.before: dict[bytes, bytes] = {}
         self.size = 0
         special = sorted((i, t.content) for i, t in self.model.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.normalized))
         self.parting = (special[0][1], special[0][0]) if special else None
@@ -140,11 +143,8 @@ class Encoder:
         return sum(map(len, words)) + sum(map(len, map(self.known.__getitem__, words))) + EACH * len(words)
 
     def forget(self) -> None:
-        """Keeps the words met again, unless they are most of what may be remembered."""
-        self.known = {w: self.known[w] for w in self.again}
-        self.size, self.again = self.taken(self.known), set()
-        if self.size > REMEMBERED * 3 // 4:
-            self.known, self.size = {}, 0
+        """What is known goes to the words of before, which go but for those that were met again and so are among the known."""
+        self.before, self.known, self.size = self.known, {}, 0
 
     def whole(self, texts: Sequence[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.model.encode_batch_fast(list(texts), add_special_tokens=False)]
@@ -186,55 +186,75 @@ class Encoder:
         """Puts the ids of new words among the known ones. Letters with marks at their sides are put together from the ids of these,
         which most often are known."""
         known, apart = self.known, self.form.marks_apart
+        plain = [w for w in words if w.isalpha()] if self.merges else []
+        rest = words.difference(plain)
         new: set[bytes] = set()
         stopped, put = [], []  # words with a full stop or comma; words of more or other parts
-        for w in words:
-            if w.isalpha():
-                new.add(w)
-                continue
+        for w in rest:
             if apart and w[-1] in b",." and w[-2:-1].isalpha():
                 stopped.append(w)
-                if w[:-1] not in known:
+                if w[:-1] not in known and w[:-1] not in words:
                     new.add(w[:-1])
                 continue
-            m = _EDGED.fullmatch(w) if apart and b"<|" not in w else None
+            m = _EDGED.fullmatch(w) if apart and (w[0] in _MARK_BYTES or w[-1] in _MARK_BYTES) and b"<|" not in w else None
             if m and (m[1] or m[3]) and m[2].decode().isalpha():
                 put.append((w, parts := [x for x in m.groups() if x]))
-                new.update([x for x in parts if x not in known])
+                new.update([x for x in parts if x not in known and x not in words])
             else:
                 new.add(w)
-        plain, letters, listed = [], [], []
+        letters, listed = [], []
         for w in new:
             (plain if self.merges and (w.isalpha() or _LETTERS.fullmatch(w)) else letters if self.ends is not None and w.decode().isalpha() else listed).append(w)
         known.update(zip(plain, self.sure_letters(plain), strict=True))
         known.update(zip(letters, self.letters(letters), strict=True))
         known.update(zip(listed, self.words(listed), strict=True))
+        for w, parts in put:
+            known[w] = b"".join([known[x] for x in parts])
         stops = dict(zip(b",.", self.stops, strict=True))
         for w in stopped:
             known[w] = known[w[:-1]] + stops[w[-1]]
-        for w, parts in put:
-            known[w] = b"".join([known[x] for x in parts])
-        self.size += self.taken(new) + self.taken(stopped) + self.taken([w for w, _ in put])
+        self.size += self.taken(plain) + self.taken(letters) + self.taken(listed) + self.taken(stopped) + self.taken([w for w, _ in put])
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         if not self.form.by_word:
             yield from (x + self.end for x in self.whole([t.decode() for t in texts]))
             return
         # special tokens are found before letters are lowered, so a text that may have one is left as it is
-        split = [t.lower().split() if self.form.lower_case and b"<|" not in t else t.split() for t in texts]
-        if self.size > REMEMBERED:
+        split = [t.lower().split() if self.form.lower_case and b"<|" not in t else t.split() for t in self.parted(texts)]
+        if self.size > REMEMBERED // 2:
             self.forget()
         words = set().union(*split)
         # each distinct word is looked up once among all that is known; its repetitions in a small table of these texts
         own = dict(zip(words, map(self.known.get, words), strict=True))
-        if missing := {w for w, ids in own.items() if ids is None}:
-            self.learn(missing)
+        if missing := [w for w, ids in own.items() if ids is None]:
+            met = {w: ids for w, ids in zip(missing, map(self.before.get, missing), strict=True) if ids is not None}
+            self.known |= met
+            self.size += self.taken(met)
+            if new := set(missing).difference(met):
+                self.learn(new)
             own |= {w: self.known[w] for w in missing}
-        self.again |= words.difference(missing)
         get = own.__getitem__
         for row in split:
             yield b"".join(map(get, row)) + self.end
 
+    def parted(self, texts: list[bytes]) -> list[bytes]:
+        """The texts with a blank before each run of marks that stands between a sure letter and white space, or the text's end.
+        The tokenizer cuts there and drops the blank, and so fewer words are distinct."""
+        raw = b"\xff".join([*texts, b""])  # a byte that no text has
+        if not self.form.marks_apart or b"<|" in raw:
+            return texts
+        a = np.frombuffer(raw, np.uint8)
+        mark = np.concatenate(([False], _MARK[a], [False]))
+        edge = np.flatnonzero(mark[1:] != mark[:-1])
+        first, past = edge[::2], edge[1::2]
+        first, past = first[first > 0], past[first > 0]
+        ok = _PAST[a[past]] & (_LETTER[a[first - 1]] | (_SECOND[a[first - 1]] & (a[first - 2] == 0xC3)))
+        at = first[ok]
+        out, kept = np.full(len(a) + len(at), 32, np.uint8), np.ones(len(a) + len(at), bool)
+        kept[at + np.arange(len(at))] = False
+        out[kept] = a
+        return out.tobytes().split(b"\xff")[:-1]
+
 
 def sequence_schema(kind: np.dtype, length: int) -> pa.Schema:
     return pa.schema([("tokens", pa.list_(pa.from_numpy_dtype(kind), length)), ("mask", pa.list_(pa.uint8(), length))])
