@@ -15,6 +15,7 @@ special tokens. No documents: no rows. Columns named in `keep` are carried along
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import re
@@ -138,7 +139,7 @@ def _over_texts(docs: DataFrame, form: Format, made: Sequence[T.StructField], gi
     wanted = docs.select(*(docs[f.name].alias(f"_{i}") for i, f in enumerate(fields[:carries])), docs[text_col].alias("text"))
     schema = arrow_schema(fields)
 
-    @tidy
+    @functools.partial(tidy, keep=Codec.KEPT)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(form)
         for b in batches:
@@ -168,7 +169,7 @@ def decode(encoded: DataFrame, form: Format, *, ids_col: str = "ids") -> DataFra
     fields = [*encoded.schema.fields, T.StructField("decoded", T.StringType())]
     schema = arrow_schema(fields)
 
-    @tidy
+    @functools.partial(tidy, keep=Codec.KEPT)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(form)
         for b in batches:

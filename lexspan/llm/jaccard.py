@@ -53,7 +53,7 @@ PARTNERS = 256
 #: Ids of sets to verify that may go to every executor.
 SENT_IDS = 200_000
 #: Sets of a list's largest component in one part; entries in a bundle of lists, about; pairs looked at together.
-PART, BUNDLE, CELLS = 4096, 20_000, 1 << 20
+PART, BUNDLE, CELLS = 4096, 20_000, 1 << 18
 
 POSTING = np.dtype([("token", "<u4"), ("doc", "<i8"), ("size", "<i4"), ("pos", "<i4")])
 HEADS = [f"head{k}" for k in range(3)]
@@ -179,9 +179,9 @@ def _postings(docs: DataFrame, counts: np.ndarray, shards: int) -> DataFrame:
         count, seen, held, n_held = sent.value, set(), [], 0
 
         def packed() -> pa.RecordBatch:
-            out = _pack(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]), "shard")
+            key, rows = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
             held.clear()
-            return out
+            return _pack(key, rows, "shard")
 
         for b in batches:
             ids = b["doc_id"].to_pylist()

@@ -12,6 +12,7 @@ are read; others, whatever their names, are left out.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspan.llm.common import materialize, runs, scratch_path, table, tidy, utf8
+from lexspan.llm.common import materialize, remembered, runs, scratch_path, table, tidy, utf8
 from lexspan.llm.merges import Merges
 
 SEQUENCE = 2048
@@ -78,9 +79,10 @@ def filesystem(uri: str):
 class Encoder:
     """Ids of texts as little-endian bytes of the narrowest width that holds the vocabulary.
 
-    The tokenizer and the words it has encoded are kept for a process, of words as many as REMEMBERED allows."""
+    The tokenizer and the words it has encoded are kept for a process until a task without need of them begins, of words as many
+    as REMEMBERED allows."""
 
-    made: dict[tuple[type, Format], Encoder] = {}
+    KEPT = "encoders"
 
     def __init__(self, form: Format):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -135,9 +137,10 @@ class Encoder:
     @classmethod
     def of(cls, form: Format) -> Encoder:
         """One for each format and Python worker."""
-        if (cls, form) not in cls.made:
-            cls.made[cls, form] = cls(form)
-        return cls.made[cls, form]
+        made = remembered.setdefault(cls.KEPT, {})
+        if (cls, form) not in made:
+            made[cls, form] = cls(form)
+        return made[cls, form]
 
     def taken(self, words: Collection[bytes]) -> int:
         return sum(map(len, words)) + sum(map(len, map(self.known.__getitem__, words))) + EACH * len(words)
@@ -331,7 +334,7 @@ def write_tokens(docs: DataFrame, folder: str, form: Format, *, id_col: str = "d
     """Writes the files into `folder`, which executors and driver share, and returns their manifest, itself written."""
     wanted = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
-    @tidy
+    @functools.partial(tidy, keep=Encoder.KEPT)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = filesystem(folder)
         part = TaskContext.get().partitionId()
@@ -372,7 +375,7 @@ def read_tokens(manifest: DataFrame, form: Format) -> DataFrame:
         files.append((r.path, at))
         at += r.n_tokens
 
-    @tidy
+    @functools.partial(tidy, keep=Encoder.KEPT)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, base in zip(b["path"].to_pylist(), b["base"].to_pylist(), strict=True):

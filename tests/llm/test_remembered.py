@@ -2,7 +2,20 @@
 
 import random
 
-from lexspan.llm import tokens
+import pyarrow as pa
+
+from lexspan.llm import common, tokens
+
+
+def test_a_task_of_another_kind_drops_what_is_remembered():
+    rows = [pa.RecordBatch.from_pydict({"x": [1]})]
+    common.remembered.clear()
+    first = tokens.Encoder.of(tokens.default_format())
+    assert list(common.tidy(lambda batches: batches, keep=tokens.Encoder.KEPT)(rows)) == rows
+    assert tokens.Encoder.of(tokens.default_format()) is first
+    assert list(common.tidy(lambda batches: batches)(rows)) == rows
+    assert not common.remembered
+    assert tokens.Encoder.of(tokens.default_format()) is not first
 
 
 def test_words_with_marks_behind_them_are_learnt_once(monkeypatch):
