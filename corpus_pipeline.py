@@ -12,13 +12,14 @@ names. No documents: no rows.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspan.llm import decontaminate, jaccard, mixing, tokens, toxicity
-from lexspan.llm.common import DOC_COLUMNS, materialize, scratch_path, table
+from lexspan.llm.common import DOC_COLUMNS, bound_batches, materialize, scratch_path, table
 
 _REST = [c for c in DOC_COLUMNS if c != "doc_id"]
 
@@ -58,12 +59,26 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return tokens.read_tokens(tokens.write_tokens(docs, scratch_path(spark, "pipeline-tokens"), form), form)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("toxicity", drop_toxic),
-    ("ngram_jaccard", drop_near_copies),
-    ("decontamination", drop_contaminated),
-    ("mixing", mix_sources),
-    ("token_ids", token_ids),
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _bounded(stage: Stage) -> Stage:
+    """The stage with documents going to Python workers in small batches: all stages run in the same executors, one after the other."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bound_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", _bounded(drop_toxic)),
+    ("ngram_jaccard", _bounded(drop_near_copies)),
+    ("decontamination", _bounded(drop_contaminated)),
+    ("mixing", _bounded(mix_sources)),
+    ("token_ids", _bounded(token_ids)),
 ]
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspan.llm.common import materialize, runs, table, tidy, utf8
+from lexspan.llm.common import bound_batches, materialize, runs, table, tidy, utf8
 from lexspan.llm.components import connected
 from lexspan.llm.cuckoo import mix
 from lexspan.llm.shingle import shingles
@@ -47,7 +47,7 @@ SHARD_POSTINGS = 100_000
 #: Bits of a parity sketch at most, and at least.
 PARITY = (64, 1 << 14)
 #: Texts of about so many bytes are hashed at a time; postings that a task holds before it hands them on.
-CHUNK, FLUSH = 1 << 20, 1 << 19
+CHUNK, FLUSH = 1 << 20, 1 << 18
 #: Partners of one set in a group that is verified together.
 PARTNERS = 256
 #: Ids of sets to verify that may go to every executor.
@@ -503,6 +503,7 @@ def _classes(named: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of each row of docs."""
+    bound_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     described = materialize(_describe(docs), "jaccard-described")
     rows = described.where("block is null").select("doc_id", "n", "sig", "parity")
