@@ -38,3 +38,13 @@ def test_components_dont_depend_on_the_batches(spark):
     finally:
         spark.conf.unset(common.BATCH_CONF)
     assert got[0] == got[1] and len({r[2] for r in got[0]}) < 60
+
+
+def test_scratch_tables_have_small_row_groups(spark):
+    import pyarrow.parquet as pq
+
+    kept = common.materialize(spark.range(3000).selectExpr("id", "repeat(sha2(cast(id AS string), 512), 40) AS text").coalesce(1), "row-groups")
+    (path,) = kept.inputFiles()
+    meta = pq.ParquetFile(path.removeprefix("file://")).metadata
+    assert meta.num_row_groups > 1 and max(meta.row_group(i).total_byte_size for i in range(meta.num_row_groups)) < 2 * common.ROW_GROUP
+    assert kept.count() == 3000
