@@ -6,14 +6,18 @@ Units have doc_id, unit_idx (their order in the document), doc_title, article_no
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspan.functions.text import article_label, chunk_id, header, strip
 from lexspan.operators import fixed
+from lexspan.operators.lexical import TEXT, spans
 
 PROVENANCE = ("source_path", "source_url", "last_amended", "effective_date")
 MAX_CHARS, CHUNK_SIZE, OVERLAP = 1000, 400, 80
@@ -86,7 +90,7 @@ def fixed_chunks(units: DataFrame, *, size: int = CHUNK_SIZE, overlap: int = OVE
     names = ["doc_id", "doc_title", "articles", "chapter", "seq", "content", *PROVENANCE]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        doc, title, seq, held, fresh = None, "", 0, [], 0
+        doc, title, seq, held, fresh = object(), "", 0, [], 0
 
         def made_of() -> dict | None:
             body = "".join(r.sentence for r in held).strip()
@@ -130,6 +134,92 @@ def chunked(units: DataFrame, strategy: str, *, size: int = CHUNK_SIZE, overlap:
     raise ValueError(f"unknown chunking strategy: {strategy}")
 
 
+#: White space as strip() sees it, and what sentences() looks for.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_MARK = re.compile("[。！？；\n]")
+_BREAK = re.compile(f"(?<=[。！？；\n])(?![{WHITE.replace(chr(10), '')}]*(?:\n|\\Z))")
+_GLUED = re.compile(f"(?<=[。！？；\n])[{WHITE}]+\\Z")
+
+
+def sentence_list(text: str, limit: int) -> list[str]:
+    """sentences() of one text, as a task cuts them."""
+    out = []
+    for p in _BREAK.split(text) if _MARK.search(text) else [text]:
+        if not p.strip(WHITE):
+            continue
+        glued = _GLUED.search(p) if p[-1] in WHITE else None
+        last = (max(1, glued.start() if glued else len(p)) - 1) // limit
+        out += [p[i * limit : (i + 1) * limit] for i in range(last)]
+        out.append(p[last * limit :])
+    return out
+
+
+def packed_list(pieces: list[str], limit: int) -> list[str]:
+    """packed() of pieces."""
+    packs, size = [[]], 0
+    for p in pieces:
+        if size and size + len(p) > limit:
+            packs.append([])
+            size = 0
+        packs[-1].append(p)
+        size += len(p)
+    return [s for pack in packs if (s := "".join(pack).strip(WHITE))]
+
+
+def fixed_list(sentences: list[str], size: int, overlap: int) -> list[str]:
+    """The contents of fixed_chunks() of a document's sentences."""
+    out, held, total, fresh = [], [], 0, 0
+    for s in sentences:
+        if fresh and total + len(s) > size:
+            out.append("".join(held))
+            first, total = len(held), 0
+            while first and total < overlap:
+                first -= 1
+                total += len(held[first])
+            held, fresh = held[first:], 0
+        held.append(s)
+        total += len(s)
+        fresh += 1
+    if fresh:
+        out.append("".join(held))
+    return [s for x in out if (s := x.strip())]
+
+
+def line_chunks(docs: DataFrame, strategy: str, head: Callable[[str | None, int], str], *, max_chars: int = MAX_CHARS, size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> DataFrame:
+    """chunk_id, doc_id and text of the chunks of documents (doc_id, doc_title, text) whose lines are their units. A row is a whole document of an
+    id of its own, so that it is cut where it is read, without a shuffle. head: what stands above a unit's chunks, of the title and the line's number."""
+    if strategy not in ("structure", "fixed"):
+        raise ValueError(f"unknown chunking strategy: {strategy}")
+    if not 0 <= overlap < size:
+        raise ValueError("the overlap must be smaller than the chunk")
+
+    def cut(title: str | None, text: str) -> list[str | None]:
+        if strategy == "fixed":
+            bodies = fixed_list([s for line in text.split("\n") for s in sentence_list(line, size)], size, overlap)
+            return [None if title is None else f"{title}\n{b}" for b in bodies]
+        out = []
+        for i, line in enumerate(text.split("\n")):
+            if line:
+                above = head(title, i)
+                out += [f"{above}\n{b}" for b in ([line] if len(line) <= max_chars else packed_list(sentence_list(line, max_chars), max_chars))]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy()
+            for lo, hi in spans(held, len(held), TEXT):
+                ids, docs, texts = [], [], []
+                for doc, title, text in zip(*(batch[c].slice(lo, hi - lo).to_pylist() for c in ("doc_id", "doc_title", "text")), strict=True):
+                    made = cut(title, text or "")
+                    name = f"{'null' if doc is None else doc}#{strategy[0]}"
+                    ids += [f"{name}{i:04d}" for i in range(len(made))]
+                    docs += [doc] * len(made)
+                    texts += made
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (ids, docs, texts)], names=["chunk_id", "doc_id", "text"])
+
+    return docs.select("doc_id", "doc_title", "text").mapInArrow(run, "chunk_id string, doc_id string, text string")
+
+
 def chunk_stats(chunks: DataFrame, *by: str) -> DataFrame:
     n = F.char_length("content")
     return chunks.groupBy(*by).agg(F.count("*").alias("chunks"), F.avg(n).alias("mean_chars"), F.max(n).alias("max_chars"))

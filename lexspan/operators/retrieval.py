@@ -13,7 +13,7 @@ from lexspan.functions.text import word_tokens
 from lexspan.operators.answers import gate
 from lexspan.operators.chunking import chunked
 from lexspan.operators.lexical import bm25, tokenized, top_k
-from lexspan.operators.vectors import cosine_top_k, hashed_vectors
+from lexspan.operators.vectors import cosine_top_k, hashed, hashed_vectors
 from lexspan.scratch import materialize
 
 RRF_K = 60
@@ -79,7 +79,8 @@ def rerank(candidates: DataFrame, questions: DataFrame, texts: DataFrame, *, top
 
     questions: qid, question. texts: doc, text, joined only for the candidates. scorer: adds score, and hands on qid, doc and before.
     """
-    placed = scorer(candidates.select("qid", "doc", F.col("rank").alias("before")).join(questions, "qid").join(texts, "doc"))
+    # texts meet the candidates first: these are few, so that they are sent where they are known to be
+    placed = scorer(candidates.select("qid", "doc", F.col("rank").alias("before")).join(texts, "doc").join(questions, "qid"))
     if digits is not None:
         placed = placed.withColumn("score", F.round("score", digits))
     return top_k(placed.select("qid", "doc", "score", "before"), top, "before").drop("before")
@@ -113,16 +114,17 @@ def retrieve(docs: DataFrame, questions: DataFrame, config: RetrievalConfig, *,
 
 
 def retrieve_grid(docs: DataFrame, questions: DataFrame, grid: Mapping[str, RetrievalConfig], *, rules: Sequence[Rule] = (), digits: int | None = 6) -> dict[str, DataFrame]:
-    """retrieve() for each configuration. Tokens and the lists of each retriever, `retrieve` rows a question, are made and written once."""
+    """retrieve() for each configuration. The lists of each retriever, `retrieve` rows a question, are made and written once. docs are read a few
+    times, so that those that are costly to make are better written first; tasks cut their tokens as they go, and hand on none of them."""
     asked = questions.select("qid", expanded(F.col("question"), rules).alias("question"))
-    corpus, query = materialize(tokenized(docs, "doc", "text"), "tokens"), tokenized(asked, "qid", "question")
+    corpus, query = docs.select("doc", "text"), tokenized(asked, "qid", "question")
     known: dict[tuple, DataFrame] = {}
 
     def hits(mode: str, n: int, k: int) -> DataFrame:
         key = (mode, n, k if mode == "hybrid" else 0)
         if key not in known:
             if mode == "vector":
-                found = cosine_top_k(hashed_vectors(corpus), hashed_vectors(query).withColumnRenamed("doc", "qid"), k=n, digits=digits)
+                found = cosine_top_k(corpus, hashed_vectors(query).withColumnRenamed("doc", "qid"), k=n, digits=digits, made=hashed)
             elif mode == "bm25":
                 found = bm25(corpus, query, k=n, digits=digits)
             else:
